@@ -17,5 +17,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", sharding.record_size().alias("size"), F.crc32("text").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing}
 SQL: dict[str, str] = {}
