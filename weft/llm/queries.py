@@ -23,5 +23,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing}
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import line_dedup
+    from weft.llm.common import text_of
+
+    docs = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup}
+SQL: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH lines AS (
+  SELECT d.doc_id, d.rowid AS r, u.i, u.line, trim(translate(u.line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rowid FROM documents) d,
+       LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS i) u),
+common AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN common c ON l.k = c.k
+GROUP BY l.doc_id, l.r
+""",
+}
