@@ -31,7 +31,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weft.llm import bpe
+
+    docs = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe}
 SQL: dict[str, str] = {
     "op10_line_dedup": r"""
 WITH lines AS (
