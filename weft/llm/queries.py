@@ -40,7 +40,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import minhash
+
+    docs = minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return docs.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash}
 SQL: dict[str, str] = {
     "op10_line_dedup": r"""
 WITH lines AS (
