@@ -53,7 +53,17 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import toxicity
+    from weft.llm.common import doc_remainder
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = toxicity.train(toxicity.labelled_rows(docs.where(doc_remainder("doc_id", 4) != 2), labels))
+    scored = toxicity.score(docs.select("doc_id", "text", "lang"), net)
+    return scored.select("doc_id", (doc_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
