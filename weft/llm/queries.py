@@ -63,7 +63,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (doc_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity}
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import html_wrapper
+
+    pages = html_wrapper.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
