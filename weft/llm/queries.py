@@ -70,7 +70,22 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html}
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import syncmers
+
+    docs = syncmers.with_next(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.expr("n_chars div 2").cast("int")
+    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
+    docs = syncmers.fingerprint(docs)
+    docs = docs.withColumns({"own": syncmers.hashes(F.col("anchors")), "edited_anchors": syncmers.anchors(F.col("edited")), "next_hashes": syncmers.hashes(syncmers.anchors(F.col("next_text")))})
+    docs = docs.withColumn("edited_hashes", syncmers.hashes(F.col("edited_anchors")))
+    return docs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", syncmers.digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("own"), F.col("edited_hashes")).alias("near_edited"), syncmers.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"), F.size("anchors").alias("n_anchors"),
+    )
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html, "op7_syncmers": op7_syncmers}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
