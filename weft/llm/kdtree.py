@@ -131,6 +131,8 @@ def top_k(table: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", ve
     kind = "query_id long, vec_id long, score long"
 
     def over(data: DataFrame, wanted: DataFrame) -> DataFrame:
+        # columns of their own, as both sides come from one table
+        data, wanted = (x.select(*[F.col(c).alias(f"{c}") for c in x.columns]) for x in (data, wanted))
         return data.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInPandas(searched, kind)
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -143,7 +145,7 @@ def top_k(table: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", ve
         return best(first).select("query_id", "rank", "vec_id", "score")
     # with fewer than k rows in shard 0 nothing can be pruned
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("c")).where(F.col("c") >= k).select("query_id", F.col("kth").cast("double").alias("kth"))
-    told = asked.join(kth, asked.id == kth.query_id, "left").drop("query_id")
+    told = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
     told = told.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
     rest = over(placed.where("shard > 0"), told)
     return best(first.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
