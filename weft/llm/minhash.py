@@ -87,7 +87,29 @@ def similarity(a: str, b: str, functions: int) -> Column:
     return (1 - differ / F.lit(float(functions)) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = 4, rounds: int = 2) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may reach the similarity; no such pair is left out.
+
+    sets: node, comp, n and set. Each set is put in order from rare to frequent elements. Two sets that reach the similarity
+    share an element among the first n - ceil(percent * n / 100) + 1 of each. At the first such element, what follows in
+    both bounds what they can share; a text with many elements of its own, as edited copies have, is bounded away
+    from all others. Pairs are made only where this bound and the sizes allow the similarity.
+    """
+    one = sets.select("node", "comp", "n", F.explode("set").alias("s"))
+    often = one.groupBy("s").agg(F.count("*").alias("f"))
+    ranked = one.join(often, "s").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
+    head = F.expr(f"CAST(n - ceil({percent} * n / 100) + 1 AS INT)")
+    prefix = stored(ranked.select("node", "comp", "n", F.posexplode(F.slice("l", 1, head)).alias("p", "e")).select("node", "comp", "n", "p", F.col("e.s").alias("s"), F.col("e.f").alias("f")).where("f > 1"), "prefix")
+    several = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("s")
+    prefix = prefix.join(several, "s", "left_semi")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    room = (100 + percent) * F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.comp") < F.col("y.comp")) & sizes & room)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
     """One row for each row of docs: its id, n_shingles, node, component_id and kept.
 
     A text is lower-cased (A-Z) and split at ASCII white space; its set holds the distinct shingles of so many words,
@@ -99,9 +121,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     2. Nodes that share a band key are candidates. In each such bucket every node is compared with one hub, so a
        bucket costs as many comparisons as it has nodes. A comparison estimates the similarity by bit counts; unless
        that is six standard deviations below the threshold, the full sets are intersected. Links make components.
-    3. In further rounds, one node of each component in a bucket is compared with another hub.
-    4. Nodes of different components that still share a bucket are compared pair by pair, so no link is lost to
-       the choice of hubs. Within a component no pairs are made.
+    3. Nodes of different components that still share a bucket meet again in prefix_pairs, which leaves no possible link
+       out and makes few pairs; these are confirmed like the others. Within a component no pairs are made.
 
     Bands are so many that a pair at the threshold is missed with a chance of 10^-8 and one above it with less.
 
@@ -141,8 +162,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     signed = stored(plain.mapInArrow(sign, f"id {kind}, n long, node binary, keys array<long>, sig array<long>"), "signed")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     banded = nodes.select(F.explode("keys").alias("key"), "node")
-    crowded = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("key", "hub")
-    buckets = stored(banded.join(crowded, "key"), "buckets")
+    crowded = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = stored(banded.join(crowded, "key"), "shared")
+    # the hub of a bucket is the node that shares most bands with others: the copies' original, if it is there
+    popular = shared.groupBy("node").agg(F.sum("c").alias("c"))
+    hubs = shared.select("key", "node").join(popular, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top"))
+    buckets = stored(shared.select("key", "node").join(hubs, "key").select("key", "node", F.col("top.node").alias("hub")), "buckets")
     facts = stored(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "id", "n", "sig"), "facts")
     # the texts of one row for each candidate node, as sets
     wanted = facts.select(F.col("id").alias("__weft_want")).distinct()
@@ -168,26 +193,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     links = stored(confirmed(buckets.where("node != hub").select(*ordered("node", "hub")).distinct()), "links")
-    for turn in range(rounds + 1):
-        comps = components(links)
-        # buckets that still hold several components
-        placed = buckets.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        open_rows = stored(placed.join(mixed, "key", "left_semi"), "open")
-        if open_rows.isEmpty():
-            break
-        if turn < rounds:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node"))
-            one = open_rows.groupBy("key", "comp").agg(F.min(order).alias("least"))
-            hubs = one.groupBy("key").agg(F.max("least").alias("most"))
-            pairs = one.join(hubs, "key").where("least != most").select(*ordered("least.node", "most.node"))
-        else:
-            rich = open_rows.join(facts.select("node", "n", "sig"), "node")
-            x, y = rich.alias("x"), rich.alias("y")
-            near = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (similarity("x.sig", "y.sig", functions) >= floor)
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(*ordered("x.node", "y.node"))
-        links = stored(links.unionByName(confirmed(pairs.distinct())), "links")
-    else:
+    comps = components(links)
+    # nodes of buckets that still hold several components
+    placed = buckets.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    unsettled = stored(placed.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        more = confirmed(prefix_pairs(unsettled.join(sets, "node").join(facts.select("node", "n"), "node"), percent))
+        links = stored(links.unionByName(more), "links")
         comps = components(links)
     names = comps.join(facts.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("component_id"))
     found = comps.join(names, "comp").select("node", "component_id")
