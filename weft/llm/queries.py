@@ -58,7 +58,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.common import doc_remainder
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    net = toxicity.train(toxicity.labelled_rows(docs.where(doc_remainder("doc_id", 4) != 2), labels))
+    net = toxicity.train(docs.where(doc_remainder("doc_id", 4) != 2), labels)
     scored = toxicity.score(docs.select("doc_id", "text", "lang"), net)
     return scored.select("doc_id", (doc_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")
 
