@@ -262,7 +262,7 @@ def varying(w: dict) -> int:
 
 
 def content_path(w: dict) -> tuple[list[str], list[str]] | None:
-    """The marks from the root to the node that holds the host's main text, and the marks of its constant children.
+    """The marks from the root to the node that holds the host's main text, and the marks of its constant containers.
 
     From the root down, the container with most text in slots is entered while it holds 7 tenths of it; an article or
     main element ends the search, as does a run of like neighbours, which is the text's blocks. None without slots.
@@ -277,7 +277,10 @@ def content_path(w: dict) -> tuple[list[str], list[str]] | None:
             break
         w = down[0]
         path.append(w["k"])
-    constant = [] if w["k"].split(".")[0] in ("article", "main") else [k["k"] for k in w["kids"] if k["n"] >= 3 and k["v"] == 0 and varying(k) == 0 and not k["r"]]
+    if w["k"].split(".")[0] in ("article", "main"):
+        return path, []
+    slots = {k["k"] for k in w["kids"] if varying(k) > 0}
+    constant = [k["k"] for k in w["kids"] if k["n"] >= 3 and k["v"] == 0 and varying(k) == 0 and not k["r"] and k["k"].split(".")[0] in CONTAINER and k["k"] not in slots]
     return path, constant
 
 
@@ -299,7 +302,7 @@ def weight(node: Node) -> int:
 def main_text(root: Node, wrapper: tuple[list[str], list[str]] | None) -> list[str]:
     """The blocks of the page's main text.
 
-    They are those of the slot that the host's wrapper found, without its constant children; of the article or main
+    They are those of the slot that the host's wrapper found, without its constant containers; of the article or main
     element around or directly below it, if it has one. A page that doesn't fit its host's wrapper, or whose host has none (single pages,
     copies), is taken by its own article or main element, or whole. Boilerplate goes from all of these.
     """
