@@ -97,7 +97,9 @@ def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, bat
     for b in range(batches):
         part = held.where(F.pmod(F.col("__weft_t"), F.lit(batches)) == b)
         runs.add(part.groupBy(_KEY, _KEY2).agg(F.count("*").alias(_N)))
-    hit = held.join(runs.common(), [_KEY, _KEY2], "left_semi").select(*same, _KEY).distinct().groupBy(*same).agg(F.collect_list(_KEY).alias("__weft_common"))
+    # as a table of its own, so the join with a line that a third of all documents hold can be split
+    common = stored(runs.common(), "common")
+    hit = held.join(common, [_KEY, _KEY2], "left_semi").select(*same, _KEY).distinct().groupBy(*same).agg(F.collect_list(_KEY).alias("__weft_common"))
     joined = marked.join(hit, same, "left")
     changed = F.col("__weft_common").isNotNull()
     joined = joined.withColumn("__weft_lines", F.split(text_of(text), "\n"))
