@@ -15,7 +15,7 @@ def csv_parts(c: Column) -> Column:
 
 def csv_trimmed(c: Column) -> Column:
     """Trimmed parts, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def csv_all(c: Column) -> Column:

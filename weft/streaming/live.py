@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,10 +27,9 @@ def unique_views(events: DataFrame, delay: str = "24 hours") -> DataFrame:
 
 def changes(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before, by key: distinct until changed."""
-    from pyspark.sql import Window
-
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return rows.where(~F.col(value).eqNullSafe(before) | before.isNull())
+    w = Window.partitionBy(key).orderBy(order)
+    marked = rows.withColumns({"_first": F.row_number().over(w) == 1, "_before": F.lag(value).over(w)})
+    return marked.where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_first", "_before")
 
 
 def page(rows: DataFrame, order: list, number: int, size: int = 20) -> DataFrame:
