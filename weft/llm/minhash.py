@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     found = comps.join(names, "comp").select("node", "component_id")
     # every row again: its node's component, or, of a node without links, the smallest id of equal rows
     alone = nodes.select("node", F.col("id").alias("__weft_least")).join(found, "node", "left").select("node", F.coalesce("component_id", "__weft_least").alias("component_id"))
-    rows_out = signed.select("id", "n", "node").join(alone, "node", "left")
+    # as a table of its own, so the join with a node that a third of all rows are can be split
+    rows_out = signed.select("id", "n", "node").join(stored(alone, "alone"), "node", "left")
     rows_out = rows_out.select("id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return rows_out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("id"))).withColumnRenamed("id", id)
 
