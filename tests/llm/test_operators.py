@@ -409,12 +409,3 @@ def test_runs_are_compacted(spark):
     for k in range(5):
         runs.add(spark.createDataFrame([(1, 1, 1), (10 + k, 1, 1)], "key long, key2 int, n long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1] and {tuple(r) for r in runs.counts().collect()} >= {(1, 1, 3), (14, 1, 1)}
-
-
-# folds of the contracts
-
-
-def test_folds():
-    from weft.llm.common import FOLD
-
-    assert b"A\tz".translate(FOLD) == b"a z"
