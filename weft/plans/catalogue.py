@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import schema as S
 from weft.functions import color, text
-from weft.operators import curate, match, neardup, raster, search, social, store, tables, trends, wardrobe
+from weft.operators import curate, match, neardup, raster, search, social, tables, trends, wardrobe
 from weft.sources.views import BASE, view, with_views
 
 NOW = 1_706_500_000_000
