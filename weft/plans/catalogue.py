@@ -536,11 +536,17 @@ def strip_html(pages):
 _BY = r"'cc[\s-]by([\s-]?sa)?([\s-]?(\d+(?:\.\d+)?))?'"
 
 
+def _wide(pattern: str) -> str:
+    """The pattern with word boundaries that know all letters, as Spark's do; they come in pairs."""
+    first, *rest = pattern.split(r"\b")
+    return first + "".join((r"(?:^|[^\p{L}\p{N}_])" if k % 2 == 0 else r"(?:$|[^\p{L}\p{N}_])") + part for k, part in enumerate(rest))
+
+
 @table_query("documents", sql=f"""
 WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents), x AS (SELECT line, lower({_STRIP.format('line')}) AS low FROM l WHERE len(line) <= 200)
-SELECT line, CASE WHEN low = '' OR regexp_matches(low, '{text.LICENSE_REFUSED}') THEN NULL WHEN regexp_matches(low, '\\bcc0\\b') THEN 'CC0 1.0' WHEN regexp_matches(low, 'public\\s*domain|\\bpdm\\b|^\\s*pd\\b') THEN 'Public domain'
+SELECT line, CASE WHEN low = '' OR regexp_matches(low, '{_wide(text.LICENSE_REFUSED)}') THEN NULL WHEN regexp_matches(low, '{_wide(chr(92) + 'bcc0' + chr(92) + 'b')}') THEN 'CC0 1.0' WHEN regexp_matches(low, 'public\\s*domain|(?:^|[^\\p{{L}}\\p{{N}}_])pdm(?:$|[^\\p{{L}}\\p{{N}}_])|^\\s*pd(?:$|[^\\p{{L}}\\p{{N}}_])') THEN 'Public domain'
  WHEN regexp_matches(low, {_BY}) THEN trim(CASE WHEN regexp_extract(low, {_BY}, 1) <> '' THEN 'CC BY-SA' ELSE 'CC BY' END || ' ' || regexp_extract(low, {_BY}, 3))
- {' '.join(f"WHEN regexp_matches(low, '{p}') THEN '{n}'" for n, p in text.LICENSE_NAMES)} END AS licence FROM x""".replace("\\\\", "\\"))
+ {' '.join(f"WHEN regexp_matches(low, '{_wide(p)}') THEN '{n}'" for n, p in text.LICENSE_NAMES)} END AS licence FROM x""".replace("\\\\", "\\"))
 def license_norm(documents):
     lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct().where(F.length("line") <= 200)
     return lines.select("line", text.license_name(F.col("line")).alias("licence"))
