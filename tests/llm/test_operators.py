@@ -235,6 +235,14 @@ def test_lm_probabilities_are_causal_and_sum_to_one():
     assert abs(total - 1) < 1e-5 and abs(same[0] - same[1]) < 1e-6
 
 
+def test_lm_windows_score_as_whole_ones():
+    net = lm_scoring.Attention(np.zeros(20), dim=8, width=8)
+    units, wanted = lm_scoring.windows(np.random.default_rng(2).integers(3, 20, 45), 8)
+    r, u, got = net.window_scores(units, wanted, net.tables())
+    rows, cols = np.nonzero(wanted >= 0)
+    assert np.allclose(np.sort(got), np.sort(net.log_probs(units, rows, cols, wanted[rows, cols])), atol=1e-5) and len(u) == len(r) == 46
+
+
 def test_lm_gradients_improve_the_fit():
     rng = np.random.default_rng(1)
     units = np.tile(np.arange(3, 9), (64, 2))[:, :8] + 0 * rng.integers(0, 1, (64, 8))
