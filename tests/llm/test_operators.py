@@ -262,6 +262,20 @@ def test_lm_of_clashing_and_empty(docs, clashing, empty):
     assert found.count() == docs.count() and found.agg(F.max("n_known")).first()[0] == 0 and found.select("word").first()[0] == "own word"
 
 
+def test_lm_learns_from_all_windows_of_a_text(spark):
+    words = random.Random(6).choices([f"w{k}" for k in range(30)], k=500)
+    df = spark.createDataFrame([(" ".join(words),)], "text string").coalesce(1)
+    sub, unit_of = lm_scoring.Subwords(lm_path()), {}
+    for s in sub.of([w.encode() for w in words]):
+        unit_of.setdefault(s, lm_scoring.FIRST + len(unit_of))
+    net, want = (lm_scoring.Attention(np.zeros(lm_scoring.FIRST + len(unit_of)), dim=8, width=16) for _ in "ab")
+    units, wanted = lm_scoring.windows(np.array([unit_of[s] for s in sub.of([w.encode() for w in words])]), 16)
+    for i in range(0, len(units), 40):
+        want.fit(units[i : i + 40], wanted[i : i + 40], 1, 0.002)
+    lm_scoring.refine(df, "text", lm_path(), unit_of, net, each=40)
+    assert len(units) == 62 and all(np.allclose(net.p[k], want.p[k], atol=1e-6) for k in want.p)
+
+
 # 7
 
 

@@ -238,7 +238,7 @@ def train(docs: DataFrame, path: str, text: str = "text", units: int = 256, comm
     They stay a table; the driver gets the units (a fixed number) and the common most frequent words.
 
     The attention weights start from a fit on fit_windows windows (of the documents with the smallest hash of their text), the
-    bound of what comes to the driver; then every document of docs takes part in refine().
+    bound of what comes to the driver; then all windows of every document of docs take part in refine().
     """
     counts = stored(count_words(docs, text), "counts")
 
@@ -272,7 +272,7 @@ def train(docs: DataFrame, path: str, text: str = "text", units: int = 256, comm
 
 
 def refine(docs: DataFrame, text: str, path: str, unit_of: dict[int, int], net: Attention, rate: float = 0.002, each: int = 8192) -> None:
-    """One more pass over docs: every document gives one window, at a place that its text's hash names.
+    """One more pass over docs: all windows of every document take part, the same as score() has.
 
     Each task goes on from the net's weights with the windows of its own documents, in chunks of each; the tasks' weights are
     averaged by their numbers of windows, 64 at a time in three steps, so no task holds more than 64 sets of
@@ -287,19 +287,21 @@ def refine(docs: DataFrame, text: str, path: str, unit_of: dict[int, int], net:
         some: list[tuple[np.ndarray, np.ndarray]] = []
 
         def learn() -> int:
-            if some:
-                own.fit(np.array([a for a, _ in some]), np.array([w for _, w in some]), 1, rate)
-            n = len(some)
+            units, wanted = (np.concatenate(x) for x in zip(*some, strict=True))
             some.clear()
-            return n
+            for i in range(0, len(units), each):  # a long text may have more
+                own.fit(units[i : i + each], wanted[i : i + each], 1, rate)
+            return len(units)
 
+        waiting = 0
         for batch in batches:
-            for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if t.as_py():
-                    some.append(one_window(words_of(t.as_py()), x, own.width, sub, unit_of))
-                    if len(some) >= each:
-                        total += learn()
-        total += learn()
+            for t in batch.column(0):
+                some.append(windows(np.array([unit_of.get(s, OTHER) for s in sub.of(words_of(t.as_py()))], dtype=np.int64), own.width))
+                waiting += len(some[-1][0])
+                if waiting >= each:
+                    total, waiting = total + learn(), 0
+        if some:
+            total += learn()
         flat = np.concatenate([own.p[k].ravel().astype(np.float64) * total for k in names])
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
 
@@ -307,7 +309,7 @@ def refine(docs: DataFrame, text: str, path: str, unit_of: dict[int, int], net:
         sums = np.sum([np.frombuffer(w) for w in table.w], axis=0)
         return pd.DataFrame({"k": [int(table.k.iloc[0]) // 64], "n": [int(table.n.sum())], "w": [sums.tobytes()]})
 
-    parts = docs.select(text, F.xxhash64(text, F.lit(9)).alias("h")).mapInArrow(run, "n long, w binary").withColumn("k", F.expr("spark_partition_id() div 64").cast("long"))
+    parts = docs.select(text).mapInArrow(run, "n long, w binary").withColumn("k", F.expr("spark_partition_id() div 64").cast("long"))
     for _ in range(3):
         parts = parts.groupBy("k").applyInPandas(added, "k long, n long, w binary")
     found = [(r["n"], np.frombuffer(r["w"])) for r in parts.collect()]
