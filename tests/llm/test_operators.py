@@ -316,6 +316,21 @@ def test_fingerprints_of_edges(docs, clashing, empty):
     assert syncmers.fingerprint(empty).count() == 0 and syncmers.with_next(empty).count() == 0 and syncmers.with_next(docs.limit(1)).count() == 1
 
 
+def test_syncmers_of_few_and_long_words(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghij", k=400))
+    prose = " ".join(rng.choices([f"w{k}" for k in range(50)], k=12))
+    pairs = [("a striking likeness", "a striking likenesz"), (long, long[:200] + "".join(rng.choices("klmno", k=200))), ("日本語の文章は空白で区切られない", "日本語の文章は空白で区切らない"), (prose, prose.rsplit(" ", 1)[0])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    hashes, letters = ([f(F.col(c)) for c in "ab"] for f in (lambda c: syncmers.hashes(syncmers.anchors(c)), syncmers.by_letters))
+    both = [syncmers.hashes_beside(F.col(c), hashes[k], letters[k], letters[1 - k]) for k, c in enumerate("ab")]
+    found = [r[0] for r in df.select(syncmers.likeness(*both)).collect()]
+    assert all(x > 0.4 for x in found) and 0.4 < found[1] < 0.6
+    edges = [("Ab\n cd", "Ab cd"), ("abcde", "abcdf"), ("😀" * 3, "😀" * 3), (" ", "")]
+    got = spark.createDataFrame(edges, "a string, b string").select(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).collect()
+    assert [a == b for a, b in got] == [True, False, True, True] and [len(a) for a, _ in got] == [1, 1, 1, 0]
+
+
 # 8
 
 

@@ -76,12 +76,17 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = syncmers.with_next(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("n_chars div 2").cast("int")
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    docs = syncmers.fingerprint(docs)
-    docs = docs.withColumns({"own": syncmers.hashes(F.col("anchors")), "edited_anchors": syncmers.anchors(F.col("edited")), "next_hashes": syncmers.hashes(syncmers.anchors(F.col("next_text")))})
-    docs = docs.withColumn("edited_hashes", syncmers.hashes(F.col("edited_anchors")))
+    texts = ["text", "edited", "next_text"]
+    docs = docs.withColumns({f"{t}_letters": syncmers.by_letters(F.col(t)) for t in texts})
+    docs = docs.withColumns({f"{t}_anchors": syncmers.anchors(F.col(t), F.col(f"{t}_letters")) for t in texts})
+    docs = docs.withColumn("fingerprint", syncmers.digest(F.col("text_anchors")))
+    docs = docs.withColumns({f"{t}_hashes": syncmers.hashes(F.col(f"{t}_anchors")) for t in texts})
+    beside = lambda a, b: syncmers.hashes_beside(F.col(a), F.col(f"{a}_hashes"), F.col(f"{a}_letters"), F.col(f"{b}_letters"))
+    docs = docs.withColumns({f"{a}_beside_{b}": beside(a, b) for t in texts[1:] for a, b in (("text", t), (t, "text"))})
+    near = lambda t: syncmers.likeness(F.col(f"text_beside_{t}"), F.col(f"{t}_beside_text"))
     return docs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", syncmers.digest(F.col("edited_anchors")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("own"), F.col("edited_hashes")).alias("near_edited"), syncmers.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"), F.size("anchors").alias("n_anchors"),
+        near("edited").alias("near_edited"), near("next_text").alias("near_next"), F.size("text_anchors").alias("n_anchors"),
     )
 
 

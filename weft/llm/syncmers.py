@@ -1,4 +1,4 @@
-"""Document fingerprints by closed syncmers over words. DataFrame operations only."""
+"""Document fingerprints by closed syncmers over words, or over code points where words are few or long. DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import SPACE, checked, stored, text_of
+from weft.llm.common import SPACE, WORD, checked, stored, text_of
 
 #: A k-mer has so many words, an inner substring so many of these.
 K, S = 4, 2
+#: The same in code points, for texts of fewer than FEW words or with more than LONG code points a word, white space included.
+LETTERS_K, LETTERS_S = 6, 4
+FEW, LONG = 12, 12
 _ANCHOR = "struct<pos:int,hash:bigint>"
 
 
@@ -19,30 +22,48 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def anchors(text: Column) -> Column:
+def by_letters(text: Column) -> Column:
+    """Whether the text's k-mers are of code points: it has few words, or long ones."""
+    words = F.regexp_count(text, F.lit(WORD))
+    return _let(words, lambda n: (n < FEW) | (F.length(text) > LONG * n))
+
+
+def anchors(text: Column, letters: Column | None = None) -> Column:
     """array<struct<pos, hash>>: the text's closed syncmers in order.
 
     Every K words in a row (between ASCII white space) are a k-mer, every S words in it an inner substring. With hashes
     of the inner substrings as their order, a k-mer is chosen if its least one is its first or its last, whatever
-    stands around it. So equal passages have equal anchors, at positions that differ by one shift. A text of one to
-    K - 1 words is one k-mer; without words there is none.
+    stands around it. So equal passages have equal anchors, at positions that differ by one shift.
+
+    Where letters (by_letters(), if it is not given) holds, k-mers are of LETTERS_K code points and inner substrings of LETTERS_S, with each
+    run of white space as one blank and none at the ends; positions count code points. A text shorter than that is one k-mer; without words there is none.
     """
 
     def chosen(inner: Column) -> Column:
-        # K = 4, S = 2: three inner substrings, so a k-mer is left out only if the middle one is less than both others
+        # three inner substrings in both cases, so a k-mer is left out only if the middle one is less than both others
         def one(i: Column) -> Column:
             first, middle, last = F.get(inner, i), F.get(inner, i + 1), F.get(inner, i + 2)
             return F.when((middle >= first) | (middle >= last), F.struct(i.alias("pos"), F.xxhash64(first, last).alias("hash")))
 
         return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(inner) - 3), one))
 
-    def of(words: Column) -> Column:
+    none = F.array().cast(f"array<{_ANCHOR}>")
+
+    def whole(parts: Column) -> Column:
+        return F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(parts, F.lit(1)).alias("hash")))
+
+    def of_words(words: Column) -> Column:
         pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(words, F.lit(1)).alias("hash")))
         # the last pair has a null: cut off
-        return F.when(F.size(words) == 0, F.array().cast(f"array<{_ANCHOR}>")).when(F.size(words) < K, short).otherwise(_let(F.slice(pairs, 1, F.size(words) - 1), chosen))
+        return F.when(F.size(words) == 0, none).when(F.size(words) < K, whole(words)).otherwise(_let(F.slice(pairs, 1, F.size(words) - 1), chosen))
+
+    def of_letters(points: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(0), F.size(points) - LETTERS_S), lambda i: F.xxhash64(*[F.get(points, i + k) for k in range(LETTERS_S)]))
+        return F.when(F.size(points) < LETTERS_K, whole(points)).otherwise(_let(inner, chosen))
 
-    return _let(F.filter(F.split(text, SPACE), lambda w: w != ""), of)
+    plain = F.btrim(F.regexp_replace(text, SPACE, " "))
+    fine = F.when(plain == "", none).otherwise(_let(F.split(plain, ""), of_letters))
+    return F.when(by_letters(text) if letters is None else letters, fine).otherwise(_let(F.filter(F.split(text, SPACE), lambda w: w != ""), of_words))
 
 
 def hashes(found: Column) -> Column:
@@ -61,6 +82,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def hashes_beside(text: Column, found: Column, own: Column, other: Column) -> Column:
+    """The hashes of a text for likeness() with another: found, its own, unless only the other has k-mers of code points; then
+    those of its code points. own and other: by_letters() of both."""
+    return F.when(other & ~own, hashes(anchors(text, F.lit(True)))).otherwise(found)
+
+
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with anchors (array<struct<pos, hash>>) and fingerprint (a string) of each whole text.
 
@@ -73,7 +100,8 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def matched_passages(left: DataFrame, right: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(left_id, right_id, shift, anchors): by positional matching, how many anchors two documents share at one shift of words.
+    """(left_id, right_id, shift, anchors): by positional matching, how many anchors two documents share at one shift of words, or
+    of code points for two documents with such k-mers.
 
     left and right hold id and anchors. Only hashes that occur once in a document are matched; a hash in many documents
     of both sides makes as many rows as there are such pairs, so one side should be a stated, small set.
