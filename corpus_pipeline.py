@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold; those of which nothing is left go. n_chars follows the text."""
-    kept = line_dedup.drop_common_lines(docs)
+    """Documents without the lines that ten or more of them hold; those of which nothing is left go. n_chars follows the text.
+
+    Copies count as one document, so a group of them reaches drop_near_duplicates() whole.
+    """
+    kept = line_dedup.drop_common_lines(docs, copies_once=True)
     kept = kept.where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select(docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 

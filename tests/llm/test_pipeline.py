@@ -78,3 +78,13 @@ def test_texts_are_encoded_as_the_library_does(states):
 def test_run_is_all_stages(spark, folder, states):
     key = lambda df: sorted((r.doc_id, list(r.ids)) for r in df.collect())
     assert key(P.run(spark, folder)) == key(states[5])
+
+
+def test_one_of_each_group_of_copies_reaches_the_mix(spark):
+    texts = ["A first line of it\nand a second one"] * 12 + ["A first LINE of it  \nand a second one\n"] * 3 + ["One line that is all there is"] * 11 + [f"Shared line\nown line {k}" for k in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    lines = P.drop_lines(spark, docs, "")
+    found = {r.doc_id: r.text for r in lines.collect()}
+    assert found == {i: t.removeprefix("Shared line\n") for i, t in enumerate(texts)}
+    kept = {r.text for r in P.drop_near_duplicates(spark, lines, "").collect()}
+    assert {texts[0], texts[15]} <= kept and len(kept) == 12

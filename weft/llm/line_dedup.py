@@ -75,7 +75,7 @@ def _keys_of(text: str) -> Column:
     return F.transform(lines, one)
 
 
-def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, batches: int = 4, fanout: int = 4, copies_once: bool = False) -> DataFrame:
     """docs with n_lines, n_dropped (long) and text without the lines that enough documents hold.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least one code
@@ -84,18 +84,25 @@ def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, bat
 
     Only hashes are shuffled and counted, once for each document that holds the key and summed before the shuffle; each document's
     common keys are gathered (at most its own lines) and meet the text again in one join. Null text is one empty line and
-    stays null if nothing is dropped from it; lines without a key stay. Repeated rows count as documents each. An empty
+    stays null if nothing is dropped from it; lines without a key stay. Repeated rows count as documents each; with
+    copies_once, documents with the same set of keys count as one, so copies alone make no line common. An empty
     table gives an empty one. Columns named n_lines or n_dropped are replaced.
     """
     checked(docs, text)
     docs = docs.drop("n_lines", "n_dropped")
     same = ["__weft_t", "__weft_t2", "__weft_len"]  # equal texts have equal lines
     marked = docs.withColumns({"__weft_t": F.xxhash64(text_of(text)), "__weft_t2": F.hash(text_of(text)), "__weft_len": F.length(text_of(text))})
-    held = marked.select(*same, F.explode(F.array_distinct(F.array_compact(_keys_of(text)))).alias("k"))
-    held = stored(held.select(*same, f"k.{_KEY}", f"k.{_KEY2}"), "lines")
+    keys, who = F.array_distinct(F.array_compact(_keys_of(text))), "__weft_t"
+    if copies_once:
+        marked, who = marked.withColumn("__weft_who", F.xxhash64(F.array_sort(keys))), "__weft_who"
+    named = list(dict.fromkeys([*same, who]))
+    held = marked.select(*named, F.explode(keys).alias("k"))
+    held = stored(held.select(*named, f"k.{_KEY}", f"k.{_KEY2}"), "lines")
     runs = LineRuns(docs.sparkSession, enough, fanout)
     for b in range(batches):
-        part = held.where(F.pmod(F.col("__weft_t"), F.lit(batches)) == b)
+        part = held.where(F.pmod(F.col(who), F.lit(batches)) == b)
+        if copies_once:
+            part = part.select(who, _KEY, _KEY2).distinct()
         runs.add(part.groupBy(_KEY, _KEY2).agg(F.count("*").alias(_N)))
     # as a table of its own, so the join with a line that a third of all documents hold can be split
     common = stored(runs.common(), "common")
