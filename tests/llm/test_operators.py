@@ -158,6 +158,14 @@ def test_mix_of_clashing_wordless_and_empty(clashing, empty, docs):
     assert mixing.mix(docs.where("text is null or trim(text) = ''")).agg(F.sum("taken"), F.sum("target")).first() == (0, 0.0)
 
 
+def test_mix_meets_targets_of_small_sources(spark):
+    sizes = {"hot": 3000, "b": 7, "c": 120, "d": 131, "e": 61, "f": 1}
+    data = [(f"{s} w{k}", s) for s, n in sizes.items() for k in range(n)]
+    found = mixing.mix(spark.createDataFrame(data, "text string, source string"), min_slots=64).toPandas()
+    by = found.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (by.taken == np.floor(by.target + 0.5)).all() and (by.taken > 0).all() and (found.taken <= 3 * found["size"]).all()
+
+
 def test_targets_are_shared_anew():
     assert mixing.targets([("a", 10), ("b", 100), ("c", 0)]) == [30.0, 80.0, 0.0] and mixing.targets([]) == []
 

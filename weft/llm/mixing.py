@@ -55,8 +55,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     The mix is a sequence of slots of block_words words each (fewer, if all words make less than min_slots such
     slots). Slot i gets the point frac((i + 0.5) * golden ratio), which is mapped through the cumulative target
     weights to a source; its rank among its source's slots names the block that it takes. A source's documents,
-    in a seeded random order, are one stream of words, cut into blocks of equal size; rank r takes block r modulo
-    their number, so a pass is over before the next begins, and no source has more than most passes.
+    in a seeded random order, are one stream of words, cut into blocks of equal size (about block_words, at least one block); rank r takes block r modulo
+    their number, so a pass is over before the next begins, and no source has more than most passes. A source's last slot ends where
+    its target, rounded half up, is met; sources that the points leave short get the missing slots after all others (numbered alike).
 
     Sums along a stream are taken in two steps, within chunks of about chunk_docs documents and over the chunks,
     so a source with a third of all rows is no single task. Reruns agree. Equal rows follow each other in the stream
@@ -85,17 +86,28 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     before = chunks.select("__weft_k", "__weft_chunk", F.coalesce(F.sum("__weft_words").over(over), F.lit(0)).alias("__weft_before"))
     begun = same.withColumn("__weft_in", F.coalesce(F.sum(words).over(within), F.lit(0))).join(before, ["__weft_k", "__weft_chunk"])
     begun = begun.withColumn("__weft_start", F.col("__weft_before") + F.col("__weft_in")).withColumn("__weft_end", F.col("__weft_start") + words)
-    piece = F.explode(F.sequence(F.expr(f"__weft_start div {block}"), F.expr(f"(__weft_end - 1) div {block}"))).alias("__weft_block")
+    begun = begun.withColumn("__weft_blocks", blocks_of(block))
+    piece = F.explode(F.sequence(block_at("__weft_start"), block_at("(__weft_end - 1)"))).alias("__weft_block")
     pieces = begun.where(F.col(_N) > 0).select("__weft_k", *row, "__weft_start", "__weft_end", piece)
-    takes = schedule(spark, plan, rows, block, most).groupBy("__weft_k", "__weft_block").agg(F.count("*").alias("__weft_times"))
-    overlap = F.least(F.col("__weft_end"), (F.col("__weft_block") + 1) * block) - F.greatest(F.col("__weft_start"), F.col("__weft_block") * block)
+    takes = schedule(spark, plan, rows, block).groupBy("__weft_k", "__weft_block", "__weft_from", "__weft_to").agg(F.count("*").alias("__weft_times"))
+    overlap = F.greatest(F.least("__weft_end", "__weft_to") - F.greatest("__weft_start", "__weft_from"), F.lit(0))
     taken = pieces.join(takes, ["__weft_k", "__weft_block"]).groupBy(*row).agg(F.sum(overlap * F.col("__weft_times")).alias("__weft_taken"))
     found = same.join(taken, row, "left").select(*row, F.col(_N).alias("size"), "source_size", "target", F.expr("coalesce(__weft_taken, 0) div __weft_copies").alias("taken"))
     return keyed.join(found, row).drop(*row)
 
 
-def schedule(spark: SparkSession, plan: DataFrame, rows: list[tuple], block: int, most: float, chunk: int = 16384) -> DataFrame:
-    """The slots of the mix: number, source's number, rank in the source, and the block that the slot takes.
+def blocks_of(block: int) -> Column:
+    """How many blocks a source of source_size words has."""
+    return F.greatest(F.floor(F.col("source_size") / block + 0.5), F.lit(1)).cast("long")
+
+
+def block_at(word: str) -> Column:
+    """The block of a source's word: block b begins with word b * source_size div __weft_blocks."""
+    return F.expr(f"(({word} + 1) * __weft_blocks - 1) div source_size")
+
+
+def schedule(spark: SparkSession, plan: DataFrame, rows: list[tuple], block: int, chunk: int = 16384) -> DataFrame:
+    """The slots of the mix: number, source's number, rank in the source, the block that the slot takes, and its words from and to.
 
     Ranks come in two steps too: counts of each source within chunks of consecutive slots, summed over the chunks,
     and ranks within a chunk.
@@ -120,6 +132,19 @@ def schedule(spark: SparkSession, plan: DataFrame, rows: list[tuple], block: int
     part = slot.groupBy("__weft_k", "__weft_c").agg(F.count("*").alias("n"))
     before = part.select("__weft_k", "__weft_c", F.coalesce(F.sum("n").over(Window.partitionBy("__weft_k").orderBy("__weft_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__weft_b"))
     ranked = slot.withColumn("__weft_r", F.row_number().over(Window.partitionBy("__weft_c", "__weft_k").orderBy("id")) - 1).join(before, ["__weft_k", "__weft_c"])
-    ranked = ranked.withColumn("rank", F.col("__weft_r") + F.col("__weft_b")).join(F.broadcast(plan.select("__weft_k", "source_size")), "__weft_k")
-    blocks = F.expr(f"(source_size + {block - 1}) div {block}")
-    return ranked.where(F.col("rank") < F.floor(F.lit(most)) * blocks).select(F.col("id").alias("slot"), "__weft_k", "rank", F.expr(f"rank % ((source_size + {block - 1}) div {block})").alias("__weft_block"))
+    ranked = ranked.select("id", "__weft_k", (F.col("__weft_r") + F.col("__weft_b")).alias("rank"))
+    sized = plan.where("source_size > 0").select("__weft_k", "source_size", F.floor(F.col("target") + 0.5).alias("__weft_goal"), blocks_of(block).alias("__weft_blocks"))
+    sized = sized.withColumn("__weft_rest", F.expr("__weft_goal % source_size"))
+    # so many slots meet the target
+    need = F.expr("(__weft_goal div source_size) * __weft_blocks") + F.when(F.col("__weft_rest") > 0, block_at("(__weft_rest - 1)") + 1).otherwise(0)
+    sized = sized.withColumn("__weft_need", need)
+    had = part.groupBy("__weft_k").agg(F.sum("n").alias("n"))
+    short = sized.join(had, "__weft_k", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < __weft_need")
+    more = short.select(F.lit(slots).cast("long").alias("id"), "__weft_k", F.explode(F.expr("sequence(n, __weft_need - 1)")).alias("rank"))
+    found = ranked.unionByName(more).join(F.broadcast(sized), "__weft_k").where("rank < __weft_need").withColumn("__weft_block", F.expr("rank % __weft_blocks"))
+    end = F.expr("((__weft_block + 1) * source_size) div __weft_blocks")
+    last = (F.col("rank") == F.col("__weft_need") - 1) & (F.col("__weft_rest") > 0)
+    return found.select(
+        F.col("id").alias("slot"), "__weft_k", "rank", "__weft_block",
+        F.expr("(__weft_block * source_size) div __weft_blocks").alias("__weft_from"), F.when(last, F.col("__weft_rest")).otherwise(end).alias("__weft_to"),
+    )
