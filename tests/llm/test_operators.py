@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_wrapper, kdtree, line_dedup, lm_scoring, minhash, mixing, sharding, syncmers, toxicity
+from weft.llm import bpe, html_wrapper, kdtree, line_dedup, minhash, mixing, sharding, syncmers, toxicity
 from weft.llm.common import text_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,88 +202,6 @@ def test_toxicity_of_edges(docs, clashing, empty, spark):
     assert toxicity.score(docs, toxicity.train(empty, labels)).agg(F.max("score")).first()[0] < 1e-6
 
 
-# 6
-
-
-def lm_path():
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def test_lm_counts_and_base_scores(docs):
-    model, counts = lm_scoring.train(docs.where("doc_id % 5 <> 1"), lm_path(), epochs=1, common=3)
-    found = lm_scoring.score(docs, model, counts).collect()
-    train: dict = {}
-    for r in docs.where("doc_id % 5 <> 1").collect():
-        for w in [*(r.text or "").lower().split(), None]:
-            train[w] = train.get(w, 0) + 1
-    total, kinds = sum(train.values()), len(train)
-    assert len(found) == docs.count()
-    for r in found:
-        words = [*(r.text or "").lower().split(), None]
-        base = sum(np.log10((train.get(w, 0) + 0.5) / (total + 0.5 * (kinds + 1))) for w in words)
-        assert r.n_tokens == len(words) and r.n_known == sum(w in train for w in words) and r.train_tokens == total and abs(r.base_score - base) < 1e-9 * max(1, abs(base)) and r.score < 0
-
-
-def test_lm_windows_count_each_unit_once():
-    for n in (0, 1, 7, 8, 9, 23, 40):
-        seq = np.arange(3, 3 + n)
-        units, wanted = lm_scoring.windows(seq, 8)
-        assert wanted[wanted >= 0].tolist() == [*seq, lm_scoring.END] and units.shape == wanted.shape
-
-
-def test_lm_probabilities_are_causal_and_sum_to_one():
-    net = lm_scoring.Attention(np.zeros(10), dim=8, width=6)
-    units = np.array([[0, 3, 4, 5, 6, 7]])
-    total = sum(np.exp(net.log_probs(units, np.array([0]), np.array([2]), np.array([w])))[0] for w in range(10))
-    changed = units.copy()
-    changed[0, 3:] = 9
-    same = [net.log_probs(u, np.array([0]), np.array([2]), np.array([5]))[0] for u in (units, changed)]
-    assert abs(total - 1) < 1e-5 and abs(same[0] - same[1]) < 1e-6
-
-
-def test_lm_windows_score_as_whole_ones():
-    net = lm_scoring.Attention(np.zeros(20), dim=8, width=8)
-    units, wanted = lm_scoring.windows(np.random.default_rng(2).integers(3, 20, 45), 8)
-    r, u, got = net.window_scores(units, wanted, net.tables())
-    rows, cols = np.nonzero(wanted >= 0)
-    assert np.allclose(np.sort(got), np.sort(net.log_probs(units, rows, cols, wanted[rows, cols])), atol=1e-5) and len(u) == len(r) == 46
-
-
-def test_lm_gradients_improve_the_fit():
-    rng = np.random.default_rng(1)
-    units = np.tile(np.arange(3, 9), (64, 2))[:, :8] + 0 * rng.integers(0, 1, (64, 8))
-    wanted = np.roll(units, -1, axis=1)
-    wanted[:, -1] = -1
-    net = lm_scoring.Attention(np.zeros(10), dim=8, width=8)
-    r, c = np.nonzero(wanted >= 0)
-    before = net.log_probs(units, r, c, wanted[r, c]).mean()
-    net.fit(units, wanted, 80)
-    assert net.log_probs(units, r, c, wanted[r, c]).mean() > before + 1
-
-
-def test_lm_of_clashing_and_empty(docs, clashing, empty):
-    model, counts = lm_scoring.train(empty, lm_path(), epochs=1)
-    assert lm_scoring.score(empty, model, counts).count() == 0
-    found = lm_scoring.score(clashing, model, counts)
-    assert found.count() == docs.count() and found.agg(F.max("n_known")).first()[0] == 0 and found.select("word").first()[0] == "own word"
-
-
-def test_lm_learns_from_all_windows_of_a_text(spark):
-    words = random.Random(6).choices([f"w{k}" for k in range(30)], k=500)
-    df = spark.createDataFrame([(" ".join(words),)], "text string").coalesce(1)
-    sub, unit_of = lm_scoring.Subwords(lm_path()), {}
-    for s in sub.of([w.encode() for w in words]):
-        unit_of.setdefault(s, lm_scoring.FIRST + len(unit_of))
-    net, want = (lm_scoring.Attention(np.zeros(lm_scoring.FIRST + len(unit_of)), dim=8, width=16) for _ in "ab")
-    units, wanted = lm_scoring.windows(np.array([unit_of[s] for s in sub.of([w.encode() for w in words])]), 16)
-    for i in range(0, len(units), 40):
-        want.fit(units[i : i + 40], wanted[i : i + 40], 1, 0.002)
-    lm_scoring.refine(df, "text", lm_path(), unit_of, net, each=40)
-    assert len(units) == 62 and all(np.allclose(net.p[k], want.p[k], atol=1e-6) for k in want.p)
-
-
 # 7
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import copy
+import ctypes
 import math
 import os
 from collections import Counter
@@ -15,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import checked, stored
+from weft.llm.attention import END, Attention, Vocabulary, windows
+from weft.llm.common import checked, row_hash, stored
 
-#: Inputs and outputs of the model: the start of a text, its end, subwords without a unit of their own, and the others from FIRST on.
-START, END, OTHER, FIRST = 0, 1, 2, 3
 #: The key of the end of a text among the words, none of which is empty.
 END_WORD = b""
 
@@ -28,182 +29,44 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Subwords:
-    """The first subword id of a word: of its first head letters after a blank, so that few distinct ones are encoded.
+def keep_heap() -> None:
+    """Lets the C library keep numpy's freed temporaries for the next ones, instead of mapping pages anew."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 26)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
 
-    Words and heads are remembered; the memory is emptied when it is full.
-    """
 
-    def __init__(self, path: str, head: int = 6, most: int = 400_000):
+class Subwords:
+    """The first subword id of a whole word behind a blank. Words are remembered; the memory is emptied when it is full."""
+
+    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 40_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.head, self.most = Tokenizer.from_file(path), head, most
-        self.heads: dict[str, int] = {}
+        self.model, self.most, self.most_bytes, self.bytes = Tokenizer.from_file(path), most, most_bytes, 0
         self.words: dict[bytes, int] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        heads = [w.decode("utf-8", "replace")[: self.head] for w in words]
-        if new := [h for h in dict.fromkeys(heads) if h not in self.heads]:
-            for h, e in zip(new, self.model.encode_batch([" " + h for h in new], add_special_tokens=False), strict=True):
-                self.heads[h] = e.ids[0]
-        self.words.update(zip(words, map(self.heads.__getitem__, heads), strict=True))
-        if len(self.heads) > self.most:
-            self.heads.clear()
-
     def of(self, words: list[bytes]) -> list[int]:
         found = list(map(self.words.get, words))
         if None in found:
-            if len(self.words) > self.most:
+            if len(self.words) > self.most or self.bytes > self.most_bytes:
                 self.words.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.words])
+                self.bytes = 0
+            new = [w for w in dict.fromkeys(words) if w not in self.words]
+            coded = self.model.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+            self.words.update((w, e.ids[0]) for w, e in zip(new, coded, strict=True))
+            self.bytes += sum(map(len, new))
             found = list(map(self.words.__getitem__, words))
         return found
 
 
-class Attention:
-    """One layer of causal self-attention over windows of width units, with a residual path, and a softmax over all units."""
-
-    def __init__(self, bias: np.ndarray, dim: int = 32, width: int = 64, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        n = len(bias)
-        f = lambda *s: rng.normal(0, 1 / math.sqrt(dim), s).astype(np.float32)
-        self.width, self.dim = width, dim
-        self.p = {"emb": f(n, dim), "pos": f(width, dim) * 0.3, "q": f(dim, dim), "k": f(dim, dim), "v": f(dim, dim), "o": f(dim, dim), "out": f(dim, n) * 0.01, "bias": bias.astype(np.float32)}
-        self.mask = np.triu(np.full((width, width), -1e9, np.float32), 1)
-
-    def hidden(self, units: np.ndarray) -> tuple[np.ndarray, ...]:
-        """units: windows x width. All windows at once; a place sees itself and those before it."""
-        p = self.p
-        x = p["emb"][units] + p["pos"]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = (q * np.float32(1 / math.sqrt(self.dim))) @ k.transpose(0, 2, 1)
-        s += self.mask
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
-        return x, q, k, v, s, o, x + o @ p["o"]
-
-    def _choice(self, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of the wanted units after hidden states."""
-        out, ones = np.empty(len(h)), np.ones(len(self.p["bias"]), np.float32)
-        for i in range(0, len(h), 512):  # blocks that stay in the cache
-            z = h[i : i + 512] @ self.p["out"]
-            z += self.p["bias"]
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), wanted[i : i + 512]].astype(np.float64)
-            out[i : i + 512] = own - np.log((np.exp(z, out=z) @ ones).astype(np.float64))
-        return out
-
-    def log_probs(self, units: np.ndarray, rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The same of the wanted units after places (rows, cols) of whole windows."""
-        return self._choice(self.hidden(units)[-1][rows, cols], wanted)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each unit and each place add to a place's own vector, query, key and value, side by side."""
-        p, scale = self.p, np.float32(1 / math.sqrt(self.dim))
-        both = [np.concatenate([x, x @ p["q"] * scale, x @ p["k"], x @ p["v"]], axis=1) for x in (p["emb"], p["pos"])]
-        return both[0], both[1]
-
-    def window_scores(self, units: np.ndarray, wanted: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """rows, wanted units and their logarithms for all places with wanted >= 0. Windows that count in their second half
-        only have queries there only; keys and values are of the whole window."""
-        d, half, out = self.dim, self.width // 2, []
-        early = (wanted[:, :half] >= 0).any(axis=1)
-        for which, lo in ((np.flatnonzero(early), 0), (np.flatnonzero(~early), half)):
-            if not len(which):
-                continue
-            u, w = units[which], wanted[which, lo:]
-            kv = tables[0][u, 2 * d :] + tables[1][:, 2 * d :]
-            xq = tables[0][u[:, lo:], : 2 * d] + tables[1][lo:, : 2 * d]
-            s = xq[:, :, d:] @ kv[:, :, :d].transpose(0, 2, 1)
-            s += self.mask[lo:]
-            s -= s.max(axis=2, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(axis=2, keepdims=True)
-            o = s @ kv[:, :, d:]
-            r, c = np.nonzero(w >= 0)
-            out.append((which[r], w[r, c], self._choice(xq[r, c, :d] + o[r, c] @ self.p["o"], w[r, c])))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def fit(self, units: np.ndarray, wanted: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 64, seed: int = 4) -> None:
-        """Adam over shuffled windows; places with wanted < 0 don't count."""
-        p, rng = self.p, np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        u = {k: np.zeros_like(v) for k, v in p.items()}
-        step, total = 0, max(1, epochs * -(-len(units) // batch))
-        for _ in range(epochs):
-            order = rng.permutation(len(units))
-            for at in range(0, len(order), batch):
-                a, w = units[order[at : at + batch]], wanted[order[at : at + batch]]
-                x, q, k, v, s, o, h = self.hidden(a)
-                r, c = np.nonzero(w >= 0)
-                if not len(r):
-                    continue
-                hs = h[r, c]
-                z = hs @ p["out"] + p["bias"]
-                z -= z.max(axis=1, keepdims=True)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(z)), w[r, c]] -= 1
-                z /= len(r)
-                g = {"out": hs.T @ z, "bias": z.sum(axis=0)}
-                dh = np.zeros_like(h)
-                dh[r, c] = z @ p["out"].T
-                flat = lambda t: t.reshape(-1, self.dim)
-                g["o"] = flat(o).T @ flat(dh)
-                do = dh @ p["o"].T
-                ds = do @ v.transpose(0, 2, 1)
-                dv = s.transpose(0, 2, 1) @ do
-                ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / math.sqrt(self.dim)
-                dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-                g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-                dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-                g["pos"] = dx.sum(axis=0)
-                g["emb"] = np.zeros_like(p["emb"])
-                np.add.at(g["emb"], a.reshape(-1), flat(dx))
-                step += 1
-                lr = rate * (1 - step / (total + 1)) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                for key, d in g.items():
-                    m[key] += 0.1 * (d - m[key])
-                    u[key] += 0.01 * (d * d - u[key])
-                    p[key] -= lr * m[key] / (np.sqrt(u[key]) + 1e-8)
-
-
-def windows(sequence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping context windows over START and the units, and the unit that follows each place; -1 where an earlier
-    window has it or the text is over. Each next window begins half a width later and counts in its second half only, so
-    every unit, END included, is counted once, after at least half a width of context (or all there is)."""
-    after = np.concatenate([sequence, [END]])
-    before = np.concatenate([[START], sequence])
-    half = width // 2
-    n = 1 + max(0, -(-(len(before) - width) // half))
-    at = half * np.arange(n)[:, None] + np.arange(width)
-    inside = at < len(before)
-    wanted = np.where(inside, after[np.minimum(at, len(after) - 1)], -1)
-    wanted[1:, :half] = -1
-    return np.where(inside, before[np.minimum(at, len(before) - 1)], END), wanted
-
-
-def one_window(words: list[bytes], x: int, width: int, sub: Subwords, unit_of: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The window that x names among those of the words; only its own words are turned into units."""
-    half = width // 2
-    k = x % (1 + max(0, -(-(len(words) + 1 - width) // half)))
-    first = max(0, k * half - 1)
-    own = words[first : k * half + width]
-    known = np.full(len(words), OTHER, dtype=np.int64)
-    known[first : first + len(own)] = [unit_of.get(s, OTHER) for s in sub.of(own)]
-    a, w = windows(known, width)
-    return a[k], w[k]
-
-
 class Model:
-    """What scoring needs besides the counts of rare words: the units, their masses, the attention model, common words."""
+    """What scoring needs besides the counts of rare words: the units, the attention model, common words."""
 
-    def __init__(self, path: str, unit_of: dict[int, int], masses: np.ndarray, net: Attention, common: dict[bytes, int], tokens: int, types: int):
-        self.path, self.unit_of, self.net, self.common = path, unit_of, net, common
-        self.log_mass = np.log10(masses)
+    def __init__(self, path: str, units: Vocabulary, net: Attention, common: dict[bytes, int], tokens: int, types: int):
+        self.path, self.units, self.net, self.common = path, units, net, common
+        self.log_mass = np.log10(np.maximum(units.weight, 0.5))
         self.tokens, self.types = tokens, types
         self.log_all = math.log10(tokens + 0.5 * (types + 1))
 
@@ -230,15 +93,16 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 300_000) -> Da
     return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, path: str, text: str = "text", units: int = 256, common: int = 100_000, fit_windows: int = 4096, epochs: int = 6, width: int = 64) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000, fit_windows: int = 4096, steps: int = 384, dim: int = 16, width: int = 32) -> tuple[Model, DataFrame]:
     """The model and the counts (word, c) of all words of docs.
 
-    path: a byte-level BPE file of the tokenizers library. A word's unit is its first subword id, if that is among the units - 3
-    with most words in docs. All counts are over all docs: of words, of units, and of what each unit's words are worth.
-    They stay a table; the driver gets the units (a fixed number) and the common most frequent words.
+    path: a byte-level BPE file of the tokenizers library. A word's place in the sequence is its first subword id; every id of the
+    tokenizer has a place in the two-level output (Vocabulary). What follows that id in a word is given by the counts of whole words, which, like
+    the masses of the ids, are over all docs. They stay a table; the driver gets one row for each id (a fixed number) and the common
+    most frequent words.
 
-    The attention weights start from a fit on fit_windows windows (of the documents with the smallest hash of their text), the
-    bound of what comes to the driver; then all windows of every document of docs take part in refine().
+    The attention weights start from a fit of about so many steps on fit_windows windows (of the documents with the smallest hash of their
+    row), the bound of what comes to the driver; then every word of every document of docs takes part in refine().
     """
     counts = stored(count_words(docs, text), "counts")
 
@@ -250,75 +114,103 @@ def train(docs: DataFrame, path: str, text: str = "text", units: int = 256, comm
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (counts.where(F.length("word") == 0).first() or (b"", 0))[1]
     by_sub = counts.where(F.length("word") > 0).mapInArrow(masses, "sub int, c long").groupBy("sub").agg((F.sum("c") + F.count("*") * 0.5).alias("mass"))
-    found = sorted(((r[1], r[0]) for r in by_sub.collect()), key=lambda x: (-x[0], x[1]))  # at most the tokenizer's vocabulary
-    unit_of = {s: FIRST + i for i, (_, s) in enumerate(found[: units - FIRST])}
-    mass = np.full(units, 0.5)  # one unknown word in each unit
-    mass[END] = ends + 0.5
-    for m, s in found:
-        mass[unit_of.get(s, OTHER)] += m
+    mass = np.full(Subwords(path).model.get_vocab_size(), 0.5)  # one unknown word for each id
+    for r in by_sub.collect():  # at most the tokenizer's vocabulary
+        mass[r[0]] += r[1]
+    units = Vocabulary(mass, ends + 0.5)
     top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(common).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    net = Attention(np.where(np.arange(units) == START, -30.0, np.log(mass / mass.sum())), width=width)
-    sub = Subwords(path)
-    h = F.xxhash64(text, F.lit(9))
-    sample = docs.where(F.col(text).isNotNull()).select(text, h.alias("h")).orderBy("h").limit(fit_windows).toArrow()
-    some = []
-    for t, x in zip(sample.column(0), sample.column(1).to_pylist(), strict=True):
-        some.append(one_window(words_of(t.as_py()), x, width, sub, unit_of))
-    if some:
-        net.fit(np.array([a for a, _ in some]), np.array([w for _, w in some]), epochs)
-        refine(docs, text, path, unit_of, net)
-    return Model(path, unit_of, mass, net, known, tokens, types), counts
-
-
-def refine(docs: DataFrame, text: str, path: str, unit_of: dict[int, int], net: Attention, rate: float = 0.002, each: int = 8192) -> None:
-    """One more pass over docs: all windows of every document take part, the same as score() has.
-
-    Each task goes on from the net's weights with the windows of its own documents, in chunks of each; the tasks' weights are
-    averaged by their numbers of windows, 64 at a time in three steps, so no task holds more than 64 sets of
-    weights and the driver gets few.
+    net = Attention(units, dim, width)
+    a, w = sample(docs, text, path, units, width, fit_windows)
+    if len(a):
+        net.fit(a, w, -(-steps // -(-len(a) // 64)), 0.01, 64)
+        refine(docs, text, path, units, net, tokens)
+    return Model(path, units, net, known, tokens, types), counts
+
+
+def sequences(texts: list[str | None], sub: Subwords, units: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The units of the words of all texts, one text behind the other, and each text's number of words."""
+    words = list(map(words_of, texts))
+    return units.unit[np.array(sub.of([w for x in words for w in x]), np.int64)], np.array(list(map(len, words)), np.int64)
+
+
+def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """One window, named by the hash of its row, of each of the most documents with the smallest hashes."""
+    h = row_hash(docs, 9)
+    last = docs.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return np.empty((0, width), np.int64), np.empty((0, width), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(units)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, sub = shared.value, Subwords(path)
+        for batch in batches:
+            inputs, wanted = [], []
+            for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                a, w, _ = windows(*sequences([t.as_py()], sub, units), units.start, width, width)
+                inputs.append(a[x % len(a)].tolist())
+                wanted.append(w[x % len(a)].tolist())
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(inputs, kind), pa.array(wanted, kind)], ["h", "a", "w"])
+
+    found = docs.select(text, h.alias("h")).where(F.col("h") <= last).mapInArrow(run, "h long, a array<int>, w array<int>").orderBy("h").limit(most).toArrow()
+    return (np.array(found.column(k).to_pylist(), np.int64).reshape(-1, width) for k in ("a", "w"))
+
+
+def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 2_000_000, each: int = 4096, batch: int = 512) -> None:
+    """One more pass over docs: every word and end of every document is wanted once, in windows that lie side by side.
+
+    The documents are dealt by hashes of their rows to parts of about so many words, in order of a second hash, so the result does not
+    depend on how docs is split. Each part goes on from the net's weights; the parts' weights are averaged by
+    their numbers of windows, 64 at a time in three steps, so no task holds more than 64 sets of weights and the driver gets few.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((path, unit_of, net))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((path, units, net))  # of fixed size
     names = sorted(net.p)
+    parts = max(1, -(-tokens // part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, unit_of, own = shared.value
-        own, sub, total = copy.deepcopy(own), Subwords(path), 0
-        some: list[tuple[np.ndarray, np.ndarray]] = []
+        keep_heap()
+        path, units, own = shared.value
+        own, sub, total, k = copy.deepcopy(own), Subwords(path), 0, None
+        memory = {"step": 0, "m": {x: np.zeros_like(v) for x, v in own.p.items()}, "u": {x: np.zeros_like(v) for x, v in own.p.items()}}
+        waiting: list[str | None] = []
 
         def learn() -> int:
-            units, wanted = (np.concatenate(x) for x in zip(*some, strict=True))
-            some.clear()
-            for i in range(0, len(units), each):  # a long text may have more
-                own.fit(units[i : i + each], wanted[i : i + each], 1, rate)
-            return len(units)
-
-        waiting = 0
-        for batch in batches:
-            for t in batch.column(0):
-                some.append(windows(np.array([unit_of.get(s, OTHER) for s in sub.of(words_of(t.as_py()))], dtype=np.int64), own.width))
-                waiting += len(some[-1][0])
-                if waiting >= each:
-                    total, waiting = total + learn(), 0
-        if some:
+            a, w, _ = windows(*sequences(waiting, sub, units), units.start, own.width, own.width)
+            waiting.clear()
+            for i in range(0, len(a), each):  # a long text may have more
+                own.fit(a[i : i + each], w[i : i + each], 1, rate, batch, memory)
+            return len(a)
+
+        size = 0
+        for rows in batches:
+            for t, k in zip(rows.column(0), rows.column(1), strict=True):  # noqa: B007
+                waiting.append(t.as_py())
+                size += 1 + len(waiting[-1] or "") // 6  # about its words
+                if size >= each * own.width:
+                    total, size = total + learn(), 0
+        if waiting:
             total += learn()
-        flat = np.concatenate([own.p[k].ravel().astype(np.float64) * total for k in names])
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
+        if total:
+            flat = np.concatenate([own.p[x].ravel() * np.float32(total) for x in names])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["k", "n", "w"])
 
     def added(table):
-        sums = np.sum([np.frombuffer(w) for w in table.w], axis=0)
-        return pd.DataFrame({"k": [int(table.k.iloc[0]) // 64], "n": [int(table.n.sum())], "w": [sums.tobytes()]})
+        table = table.sort_values("k")
+        sums = np.sum([np.frombuffer(w, np.float32) for w in table.w], axis=0, dtype=np.float64)
+        return pd.DataFrame({"k": [int(table.k.iloc[0]) // 64], "n": [int(table.n.sum())], "w": [sums.astype(np.float32).tobytes()]})
 
-    parts = docs.select(text).mapInArrow(run, "n long, w binary").withColumn("k", F.expr("spark_partition_id() div 64").cast("long"))
+    dealt = docs.select(text, F.pmod(row_hash(docs, 5), F.lit(parts)).cast("int").alias("k"), row_hash(docs, 6).alias("h"))
+    found = dealt.repartitionById(parts, "k").sortWithinPartitions("h").select(text, "k").mapInArrow(run, "k long, n long, w binary")
     for _ in range(3):
-        parts = parts.groupBy("k").applyInPandas(added, "k long, n long, w binary")
-    found = [(r["n"], np.frombuffer(r["w"])) for r in parts.collect()]
-    total = sum(n for n, _ in found)
+        found = found.groupBy(F.expr("k div 64").alias("g")).applyInPandas(added, "k long, n long, w binary")
+    rows = sorted((r["k"], r["n"], np.frombuffer(r["w"], np.float32).astype(np.float64)) for r in found.collect())
+    total = sum(n for _, n, _ in rows)
     if total:
-        mean, at = sum(w for _, w in found) / total, 0
-        for k in names:
-            size = net.p[k].size
-            net.p[k] = mean[at : at + size].reshape(net.p[k].shape).astype(np.float32)
+        mean, at = sum(w for _, _, w in rows) / total, 0
+        for x in names:
+            size = net.p[x].size
+            net.p[x] = mean[at : at + size].reshape(net.p[x].shape).astype(np.float32)
             at += size
 
 
@@ -326,9 +218,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     """docs with n_tokens, n_known, train_tokens (long), base_score and score (double), base-10 logarithms.
 
     A text is its words (lower-cased A-Z, between ASCII white space) and one end. base_score takes each for itself: (c + 0.5) / (N +
-    0.5 * (V + 1)). score is the model's: the attention model gives the probability of the next word's unit after the words
-    before it, in overlapping windows that count each word once; within its unit a word has the share (c + 0.5) / (mass of the unit,
-    with one unknown word). Both are proper distributions over the known words and the unknown.
+    0.5 * (V + 1)). score is the model's: the attention model gives the probability of the next word's first subword id (or its
+    bin of rare ids) after those of the words before it, in overlapping windows that count each word once, three quarters of a
+    window later each; within it a word has the share (c + 0.5) / (mass of all words there, with an unknown one for each id). Both are proper
+    distributions over the known words and the unknown.
 
     Counts of the common words are with the tasks; those of all others are joined, once for each document and
     word. Null and empty texts are one end. Repeated rows are rows of their own; an empty table gives an empty one; columns with the names
@@ -340,42 +233,41 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: units, weights, and at most so many common words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         m, sub = shared.value, Subwords(shared.value.path)
         log_c = {w: math.log10(c + 0.5) for w, c in m.common.items()}
-        width, added = m.net.width, m.net.tables()
-        end_log = float(m.log_mass[END])
+        width, step, added = m.net.width, m.net.width * 3 // 4, m.net.tables()
         rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("tf", pa.int32())]))
+
+        def some(texts: list[str | None]) -> list[pa.Array]:
+            words = list(map(words_of, texts))
+            every = [w for x in words for w in x]
+            sizes = np.array(list(map(len, words)), np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            logs = np.array(list(map(log_c.get, every)), np.float64)  # None is NaN
+            other = np.isnan(logs)
+            rare: list[Counter[bytes]] = [Counter() for _ in texts]
+            for i, k in zip(np.flatnonzero(other).tolist(), owner[other].tolist(), strict=True):
+                rare[k][every[i]] += 1
+            logs[other] = 0
+            known = sizes - np.bincount(owner, other, len(sizes)).astype(np.int64) + (1 if m.tokens else 0)
+            units = m.units.unit[np.array(sub.of(every), np.int64)]
+            a, w, who = windows(units, sizes, m.units.start, width, step)
+            gain = -np.bincount(owner, m.log_mass[units], len(sizes)) - m.log_mass[END]
+            for j in range(0, len(a), 512):
+                r, got = m.net.score(a[j : j + 512], w[j : j + 512], added, step)
+                gain += np.bincount(who[j : j + 512][r], got, len(sizes)) / math.log(10)
+            sums = np.bincount(owner, logs, len(sizes)) + m.log_mass[END]
+            return [pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(gain), pa.array([[{"w": w, "tf": n} for w, n in x.items()] for x in rare], rare_kind)]
+
         for batch in batches:
-            texts = batch.column(at)
-            size, known, logs, gain, rare = [], [], [], [], []
-            start = 0
-            while start < len(texts):
-                inputs, wanted, owner = [], [], []
-                total, i = 0, start
-                while i < len(texts) and total < batch_words:
-                    words = words_of(texts[i].as_py())
-                    total += len(words) + 1
-                    found = [log_c.get(w) for w in words]
-                    counted = [x for x in found if x is not None]
-                    other = Counter(w for w, x in zip(words, found, strict=True) if x is None) if len(counted) < len(words) else {}
-                    size.append(len(words) + 1)
-                    known.append(len(counted) + 1 if m.tokens else 0)
-                    logs.append(math.fsum(counted) + end_log)
-                    rare.append([{"w": w, "tf": n} for w, n in other.items()])
-                    a, w = windows(np.array([m.unit_of.get(s, OTHER) for s in sub.of(words)], dtype=np.int64), width)
-                    inputs.append(a)
-                    wanted.append(w)
-                    owner.append(np.full(len(a), i - start))
-                    i += 1
-                a, w, who = np.concatenate(inputs), np.concatenate(wanted), np.concatenate(owner)
-                for_doc = np.zeros(i - start)
-                for j in range(0, len(a), 128):
-                    r, unit, got = m.net.window_scores(a[j : j + 128], w[j : j + 128], added)
-                    for_doc += np.bincount(who[j : j + 128][r], got / math.log(10) - m.log_mass[unit], minlength=len(for_doc))
-                gain += for_doc.tolist()
-                start = i
-            columns = [pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(gain, pa.float64()), pa.array(rare, rare_kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            texts, start, size = [], 0, 0
+            for i, t in enumerate(batch.column(at)):
+                texts.append(t.as_py())
+                size += 1 + len(texts[-1] or "") // 6  # about its words
+                if size >= batch_words or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, *some(texts)], names)
+                    texts, start, size = [], i + 1, 0
 
     kind = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_tokens long, __weft_known long, __weft_log double, __weft_gain double, __weft_rare array<struct<w:binary,tf:int>>").fields])
     scored = stored(docs.mapInArrow(run, kind).withColumn("__weft_row", F.monotonically_increasing_id()), "scored")
