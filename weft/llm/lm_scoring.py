@@ -157,7 +157,7 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
     return (np.array(found.column(k).to_pylist(), np.int64).reshape(-1, width) for k in ("a", "w"))
 
 
-def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 2_000_000, each: int = 4096, batch: int = 512) -> None:
+def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 1_000_000, each: int = 4096, batch: int = 512) -> None:
     """One more pass over docs: every word and end of every document is wanted once, in windows that lie side by side.
 
     The documents are dealt by hashes of their rows to parts of about so many words, in order of a second hash, so the result does not
