@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, html_wrapper, kdtree, line_dedup, minhash, mixing, sharding, syncmers, toxicity
+from weft.llm import bpe, kdtree, line_dedup, minhash, mixing, sharding, syncmers, toxicity
 from weft.llm.common import text_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,33 +75,6 @@ def test_fisher_yates_is_a_permutation():
     assert sorted(sharding.fisher_yates(100, [1])) == list(range(100)) and sharding.fisher_yates(0, [1]).size == 0
 
 
-# 2
-
-PAGE = """<html><head><title>t</title></head><body><nav><a>menu</a></nav><div>{junk}</div><div class="{name}"><h1>{title}</h1><p>One &amp; <b>two</b>
- three.<p>{body}<ul><li>item {title}<li>other</ul><p>constant</div><div id="comments"><p>reader</p></div><form>name<input></form><footer>f</footer></body>"""
-
-
-def test_main_text_of_unnamed_containers(spark):
-    pages = [(i, "http://h.org/" + str(i), PAGE.format(junk="same notice", name="x", title=f"Title {i}", body=f"Body {i} " * 30)) for i in range(8)]
-    found = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert found[3] == "Title 3\nOne & two three.\n" + ("Body 3 " * 30).strip() + "\nitem Title 3\nother\nconstant"
-
-
-def test_pages_with_edges(spark, clashing):
-    article = "<body><aside>no</aside><article><h1>A</h1>text<br>more<script>x</script><div class='ad'>buy</div></article>"
-    pages = [(1, None, None), (2, "", ""), (3, "nonsense", article), (3, "nonsense", article), (4, "http://a/", "<p>unclosed <b>bold"), (5, "http://a/", "plain & simple"), (6, "http://a/", "<" * 3000), (7, "http://a/", "<div>" * 2000 + "deep")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("host", F.lit(1))
-    found = {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
-    assert found[1] == found[2] == "" and found[3] == "A\ntext more" and found[4] == "unclosed bold" and found[5] == "plain & simple" and found[7] == "deep"
-    assert html_wrapper.extract(df.where("page_id < 0")).count() == 0
-
-
-def test_tree_matching_keeps_order():
-    t = lambda k, *kids: {"k": k, "t": 0, "n": 1, "v": 0, "c": 0, "b": 0, "r": 0, "kids": list(kids)}
-    a, b = t("r", t("a"), t("b", t("x")), t("c")), t("r", t("b", t("x")), t("a"), t("c"))
-    assert html_wrapper.match(a, b)[0] == 4 and [k["k"] for k in html_wrapper.merge(a, b)["kids"]] == ["a", "b", "a", "c"]
-
-
 # 3
 
 

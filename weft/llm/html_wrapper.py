@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import html as htmllib
 import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -17,52 +19,62 @@ from pyspark.sql import types as T
 from weft.llm.common import checked, stored
 
 #: HTML elements without content, those whose content is no markup, and those that are blocks of text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"])
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul optgroup option".split()
 )
-#: Elements that never hold the main text.
-NEVER = frozenset("head script style noscript template nav header footer aside form button select option input textarea iframe svg canvas object embed audio video dialog menu title link meta fieldset label".split())
-#: Words of class, id and role that mark boilerplate, and those that mark the main text.
+#: Elements that are no text of the page, by HTML's own rules.
+NEVER = frozenset(
+    "head script style noscript template nav header footer aside form button select option input textarea iframe svg canvas object embed audio video dialog menu title link meta fieldset label".split()
+)
+#: Words of a class, id or role that mark boilerplate where no other words but these and the neutral ones stand beside them.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar "
-    "footer foot bottombar copyright sidebar aside rail widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus discussion replies reply respond pagination pager toolbar tags "
-    "complementary contentinfo dialog skip hidden legal disclaimer paywall".split()
+    "footer bottombar copyright sidebar aside widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices notification alert "
+    "popup modal overlay newsletter subscribe subscription signup login searchbox comment comments commentlist disqus replies pagination pager toolbar "
+    "complementary contentinfo skip disclaimer paywall".split()
 )
-CONTAINER = frozenset("#root html body div section center main article td".split())
-MAIN = frozenset("article main content post entry story articlebody body text page primary".split())
+NEUTRAL = frozenset("site page top bottom left right box area list section wrapper container block bar link links item items inner outer user reader form thread the my and js".split())
+#: Elements that can hold a page's main text.
+CONTAINER = frozenset(["#root", "html", "body", "div", "section", "center", "main", "article", "td", "table", "tbody", "tr"])
+#: Elements whose names say nothing of what they are.
+UNNAMED = frozenset(["html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"])
 #: An open element that ends where one of these begins.
 ENDS = {
-    "p": BLOCK - frozenset("html body head".split()),
+    "p": BLOCK - frozenset(["html", "body", "head"]),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"]), "head": frozenset(["body"]),
 }
 #: What an end tag or an implied end can't reach across.
 FENCE = frozenset("table td th ul ol dl article section main aside nav header footer div blockquote form button object body html".split())
+#: A node that fewer than one page in RARE has is no template.
+RARE = 50
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|<[!?][^>]*(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _NAME = re.compile(r"[a-z]+|\d+")
-_SPACE = re.compile(r"[\s ]+")
+_WORD = re.compile(r"[^\W_]+")
+_SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    """An element: tag, its mark (tag with class and id), and children: elements and pieces of text."""
+    """An element: tag, its mark (tag with class and id), the words of its names, and children: elements and pieces of text."""
 
     __slots__ = ("tag", "mark", "names", "kids", "up", "off")
 
-    def __init__(self, tag: str, up: Node | None, mark: str = "", names: frozenset[str] = frozenset(), off: bool = False):
+    def __init__(self, tag: str, up: Node | None, mark: str = "", names: str = "", off: bool = False):
         self.tag, self.up, self.mark, self.names, self.off = tag, up, mark or tag, names, off
         self.kids: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Unclosed, misnested and unknown elements are mended as browsers roughly do; nothing raises."""
+    """The tree of a page, with what is no text of it turned off. Unclosed, misnested and unknown elements are mended as browsers
+    roughly do; nothing raises."""
     root = node = Node("#root", None)
+    named: list[Node] = []
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -95,33 +107,86 @@ def parse(page: str) -> Node:
         if m[3] and not m[3].isspace():
             for a in _ATTR.finditer(m[3]):
                 attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-        words = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-        names = frozenset(_NAME.findall(words)) if words.strip() else frozenset()
-        mark = f"{tag}.{'.'.join(sorted(x for x in names if not x.isdigit()))}" if names else tag
-        off = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        child = Node(tag, node, mark, names, off)
+        names = " ".join([attrs[k] for k in ("class", "id", "role") if attrs.get(k)]).lower() if attrs else ""
+        words = sorted({x for x in _NAME.findall(names) if not x.isdigit()}) if names else ()
+        child = Node(tag, node, f"{tag}.{'.'.join(words)}" if words else tag, names)
+        child.off = tag in NEVER or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         node.kids.append(child)
+        if names and not child.off and tag not in UNNAMED and telling(names):
+            named.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag in ("textarea", "title"):
-                child.kids.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             node = child
         elif tag not in VOID and tag in BLOCK:
             node = child  # <div/> opens a div
+    if named:
+        most = weight(root)
+        for x in named:
+            x.off = weight(x) * 2 < most  # what holds most of the page is not beside its text
     return root
 
 
-def is_boilerplate(node: Node) -> bool:
-    """By its element, class, id or role alone."""
-    if node.tag in NEVER or node.off:
-        return True
-    return bool(node.names & BOILERPLATE) and not (node.tag in ("body", "html", "article", "main") or node.names & MAIN)
+@lru_cache(maxsize=10_000)
+def telling(names: str) -> bool:
+    """Whether one of the names between blanks marks boilerplate: site-footer does, social-history doesn't."""
+    for name in names.split():
+        words = _WORD.findall(name)
+        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL or w.isdigit() for w in words):
+            return True
+    return False
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below node in page order, without boilerplate; white space is one blank, ends are trimmed."""
+def weight(node: Node) -> int:
+    """Code points of text below node, without what is turned off."""
+    n, work = 0, [node]
+    while work:
+        for x in work.pop().kids:
+            if isinstance(x, str):
+                n += len(x)
+            elif not x.off:
+                work.append(x)
+    return n
+
+
+def own_text(node: Node) -> str:
+    """The text of a block without that of the blocks in it; white space is one blank, ends are trimmed."""
+    out: list[str] = []
+    work: list[Node | str] = list(reversed(node.kids))
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.off or x.tag in BLOCK:
+            continue
+        elif x.tag == "br":
+            out.append(" ")
+        else:
+            work += reversed(x.kids)
+    return _SPACE.sub(" ", "".join(out)).strip()
+
+
+def inner_blocks(node: Node) -> list[Node]:
+    """The blocks directly in a block, those within its inline elements included."""
+    out: list[Node] = []
+    work: list[Node | str] = list(reversed(node.kids))
+    while work:
+        x = work.pop()
+        if isinstance(x, str) or x.off:
+            continue
+        if x.tag in BLOCK:
+            out.append(x)
+        else:
+            work += reversed(x.kids)
+    return out
+
+
+def blocks(node: Node, template: dict[str, frozenset[int]] | None = None) -> list[str]:
+    """The texts of the blocks below node in page order; white space is one blank, ends are trimmed.
+
+    template: texts that go, as hashes by the marks from node down.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -132,214 +197,251 @@ def blocks(node: Node) -> list[str]:
                 out.append(text)
             run.clear()
 
-    work: list[Node | str | None] = [node]
+    work: list[tuple[Node | str | None, str, bool]] = [(node, "", False)]
     while work:
-        x = work.pop()
+        x, path, gone = work.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            run.append(x)
-        elif x is node or not is_boilerplate(x):
-            if x.tag == "br":
-                run.append(" ")
-                continue
-            block = x.tag in BLOCK or x is node
-            if block:
+            if not gone:
+                run.append(x)
+        elif x.off and x is not node:
+            if x.tag in BLOCK:
                 flush()
-                work.append(None)
-            work += reversed(x.kids)
-        elif x.tag in BLOCK:
-            flush()
+        elif x.tag == "br":
+            run.append(" ")
+        else:
+            if x.tag in BLOCK or x is node:
+                flush()
+                work.append((None, "", False))
+                if template:
+                    path = f"{path}/{x.mark}" if x is not node else ""
+                    gone = path in template and hash_text(own_text(x)) in template[path]
+            work += [(k, path, gone) for k in reversed(x.kids)]
     flush()
     return out
 
 
-def skeleton(node: Node, depth: int = 12) -> dict:
-    """The tree of block elements, as a wrapper of one page: k (mark), t (hash of own text), n (pages), v (pages whose
-    text differs from the first), c (code points of text below, all pages), b (boilerplate), r (a run), kids.
-    Neighbours with one mark are one node, a run."""
-    kids: list[dict] = []
-    chars, text = 0, []
-    for x in node.kids:
-        if isinstance(x, str):
-            text.append(x)
-            continue
-        if x.tag not in BLOCK or x.tag == "hr" or depth == 0:
-            inner = [x]
-            while inner:  # inline elements are text of their block
-                y = inner.pop()
-                if isinstance(y, str):
-                    text.append(y)
-                elif y.tag not in ("script", "style"):
-                    inner += reversed(y.kids)
-            continue
-        kid = skeleton(x, depth - 1)
-        kid["b"] = int(is_boilerplate(x))
-        chars += kid["c"]
-        if kids and kids[-1]["k"] == kid["k"]:
-            kids[-1] = _same_page(kids[-1], kid)
-        else:
-            kids.append(kid)
-    own = _SPACE.sub(" ", "".join(text)).strip()
-    return {"k": node.mark, "t": hash_text(own), "n": 1, "v": 0, "c": chars + len(own), "b": 0, "r": 0, "kids": kids}
-
-
 def hash_text(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else 0
 
 
-def _same_page(a: dict, b: dict) -> dict:
-    """Two neighbours of one page as one node: their texts together are its text."""
-    out = merge(a, b)
-    out["n"], out["v"], out["r"] = 1, 0, 1
-    out["t"] = (a["t"] * 31 + b["t"]) & 0xFFFFFFFF
-    work = [*out["kids"]]
-    while work:
-        x = work.pop()
-        x["n"], x["v"] = 1, 0
-        work += x["kids"]
-    return out
-
-
-def match(a: dict, b: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes with one mark: the number of pairs in the largest order-keeping matching of
-    their trees, and which children are paired."""
-    x, y = a["kids"], b["kids"]
-    if [k["k"] for k in x] == [k["k"] for k in y] and len({k["k"] for k in x}) == len(x):
-        pairs = [(i, i) for i in range(len(x))]  # the only largest matching
-        return 1 + sum(match(x[i], y[i])[0] for i in range(len(x))), pairs
-    w = [[match(p, q)[0] if p["k"] == q["k"] else 0 for q in y] for p in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i][j])
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return 1 + best[len(x)][len(y)], pairs[::-1]
-
-
-def merge(a: dict, b: dict) -> dict:
-    """The wrapper of both: matched nodes are one, the others are put in, in order."""
-    _, pairs = match(a, b)
-    kids, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a["kids"]), len(b["kids"]))]:
-        kids += a["kids"][i:p] + b["kids"][j:q]
-        if p < len(a["kids"]):
-            kids.append(merge(a["kids"][p], b["kids"][q]))
-        i, j = p + 1, q + 1
-    v = a["v"] + b["v"] + (b["n"] - b["v"] if a["t"] != b["t"] else 0)
-    return {"k": a["k"], "t": a["t"], "n": a["n"] + b["n"], "v": v, "c": a["c"] + b["c"], "b": a["b"], "r": a["r"] | b["r"], "kids": kids}
+class Part:
+    """A node of a wrapper: its mark, the hash of its own text, pages, pages whose text differs from the first's, code points of
+    its own text over all pages, whether it is a run, the hashes of the run's texts while all pages agree, and its children."""
 
+    __slots__ = ("mark", "text", "n", "v", "chars", "run", "texts", "kids")
 
-def pruned(wrapper: dict, most: int = 400) -> dict:
-    """The wrapper without its rarest nodes, if it has more than most: what single pages have is no template."""
-    count = lambda w: 1 + sum(map(count, w["kids"]))
-    least = 1
-    while count(wrapper) > most and least <= wrapper["n"]:
-        least *= 2
+    def __init__(self, mark: str, text: int, n: int, v: int, chars: int, run: int, texts: list[int], kids: list[Part]):
+        self.mark, self.text, self.n, self.v, self.chars, self.run, self.texts, self.kids = mark, text, n, v, chars, run, texts, kids
 
-        def cut(w: dict) -> dict:
-            return w | {"kids": [cut(k) for k in w["kids"] if k["n"] >= least]}  # noqa: B023
-
-        wrapper = cut(wrapper)
-    return wrapper
 
+def preorder(top: Part) -> list[tuple[int, Part]]:
+    """All nodes with their depths, each before its children."""
+    out, work = [], [(0, top)]
+    while work:
+        d, x = work.pop()
+        out.append((d, x))
+        work += [(d + 1, k) for k in reversed(x.kids)]
+    return out
 
-def varying(w: dict) -> int:
-    """Code points below w in slots: nodes whose text varies between pages, outside boilerplate. A wrapper of one page, or of copies, has none."""
-    if w["b"]:
-        return 0
-    own = w["c"] - sum(k["c"] for k in w["kids"])
-    slot = own if w["n"] > 1 and w["v"] * 4 >= w["n"] else 0
-    return slot + sum(map(varying, w["kids"]))
 
+def skeleton(root: Node) -> Part:
+    """The tree of a page's blocks, as a wrapper of one page. Neighbours with one mark are one node, a run."""
+    top = _part(root)
+    work = [(root, top)]
+    order: list[Part] = []
+    while work:
+        node, part = work.pop()
+        order.append(part)
+        for x in inner_blocks(node):
+            if x.tag != "hr":
+                part.kids.append(_part(x))
+                work.append((x, part.kids[-1]))
+    for part in reversed(order):  # children first
+        if len({k.mark for k in part.kids}) < len(part.kids):
+            kids = part.kids[:1]
+            for k in part.kids[1:]:
+                if kids[-1].mark == k.mark:
+                    kids[-1] = _same_page(kids[-1], k)
+                else:
+                    kids.append(k)
+            part.kids = kids
+    return top
+
+
+def _part(node: Node) -> Part:
+    text = own_text(node)
+    h = hash_text(text)
+    return Part(node.mark, h, 1, 0, len(text), 0, [h] if h else [], [])
+
+
+def _same_page(a: Part, b: Part) -> Part:
+    """Two neighbours of one page as one node: their texts together are its text."""
+    out = merge(a, b, one_page=True)
+    out.run = 1
+    return out
 
-def content_path(w: dict) -> tuple[list[str], list[str]] | None:
-    """The marks from the root to the node that holds the host's main text, and the marks of its constant containers.
 
-    From the root down, the container with most text in slots is entered while it holds 7 tenths of it; an article or
-    main element ends the search, as does a run of like neighbours, which is the text's blocks. None without slots.
+def match(a: Part, b: Part) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching of two nodes with one mark. For each pair of nodes that may be paired: the number of pairs in the largest
+    order-keeping matching of their trees, and which children are paired. Without recursion: children's pairs come first."""
+    found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    order, work = [], [(a, b)]
+    while work:
+        x, y = work.pop()
+        order.append((x, y))
+        if _plain(x, y):
+            work += zip(x.kids, y.kids, strict=True)
+        else:
+            work += [(p, q) for p in x.kids for q in y.kids if p.mark == q.mark]
+    for x, y in reversed(order):
+        if _plain(x, y):  # the only largest matching
+            found[id(x), id(y)] = 1 + sum([found[id(p), id(q)][0] for p, q in zip(x.kids, y.kids, strict=True)]), [(i, i) for i in range(len(x.kids))]
+            continue
+        wide = len(y.kids)
+        best = [[0] * (wide + 1)]
+        for p in x.kids:
+            row, last = [0], best[-1]
+            for j, q in enumerate(y.kids):
+                w = found[id(p), id(q)][0] if p.mark == q.mark else 0
+                row.append(max(last[j + 1], row[j], last[j] + w))
+            best.append(row)
+        pairs, i, j = [], len(x.kids), wide
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        found[id(x), id(y)] = 1 + best[-1][wide], pairs[::-1]
+    return found
+
+
+def _plain(x: Part, y: Part) -> bool:
+    """Whether both have the same children's marks, each once."""
+    marks = [k.mark for k in x.kids]
+    return marks == [k.mark for k in y.kids] and len(set(marks)) == len(marks)
+
+
+def merge(a: Part, b: Part, one_page: bool = False) -> Part:
+    """The wrapper of both: matched nodes are one, the others are put in, in order. Of one page: what is joined are neighbours."""
+    found = match(a, b)
+    top = _joined(a, b, one_page)
+    work = [(a, b, top)]
+    while work:
+        x, y, out = work.pop()
+        i = j = 0
+        for p, q in [*found[id(x), id(y)][1], (len(x.kids), len(y.kids))]:
+            out.kids += x.kids[i:p] + y.kids[j:q]
+            if p < len(x.kids):
+                out.kids.append(_joined(x.kids[p], y.kids[q], one_page))
+                work.append((x.kids[p], y.kids[q], out.kids[-1]))
+            i, j = p + 1, q + 1
+    return top
+
+
+def _joined(a: Part, b: Part, one_page: bool) -> Part:
+    if one_page:
+        return Part(a.mark, (a.text * 31 + b.text) & 0xFFFFFFFF, 1, 0, a.chars + b.chars, a.run | b.run, a.texts + b.texts, [])
+    v = a.v + b.v + (b.n - b.v if a.text != b.text else 0)
+    return Part(a.mark, a.text, a.n + b.n, v, a.chars + b.chars, a.run | b.run, [] if v else a.texts, [])
+
+
+def merged(parts: list[Part]) -> Part:
+    """The wrapper of many: always the two of the fewest pages are merged. Nodes that fewer than one page in RARE of these has
+    are no template and go."""
+    heap = [(p.n, i, p) for i, p in enumerate(parts)]
+    heapq.heapify(heap)
+    count = len(parts)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        out = merge(a[2], b[2])
+        least = out.n // RARE
+        if least > 1:
+            for _, x in preorder(out):
+                x.kids = [k for k in x.kids if k.n >= least]
+        heapq.heappush(heap, (out.n, count, out))
+        count += 1
+    return heap[0][2]
+
+
+def to_json(top: Part) -> str:
+    return json.dumps([[d, x.mark, x.text, x.n, x.v, x.chars, x.run, x.texts] for d, x in preorder(top)], separators=(",", ":"))
+
+
+def from_json(text: str) -> Part:
+    above: list[Part] = []
+    for d, *fields in json.loads(text):
+        x = Part(*fields, [])
+        del above[d:]
+        if above:
+            above[-1].kids.append(x)
+        above.append(x)
+    return above[0]
+
+
+def slots(top: Part) -> dict[int, int]:
+    """For each node (by id) the code points below it in slots: nodes whose text varies between pages. Of a wrapper of one page,
+    or of copies of one, all text is."""
+    order = preorder(top)
+    varies = any(x.v for _, x in order)
+    found: dict[int, int] = {}
+    for _, x in reversed(order):
+        own = x.chars if not varies or x.n == 1 or x.v * 4 >= x.n else 0
+        found[id(x)] = own + sum([found[id(k)] for k in x.kids])
+    return found
+
+
+def content(top: Part) -> dict:
+    """path: the marks from the root to the node that holds the host's main text. template: below it, the hashes of constant texts by the
+    marks from there down.
+
+    From the root down, the container with most text in slots is entered while it holds 7 tenths of it; a run of like neighbours
+    ends the search, for these are the text's blocks. Constant is what at least three pages, and half of those with the slot, have
+    with one text, unless no text varies at all.
     """
-    if varying(w) == 0:
-        return None
-    path = [w["k"]]
-    while w["k"].split(".")[0] not in ("article", "main"):
-        inside = varying(w)
-        down = [k for k in w["kids"] if not k["r"] and k["k"].split(".")[0] in CONTAINER and varying(k) * 10 >= inside * 7]
+    found, path = slots(top), [top.mark]
+    varies = any(x.v for _, x in preorder(top))
+    while found[id(top)]:
+        down = [k for k in top.kids if not k.run and k.mark.split(".")[0] in CONTAINER and found[id(k)] * 10 >= found[id(top)] * 7]
         if not down:
             break
-        w = down[0]
-        path.append(w["k"])
-    if w["k"].split(".")[0] in ("article", "main"):
-        return path, []
-    slots = {k["k"] for k in w["kids"] if varying(k) > 0}
-    constant = [k["k"] for k in w["kids"] if k["n"] >= 3 and k["v"] == 0 and varying(k) == 0 and not k["r"] and k["k"].split(".")[0] in CONTAINER and k["k"] not in slots]
-    return path, constant
+        top = down[0]
+        path.append(top.mark)
+    template: dict[str, list[int]] = {}
+    work = [(top, "")] if varies else []
+    while work:
+        x, at = work.pop()
+        if x.n >= 3 and x.n * 2 >= top.n and x.v == 0 and x.texts:
+            template.setdefault(at, []).extend(x.texts)
+        work += [(k, f"{at}/{k.mark}") for k in x.kids]
+    return {"path": path, "template": template}
 
 
 def find(root: Node, path: list[str]) -> Node | None:
     """The page's node for the wrapper's path; among children with one mark the one with most text."""
     node = root
     for mark in path[1:]:
-        some = [k for k in node.kids if isinstance(k, Node) and k.mark == mark]
+        some = [k for k in inner_blocks(node) if k.mark == mark]
         if not some:
             return None
         node = some[0] if len(some) == 1 else max(some, key=weight)
     return node
 
 
-def weight(node: Node) -> int:
-    return sum(map(len, blocks(node)))
-
-
-def main_text(root: Node, wrapper: tuple[list[str], list[str]] | None) -> list[str]:
-    """The blocks of the page's main text.
+def main_text(root: Node, wrapper: dict | None) -> list[str]:
+    """The blocks of the page's main text: those of the slot that the host's wrapper found, without the template's texts.
 
-    They are those of the slot that the host's wrapper found, without its constant containers; of the article or main
-    element around or directly below it, if it has one. A page that doesn't fit its host's wrapper, or whose host has none (single pages,
-    copies), is taken by its own article or main element, or whole. Boilerplate goes from all of these.
+    A page that doesn't fit its host's wrapper, or has none, is a host of its own: its slot is the container with most of its text.
     """
-    slot = find(root, wrapper[0]) if wrapper else None
-    if slot is not None:
-        up: Node | None = slot
-        while up and up.tag not in ("article", "main"):
-            up = up.up
-        if up:
-            slot = up
-    named: list[Node] = []
-    if slot is None or slot.tag not in ("article", "main"):
-        work: list[Node] = [slot or root]
-        while work:
-            x = work.pop()
-            if x.tag in ("article", "main") or "main" in x.names and x.tag != "body":
-                named.append(x)
-            work += [k for k in x.kids if isinstance(k, Node) and not is_boilerplate(k)]
-    if named:
-        most = max(map(weight, named))
-        good = [x for x in named if weight(x) * 2 >= most > 0]
-        if good:
-            return blocks(max(good, key=depth))
+    slot = find(root, wrapper["path"]) if wrapper else None
     if slot is None:
-        return blocks(root)
-    if wrapper and wrapper[1] and slot.tag not in ("article", "main"):
-        for k in slot.kids:
-            if isinstance(k, Node) and k.mark in wrapper[1]:
-                k.off = True
-    return blocks(slot) or blocks(root)
-
-
-def depth(node: Node) -> int:
-    n = 0
-    while node.up:
-        node, n = node.up, n + 1
-    return n
+        slot = find(root, content(skeleton(root))["path"])
+        return blocks(slot)
+    return blocks(slot, wrapper["template"]) or blocks(slot)
 
 
 def host_of(url: str) -> Column:
@@ -347,37 +449,35 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def induce(pages: DataFrame, url: str = "url", html: str = "html", most: int = 400, salts: int = 256) -> DataFrame:
+def induce(pages: DataFrame, url: str = "url", html: str = "html", each: int = 64, salts: int = 256) -> DataFrame:
     """(host, wrapper): one row for each host, its wrapper as JSON, induced from all its pages.
 
-    Each task merges its pages' trees by host as it reads them; what tasks found is merged in two steps, so a host with
-    a third of all pages is merged by many tasks. A wrapper has at most about most nodes.
+    Each task merges its pages' trees by host, so many at a time; what tasks found is merged in two steps, so a host with a third of
+    all pages is merged by many tasks. What a wrapper holds is bounded by RARE times the nodes of a page.
     """
 
-    def merged(found: list[str]) -> str:
-        out = None
-        for x in map(json.loads, sorted(found)):
-            out = x if out is None else pruned(merge(out, x), most)
-        return json.dumps(out, separators=(",", ":"))
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, dict] = {}
+        trees: dict[str, list[Part]] = {}
+        held = 0
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([json.dumps(pruned(w, most), separators=(",", ":")) for w in own.values()], pa.string())], ["host", "wrapper"])
-            own.clear()
-            return out
+        def rows(hosts: list[str]) -> pa.RecordBatch:
+            out = [to_json(merged(trees.pop(h))) for h in hosts]
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.string())], ["host", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree = skeleton(parse(page.as_py() or ""))
-                own[host] = pruned(merge(own[host], tree), most * 4) if host in own else tree
-                if len(own) >= 2000:
-                    yield rows()
-        yield rows()
+                own = trees.setdefault(host, [])
+                own.append(skeleton(parse(page.as_py() or "")))
+                if len(own) >= 2 * each:  # few wrappers of about as many pages each
+                    own[-each:] = [merged(own[-each:])]
+                held += 1
+                if held >= 2000:
+                    yield rows(list(trees))
+                    held = 0
+        yield rows(list(trees))
 
     def up(table):
-        return pd.DataFrame({"host": [table.host.iloc[0]], "wrapper": [merged(table.wrapper.tolist())]})
+        return pd.DataFrame({"host": [table.host.iloc[0]], "wrapper": [to_json(merged([from_json(w) for w in sorted(table.wrapper)]))]})
 
     parts = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(read, "host string, wrapper string")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
@@ -389,9 +489,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     A wrapper is induced for each host from all its pages: their trees of block elements are aligned by simple tree
     matching; nodes whose text is the same on all pages are template, those whose text varies are slots, and
-    the node around most slots is where the main text is. Each page is then parsed again and the blocks of that node
-    are its text. Elements that are boilerplate by their kind or name never are. Character references
-    are decoded, white space inside a block is one blank, ends are trimmed; nothing else is dropped or shortened.
+    the node around most slots is where the main text is, whatever its tag and names. Each page is then parsed again: the blocks of that node, without the
+    template's texts, are its text. Elements that are never text by HTML's rules, and those whose whole names mark boilerplate, don't take part. Character
+    references are decoded, white space inside a block is one blank, ends are trimmed; nothing else is dropped or shortened.
 
     Null and empty pages have the empty text. A null address, or one without a host, belongs to the host without name. Repeated rows
     get the same text; an empty table gives an empty one; a column named text is replaced.
@@ -399,25 +499,26 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     checked(pages, url, html)
     pages = pages.drop("text") if "text" not in (url, html) else pages
 
-    def path_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def content_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(content_path(json.loads(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["__weft_host", "__weft_path"])
+            found = [json.dumps(content(from_json(w))) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["__weft_host", "__weft_path"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple | None] = {None: None}
+        known: dict[str | None, dict | None] = {None: None}
         for batch in batches:
             out = []
-            for page, path in zip(batch.column(at), batch.column(last).to_pylist(), strict=True):
-                if path not in known:
+            for page, found in zip(batch.column(at), batch.column(last).to_pylist(), strict=True):
+                if found not in known:
                     if len(known) > 10_000:
                         known.clear()
                         known[None] = None
-                    known[path] = json.loads(path)
-                out.append("\n".join(main_text(parse(page.as_py() or ""), known[path])))
+                    known[found] = json.loads(found)
+                    known[found]["template"] = {k: frozenset(v) for k, v in known[found]["template"].items()}
+                out.append("\n".join(main_text(parse(page.as_py() or ""), known[found])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(out, pa.string())], names)
 
-    paths = stored(induce(pages, url, html).mapInArrow(path_of, "__weft_host string, __weft_path string"), "wrappers")
+    paths = stored(induce(pages, url, html).mapInArrow(content_of, "__weft_host string, __weft_path string"), "wrappers")
     joined = pages.withColumn("__weft_host", host_of(url)).join(paths, "__weft_host", "left").drop("__weft_host")
     at, last, names = pages.columns.index(html), len(pages.columns), [*pages.columns, "text"]
     return joined.mapInArrow(read, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())]))

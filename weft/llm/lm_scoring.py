@@ -33,14 +33,14 @@ def keep_heap() -> None:
     """Lets the C library keep numpy's freed temporaries for the next ones, instead of mapping pages anew."""
     with contextlib.suppress(OSError, AttributeError):  # another C library
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 26)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
 
 
 class Subwords:
     """The first subword id of a whole word behind a blank. Words are remembered; the memory is emptied when it is full."""
 
-    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 40_000_000):
+    def __init__(self, path: str, most: int = 200_000, most_bytes: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,8 +54,10 @@ class Subwords:
                 self.words.clear()
                 self.bytes = 0
             new = [w for w in dict.fromkeys(words) if w not in self.words]
-            coded = self.model.encode_batch([" " + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.words.update((w, e.ids[0]) for w, e in zip(new, coded, strict=True))
+            for i in range(0, len(new), 1000):  # encodings are large
+                some = new[i : i + 1000]
+                coded = self.model.encode_batch([" " + w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+                self.words.update((w, e.ids[0]) for w, e in zip(some, coded, strict=True))
             self.bytes += sum(map(len, new))
             found = list(map(self.words.__getitem__, words))
         return found
@@ -71,7 +73,7 @@ class Model:
         self.log_all = math.log10(tokens + 0.5 * (types + 1))
 
 
-def count_words(docs: DataFrame, text: str = "text", flush: int = 300_000) -> DataFrame:
+def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
     """(word, c): how often each word, and the end of a text under the empty word, occurs in all docs. Summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
     return (np.array(found.column(k).to_pylist(), np.int64).reshape(-1, width) for k in ("a", "w"))
 
 
-def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 1_000_000, each: int = 4096, batch: int = 512) -> None:
+def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 1_000_000, each: int = 2048, batch: int = 512) -> None:
     """One more pass over docs: every word and end of every document is wanted once, in windows that lie side by side.
 
     The documents are dealt by hashes of their rows to parts of about so many words, in order of a second hash, so the result does not
