@@ -54,24 +54,37 @@ def search_challenges(challenges: DataFrame, query: str) -> DataFrame:
     return challenges.where(has(F.col("title"), query) | has(F.col("description"), query))
 
 
-def unified(posts: DataFrame, users: DataFrame, challenges: DataFrame, query: str, now: int, sort: str = "MOST_RELEVANT", limit: int | None = 50) -> DataFrame:
-    """Results of all four kinds in one order; a blank query finds nothing. Ties keep the order of kinds, then ids."""
+def unified(posts: DataFrame, users: DataFrame, challenges: DataFrame, query: str, now: int, sort: str = "MOST_RELEVANT", limit: int | None = None, **filters) -> DataFrame:
+    """All results of all four kinds in one order; a blank query finds nothing. Ties keep the order of kinds, then ids.
+
+    filters: those of search_posts(), the start of a range of dates among them; they hold for posts, other kinds have none. limit is the caller's.
+    """
 
     def part(rows: DataFrame, branch: int, kind: str, id: str, title: str, time: Column, likes: Column | None = None, comments: Column | None = None) -> DataFrame:
         none = F.lit(0)
         return rows.select(F.lit(kind).alias("kind"), F.col(id).cast("string").alias("id"), F.col(title).alias("title"), time.cast("long").alias("timestamp"), (none if likes is None else likes).cast("int").alias("likeCount"), (none if comments is None else comments).cast("int").alias("commentCount"), F.lit(branch).alias("branch"))
 
     if not query.strip():
-        return part(users.where(F.lit(False)), 0, "POST", "id", "username", F.col("createdAt"))
-    out = part(search_posts(posts, query), 0, "POST", "id", "title", F.col("createdAt"), F.col("likeCount"), F.col("commentCount"))
-    out = out.unionByName(part(search_users(users, query), 1, "USER", "id", "username", F.col("createdAt")))
-    out = out.unionByName(part(search_tags(posts, query), 2, "TAG", "tag", "tag", F.lit(now)))
+        return part(users.where(F.lit(False)), 0, "POST", "id", "displayName", F.col("createdAt"))
+    out = part(search_posts(posts, query, **filters), 0, "POST", "id", "title", F.col("createdAt"), F.col("likeCount"), F.col("commentCount"))
+    out = out.unionByName(part(search_users(users, query), 1, "USER", "id", "displayName", F.col("createdAt")))
+    out = out.unionByName(part(search_tags(posts, query).withColumn("title", F.concat(F.lit("#"), "tag")), 2, "TAG", "tag", "title", F.lit(now)))
     out = out.unionByName(part(search_challenges(challenges, query), 3, "CHALLENGE", "id", "title", F.col("startDate")))
+    out = in_order(out, sort, query)
+    return out.limit(limit) if limit else out
+
+
+def in_order(results: DataFrame, sort: str, query: str) -> DataFrame:
+    """Results by one of five orders; ties keep the order of kinds, then ids."""
     title, q = F.lower("title"), query.lower()
     relevance = F.when(title == q, 2).when(F.startswith(title, F.lit(q)), 1).otherwise(0)
     first = {"NEWEST": F.desc("timestamp"), "OLDEST": F.asc("timestamp"), "MOST_LIKED": F.desc("likeCount"), "MOST_COMMENTED": F.desc("commentCount"), "MOST_RELEVANT": relevance.desc()}[sort]
-    out = out.orderBy(first, "branch", "id")
-    return out.limit(limit) if limit else out
+    return results.orderBy(first, "branch", "id")
+
+
+def by_kind(results: DataFrame) -> DataFrame:
+    """kind, results: how many of each kind there are."""
+    return results.groupBy("kind").agg(F.count("*").alias("results"))
 
 
 def all_tags(posts: DataFrame) -> DataFrame:
@@ -143,5 +156,4 @@ def smart_styles(styles: DataFrame, phrases: DataFrame, text: str = "text") -> D
         & ((F.size(known) == 0) | F.arrays_overlap(F.col("s.affinity"), known)) & ((F.col(f"{i}.remainder") == "") | F.contains(F.lower("s.title"), F.col(f"{i}.remainder")))
     )
     whole = F.contains(F.lower("s.title"), F.lower(F.trim(F.col(text))))
-    # the styles are a catalogue of a few dozen rows
-    return asked.join(F.broadcast(s), F.when(plain, whole).otherwise(fits)).select(*[asked[c] for c in phrases.columns], F.col("s.id").alias("styleId"), F.col("s.ordinal"))
+    return asked.join(s, F.when(plain, whole).otherwise(fits)).select(*[asked[c] for c in phrases.columns], F.col("s.id").alias("styleId"), F.col("s.ordinal"))

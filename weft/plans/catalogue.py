@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import schema as S
@@ -207,26 +207,65 @@ def search_tags(posts):
 _UNIFIED = f"""
 , r AS (
   SELECT 'POST' AS kind, CAST(id AS VARCHAR) AS id, title, createdAt AS timestamp, likeCount, commentCount, 0 AS branch FROM posts
-  WHERE contains(lower(title), '{{q}}') OR contains(lower(description), '{{q}}') OR len(list_filter(tags, lambda t: contains(lower(t), '{{q}}'))) > 0
-  UNION ALL SELECT 'USER', CAST(id AS VARCHAR), username, createdAt, 0, 0, 1 FROM users WHERE contains(lower(username), '{{q}}') OR contains(lower(displayName), '{{q}}')
-  UNION ALL SELECT DISTINCT 'TAG', tag, tag, {NOW}, 0, 0, 2 FROM (SELECT unnest(tags) AS tag FROM posts) WHERE contains(lower(tag), '{{q}}')
+  WHERE (contains(lower(title), '{{q}}') OR contains(lower(description), '{{q}}') OR len(list_filter(tags, lambda t: contains(lower(t), '{{q}}'))) > 0){{filters}}
+  UNION ALL SELECT 'USER', CAST(id AS VARCHAR), displayName, createdAt, 0, 0, 1 FROM users WHERE contains(lower(username), '{{q}}') OR contains(lower(displayName), '{{q}}')
+  UNION ALL SELECT DISTINCT 'TAG', tag, '#' || tag, {NOW}, 0, 0, 2 FROM (SELECT unnest(tags) AS tag FROM posts) WHERE contains(lower(tag), '{{q}}')
   UNION ALL SELECT 'CHALLENGE', CAST(id AS VARCHAR), title, startDate, 0, 0, 3 FROM challenges WHERE contains(lower(title), '{{q}}') OR contains(lower(description), '{{q}}'))
-SELECT * FROM r ORDER BY {{order}}, branch, id LIMIT 50"""
+{{select}}"""
+_FIRST = {"MOST_RELEVANT": "CASE WHEN lower(title) = '{q}' THEN 2 WHEN starts_with(lower(title), '{q}') THEN 1 ELSE 0 END DESC", "NEWEST": "timestamp DESC", "OLDEST": "timestamp", "MOST_LIKED": "likeCount DESC", "MOST_COMMENTED": "commentCount DESC"}
 
 
-@query("posts", "users", "challenges", sql=_UNIFIED.format(q="en", order="CASE WHEN lower(title) = 'en' THEN 2 WHEN starts_with(lower(title), 'en') THEN 1 ELSE 0 END DESC"))
+def _unified(q: str, sort: str, filters: str = "", select: str | None = None) -> str:
+    """SQL of a whole unified search with the rank of each result."""
+    select = select or f"SELECT *, CAST(row_number() OVER (ORDER BY {_FIRST[sort].format(q=q)}, branch, id) AS INTEGER) AS rank FROM r"
+    return _UNIFIED.format(q=q, filters=filters, select=select)
+
+
+def _ranked(results: DataFrame) -> DataFrame:
+    """Ordered results with their rank from 1, so that the order itself is compared: the places in a sorted result."""
+    from pyspark.sql import Window
+
+    return results.withColumn("_i", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("_i"))).drop("_i")
+
+
+@query("posts", "users", "challenges", sql=_unified("en", "MOST_RELEVANT"))
 def search_all_relevant(posts, users, challenges):
-    return search.unified(posts, users, challenges, "EN", NOW)
+    return _ranked(search.unified(posts, users, challenges, "EN", NOW))
 
 
-@query("posts", "users", "challenges", sql=_UNIFIED.format(q="1", order="timestamp DESC"))
+@query("posts", "users", "challenges", sql=_unified("1", "NEWEST"))
 def search_all_newest(posts, users, challenges):
-    return search.unified(posts, users, challenges, "1", NOW, "NEWEST")
+    return _ranked(search.unified(posts, users, challenges, "1", NOW, "NEWEST"))
+
 
+@query("posts", "users", "challenges", sql=_unified("1", "OLDEST"))
+def search_all_oldest(posts, users, challenges):
+    return _ranked(search.unified(posts, users, challenges, "1", NOW, "OLDEST"))
 
-@query("posts", "users", "challenges", sql=_UNIFIED.format(q="es", order="likeCount DESC"))
+
+@query("posts", "users", "challenges", sql=_unified("es", "MOST_LIKED"))
 def search_all_liked(posts, users, challenges):
-    return search.unified(posts, users, challenges, "es", NOW, "MOST_LIKED")
+    return _ranked(search.unified(posts, users, challenges, "es", NOW, "MOST_LIKED"))
+
+
+@query("posts", "users", "challenges", sql=_unified("e", "MOST_COMMENTED", f" AND createdAt >= {BASE + 360_000_000} AND list_has_any(tags, ['en', 'de']) AND fabricId IN (1, 2, 3, 4, 5, 6, 7) AND likeCount >= 50 AND commentCount >= 3"))
+def search_all_filtered(posts, users, challenges):
+    return _ranked(search.unified(posts, users, challenges, "E", NOW, "MOST_COMMENTED", since=BASE + 360_000_000, tags=["en", "de"], fabrics=list(range(1, 8)), min_likes=50, min_comments=3))
+
+
+@query("posts", "users", "challenges", sql=_unified("e", "NEWEST", select="SELECT kind, count(*) AS results FROM r GROUP BY kind"))
+def search_by_kind(posts, users, challenges):
+    return search.by_kind(search.unified(posts, users, challenges, "E", NOW))
+
+
+@query("posts", "users", "challenges", sql="SELECT 'POST' AS kind, '' AS id, '' AS title, CAST(0 AS BIGINT) AS timestamp, 0 AS likeCount, 0 AS commentCount, 0 AS branch FROM posts WHERE false")
+def search_all_blank(posts, users, challenges):
+    return search.unified(posts, users, challenges, "  ", NOW)
+
+
+@query("users", sql="SELECT id, username FROM users WHERE starts_with(lower(username), 'customer_00000001') OR contains(lower(displayName), 'customer_00000001') ORDER BY username LIMIT 5")
+def mention_candidates(users):
+    return search.mention_candidates(users, "Customer_00000001").select("id", "username")
 
 
 @query("posts", sql="SELECT DISTINCT unnest(tags) AS tag FROM posts")
@@ -296,9 +335,11 @@ def wardrobe_gaps(fabrics):
     return wardrobe.gaps(fabrics.where("pattern = 'SOLID' AND isFavorite"))
 
 
-@query("fabrics", sql="SELECT family FROM (VALUES ('warm', ['GOLD','ORANGE','RED','YELLOW']), ('cool', ['BLUE','GREEN','PURPLE']), ('neutral', ['BLACK','WHITE','BROWN','GRAY'])) v(family, names) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(colors).colorName AS c FROM fabrics WHERE id < 4) x WHERE list_contains(v.names, x.c))")
+@query("fabrics", sql="SELECT family FROM (VALUES ('warm', ['GOLD','ORANGE','RED','YELLOW']), ('cool', ['BLUE','GREEN','PURPLE']), ('neutral', ['BLACK','WHITE','BROWN','GRAY'])) v(family, names) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(colors).colorName AS c FROM fabrics) x WHERE list_contains(v.names, CASE WHEN x.c IN ('BLUE', 'GREEN', 'PURPLE') THEN 'TEAL' ELSE x.c END))")
 def missing_families(fabrics):
-    return wardrobe.missing_families(fabrics.where("id < 4"))
+    """Over all fabrics, whose cool colours are called TEAL, which is in no family, so that one is missing."""
+    teal = F.transform("colors", lambda c: F.struct(c["argb"].alias("argb"), F.when(c["colorName"].isin("BLUE", "GREEN", "PURPLE"), "TEAL").otherwise(c["colorName"]).alias("colorName")))
+    return wardrobe.missing_families(fabrics.withColumn("colors", teal))
 
 
 @query("fabrics", sql="""
@@ -543,18 +584,28 @@ def _wide(pattern: str) -> str:
 
 
 @table_query("documents", sql=f"""
-WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents), x AS (SELECT line, lower({_STRIP.format('line')}) AS low FROM l WHERE len(line) <= 200)
+WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents), x AS (SELECT line, lower({_STRIP.format('line')}) AS low FROM l)
 SELECT line, CASE WHEN low = '' OR regexp_matches(low, '{_wide(text.LICENSE_REFUSED)}') THEN NULL WHEN regexp_matches(low, '{_wide(chr(92) + 'bcc0' + chr(92) + 'b')}') THEN 'CC0 1.0' WHEN regexp_matches(low, 'public\\s*domain|(?:^|[^\\p{{L}}\\p{{N}}_])pdm(?:$|[^\\p{{L}}\\p{{N}}_])|^\\s*pd(?:$|[^\\p{{L}}\\p{{N}}_])') THEN 'Public domain'
  WHEN regexp_matches(low, {_BY}) THEN trim(CASE WHEN regexp_extract(low, {_BY}, 1) <> '' THEN 'CC BY-SA' ELSE 'CC BY' END || ' ' || regexp_extract(low, {_BY}, 3))
- {' '.join(f"WHEN regexp_matches(low, '{_wide(p)}') THEN '{n}'" for n, p in text.LICENSE_NAMES)} END AS licence FROM x""".replace("\\\\", "\\"))
+ {' '.join(f"WHEN regexp_matches(low, '{_wide(p)}') THEN '{n}'" for n, p in text.LICENSE_NAMES[3:])} END AS licence FROM x""".replace("\\\\", "\\"))
 def license_norm(documents):
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct().where(F.length("line") <= 200)
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
     return lines.select("line", text.license_name(F.col("line")).alias("licence"))
 
 
-@table_query("pages", sql="SELECT page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)) AS host, false AS blocked FROM pages".replace("\\\\", "\\"))
+_HOSTS = ["https://www.alamy.com/x", "http://media.istockphoto.com/a?b", "https://www.amazon.co.uk/p", "nonsense", "", "https://user@i.pinimg.com:80/q", "HTTPS://WWW.EBAY.DE/"]
+_SOME_URL = f"CASE WHEN page_id % 3 = 0 THEN ({_HOSTS})[CAST(page_id // 3 % {len(_HOSTS)} AS INTEGER) + 1] ELSE url END"
+_HOST = "lower(regexp_extract({}, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1))".replace("\\\\", "\\")
+
+
+def _some_url() -> Column:
+    """The page's address; for every third one of a few that are blocked or have no host."""
+    return F.when(F.col("page_id") % 3 == 0, F.get(F.array(*map(F.lit, _HOSTS)), F.expr(f"CAST(page_id div 3 % {len(_HOSTS)} AS INT)"))).otherwise(F.col("url"))
+
+
+@table_query("pages", sql=f"WITH h AS (SELECT page_id, {_HOST.format(_SOME_URL)} AS host FROM pages) SELECT page_id, host, host = '' OR list_bool_or(list_transform({list(text.BLOCKED_HOST_PARTS)}, lambda p: contains(host, p))) AS blocked FROM h")
 def host_block(pages):
-    return pages.select("page_id", text.host(F.col("url")).alias("host"), text.host_blocked(F.col("url")).alias("blocked"))
+    return pages.select("page_id", text.host(_some_url()).alias("host"), text.host_blocked(_some_url()).alias("blocked"))
 
 
 @table_query("documents", sql=r"SELECT doc_id, array_to_string(regexp_extract_all(text, '@([0-9A-Za-z_]+)', 1), ',') AS mentions FROM documents WHERE regexp_matches(text, '@[0-9A-Za-z_]')")
@@ -567,18 +618,26 @@ def exact_dups(documents):
     return documents.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
 
 
-@table_query("documents", sql="SELECT key, problem FROM (SELECT coalesce(b.key, p.key) AS key, CASE WHEN p.t IS NULL THEN 'missing' WHEN b.t IS NULL THEN 'extra' WHEN trim(p.t) = '' THEN 'empty' END AS problem FROM (SELECT doc_id AS key, lang AS t FROM documents WHERE doc_id % 3 <> 0) b FULL JOIN (SELECT doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END AS t FROM documents WHERE doc_id % 5 <> 0) p ON b.key = p.key) WHERE problem IS NOT NULL")
-def pack_audit(documents):
-    base = documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("lang").alias("text"))
-    pack = documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("source")).alias("text"))
+@table_query("documents", "labels", sql="SELECT key, problem FROM (SELECT coalesce(b.key, p.key) AS key, CASE WHEN p.t IS NULL THEN 'missing' WHEN b.t IS NULL THEN 'extra' WHEN trim(p.t) = '' THEN 'empty' WHEN list_sort(regexp_extract_all(b.t, '%(?:[0-9]+[$])?[sdf%]')) <> list_sort(regexp_extract_all(p.t, '%(?:[0-9]+[$])?[sdf%]')) THEN 'specifiers' END AS problem FROM (SELECT doc_id AS key, lang || ' %s of %' || CAST(doc_id % 3 AS VARCHAR) || '$d' AS t FROM documents) b FULL JOIN (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000 ELSE 0 END AS key, CASE WHEN quality = 0 THEN ' ' ELSE '%1$d in %s' END AS t FROM labels) p ON b.key = p.key) WHERE problem IS NOT NULL")
+def pack_audit(documents, labels):
+    """All documents as a base, all labels as its translation: some are missing, some extra, empty or of other specifiers."""
+    base = documents.select(F.col("doc_id").alias("key"), F.concat("lang", F.lit(" %s of %"), (F.col("doc_id") % 3).cast("string"), F.lit("$d")).alias("text"))
+    pack = labels.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1_000_000).otherwise(0)).alias("key"), F.when(F.col("quality") == 0, " ").otherwise("%1$d in %s").alias("text"))
     return wardrobe.pack_audit(base, pack, text.format_specifiers)
 
 
-@table_query("pages", "documents", sql="SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'blank' WHEN page_id % 6 = 5 THEN 'unknown label' WHEN page_id % 2 = 0 THEN 'licence' END AS reason FROM pages")
-def curation_outcomes(pages, documents):
-    label = F.when(F.col("page_id") % 6 == 0, " ").when(F.col("page_id") % 6 == 5, "PAPER").otherwise("KENTE")
-    licence = F.when(F.col("page_id") % 2 == 0, "CC BY-NC 4.0").otherwise("CC BY 4.0")
-    return pages.select("page_id", curate.outcome(F.col("url"), licence, label, S.CATEGORIES).alias("reason"))
+_LICENCES = ["CC BY 4.0", "cc-by-sa 3.0", "CC BY-NC 4.0", "All rights reserved", "CC0", "Public Domain", "", "MIT License", "unclear", "<b>CC BY 2.0</b>", "CC BY-ND 4.0"]
+_ACCEPTED = ["CC BY 4.0", "cc-by-sa 3.0", "CC0", "Public Domain", "MIT License", "<b>CC BY 2.0</b>"]
+_LABELS = ["KENTE", "WAX", " ", "PAPER", "LACE", "kente", "SILK"]
+
+
+@table_query("pages", sql=f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'file:///tmp/x' ELSE {_SOME_URL} END AS url, ({_LICENCES})[CAST(page_id % {len(_LICENCES)} AS INTEGER) + 1] AS licence, ({_LABELS})[CAST(page_id % {len(_LABELS)} AS INTEGER) + 1] AS label, CAST(page_id * 37 % 200 AS INTEGER) AS side FROM pages)
+SELECT page_id, CASE WHEN trim(label) = '' THEN 'blank' WHEN label NOT IN {tuple(S.CATEGORIES)} THEN 'unknown label' WHEN licence NOT IN {tuple(_ACCEPTED)} THEN 'licence' WHEN starts_with(lower(url), 'file://') THEN 'local file'
+  WHEN {_HOST.format('url')} = '' OR list_bool_or(list_transform({list(text.BLOCKED_HOST_PARTS)}, lambda p: contains({_HOST.format('url')}, p))) THEN 'blocked host' WHEN side < 96 THEN 'too small' END AS reason FROM r""")
+def curation_outcomes(pages):
+    of = lambda names: F.get(F.array(*map(F.lit, names)), (F.col("page_id") % len(names)).cast("int"))
+    url = F.when(F.col("page_id") % 13 == 0, "file:///tmp/x").otherwise(_some_url())
+    return pages.select("page_id", curate.outcome(url, of(_LICENCES), of(_LABELS), S.CATEGORIES, (F.col("page_id") * 37 % 200).cast("int")).alias("reason"))
 
 
 # stories, quotas, groups

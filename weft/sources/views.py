@@ -51,6 +51,7 @@ def _pick(names: list[str], index: str, dialect: str) -> str:
 def _sql(dialect: str) -> dict[str, str]:
     spark = dialect == "spark"
     pick = lambda names, index: _pick(names, index, dialect)
+    text = "STRING" if spark else "VARCHAR"
     arr = lambda *x: f"array({', '.join(x)})" if spark else f"[{', '.join(x)}]"
     ms = lambda c: f"unix_millis(CAST({c} AS TIMESTAMP))" if spark else f"(epoch_us({c}) // 1000)"
     values = ", ".join(str((k, *s)) for k, s in enumerate(STYLES))
@@ -74,6 +75,17 @@ def _sql(dialect: str) -> dict[str, str]:
         "reports": f"SELECT d.doc_id AS id, d.doc_id % 150 AS reporterId, d.doc_id % 40 AS contentId, CASE WHEN d.doc_id % 2 = 0 THEN 'POST' ELSE 'COMMENT' END AS contentType, {pick(['SPAM', 'HARASSMENT', 'INAPPROPRIATE', 'COPYRIGHT', 'FAKE', 'OTHER'], 'd.doc_id % 6')} AS reportType, {pick(['PENDING', 'REVIEWED', 'RESOLVED', 'DISMISSED'], 'd.doc_id % 4')} AS status, {BASE} + d.doc_id * 60000 AS createdAt FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1",
         "wardrobe": f"SELECT o_orderkey AS id, o_custkey AS owner, {pick(TYPES, 'o_orderkey % 8')} AS type, {pick(HUES, '(o_orderkey * 3 + o_custkey) % 8')} AS color, {pick(MOODS, '(o_orderkey * 5 + o_custkey) % 8')} AS style FROM orders",
         "stories": f"SELECT event_id AS id, user_id AS userId, {ms('ts')} AS createdAt, {ms('ts')} + 86400000 AS expiresAt FROM events WHERE event_type = 'view'",
+        "looks": f"SELECT o_orderkey AS id, o_custkey % 17 AS fabricId, 'style_' || CAST(o_orderkey % 20 AS {text}) AS dressStyleId, o_orderpriority AS engine, o_orderstatus = 'F' AS isFavorite, {BASE} + o_orderkey * 1000 AS createdAt, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'g' || CAST(o_custkey % 50 AS {text}) END AS variationGroup FROM orders",
+        "usages": f"SELECT event_type || '_' || CAST(user_id AS {text}) AS key, CAST(count(*) AS INT) AS count FROM events GROUP BY event_type, user_id",
+        "collections": f"SELECT s_suppkey AS id, s_name AS name, {BASE} + s_suppkey * 1000 AS createdAt FROM supplier",
+        "collection_items": f"SELECT o_orderkey AS id, o_orderkey % 50 + 1 AS collectionId, {pick(['DESIGN', 'FABRIC', 'LOOK', 'ODD'], 'o_orderkey % 4')} AS itemType, CAST(o_custkey % 40 AS {text}) AS itemId, {BASE} + (o_orderkey * 7919) % 100000 AS addedAt FROM orders",
+        "closet": f"SELECT p_partkey AS id, p_name AS name, {pick(['DRESS', 'TOP', 'BOTTOM', 'SHOES', 'BAG', 'ACCESSORY'], 'p_partkey % 6')} AS category, {BASE} + (p_partkey * 104729) % 1000000 AS createdAt FROM part",
+        "outfits": f"SELECT c_custkey AS id, c_name AS name, CAST(c_custkey AS {text}) || ',x,' || CAST(c_custkey * 3 % 2000 AS {text}) || ', ' AS itemIdsCsv, {BASE} + c_custkey * 5000 AS createdAt FROM customer",
+        "measured": f"SELECT CAST(c_custkey AS INT) AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(140 + c_custkey % 50 AS INT) END AS heightCm, CAST(60 + c_custkey % 40 AS INT) AS waistCm, CAST(80 + c_custkey % 30 AS INT) AS hipCm, {BASE} + c_custkey AS updatedAt FROM customer",
+        "feedback": f"SELECT id AS styleId, ordinal % 3 = 0 AS dismissed, {BASE} + ordinal AS updatedAt FROM ({{styles}}) st",
+        "searches": "SELECT kind || '_' || CAST(userId AS " + text + ") AS query, max(timestamp) AS timestamp FROM ({history}) hi GROUP BY kind, userId",
+        "blocked": f"SELECT c_custkey AS userId, c_name AS username, c_mktsegment AS reason, {BASE} + (c_custkey * 31) % 5000 AS blockedAt FROM customer WHERE c_custkey % 7 = 0",
+        "cached": f"SELECT doc_id AS id, doc_id % 150 AS userId, {first_line} AS title, CAST(n_chars % 500 AS INT) AS likeCount, {BASE} + doc_id * 3600000 AS createdAt, {BASE} + (doc_id * 7919) % 1000 * 3600000 AS cachedAt FROM documents",
     }
 
 
