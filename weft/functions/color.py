@@ -90,3 +90,17 @@ def is_skin(argb: Column) -> Column:
     y = 0.299 * r + 0.587 * g + 0.114 * b
     cb, cr = (b - y) * 0.564 + 128, (r - y) * 0.713 + 128
     return (y > 40) & cb.between(77, 127) & cr.between(133, 173)
+
+
+def filtered(argb: Column, brightness: float, contrast: float, saturation: float) -> Column:
+    """The opaque colour after brightness, contrast and saturation (-100 to 100 each); channels are cut to whole numbers of 0 to 255 after each step.
+
+    Sums are rounded to six places before they are cut, so engines agree.
+    """
+    cut = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x, 6).cast("int")))
+    more, scale = (contrast + 100) / 100, (saturation + 100) / 100
+    bright = [cut(x + brightness / 100 * 255) for x in channels(argb)]
+    r, g, b = (cut(((x / F.lit(255.0) - 0.5) * more + 0.5) * 255) for x in bright)
+    grey = F.round(0.299 * r + 0.587 * g + 0.114 * b, 6).cast("int")
+    r, g, b = (cut(grey + scale * (x - grey)).cast("long") for x in (r, g, b))
+    return F.lit(0xFF000000) + r * 65536 + g * 256 + b

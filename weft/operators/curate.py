@@ -57,3 +57,74 @@ def chunks(lines: DataFrame, by: str, order: str, text: str, most: int = 1400) -
         return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat_ws("\n", last, line)))).otherwise(F.array_append(out, line))
 
     return rows.select(by, F.posexplode(F.aggregate("l", start, step)).alias("chunk", "text"))
+
+
+def warnings(table: DataFrame, classes: list[str]) -> DataFrame:
+    """label, warning of a class_table(): empty, few groups (one or two), little diversity (over ten kept for each of fewer than thirty groups)."""
+    want = table.sparkSession.createDataFrame([(c,) for c in classes], "label string")
+    rows = want.join(table.select("label", "kept", "groups"), "label", "left").na.fill(0, ["kept", "groups"])
+    found = F.array_compact(F.array(
+        F.when(F.col("kept") == 0, "empty"), F.when(F.col("groups").between(1, 2), "few groups"),
+        F.when((F.col("groups") > 0) & (F.col("kept") > 10 * F.col("groups")) & (F.col("groups") < 30), "little diversity"),
+    ))
+    return rows.select("label", F.explode(found).alias("warning"))
+
+
+def file_label(path: Column, skip: list[str], prefixes: dict[str, str], default: str | None) -> Column:
+    """The label of a file by the beginning of its name, case ignored: null for one to skip, else the first prefix's label, else the default."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    out = F.lit(default)
+    for prefix, label in reversed(prefixes.items()):
+        out = F.when(F.startswith(name, F.lit(prefix.lower())), F.lit(label)).otherwise(out)
+    for prefix in skip:
+        out = F.when(~F.startswith(name, F.lit(prefix.lower())), out)
+    return out
+
+
+def repo_key(repo: Column, path: Column, by: Column) -> Column:
+    """What a file of a repository is grouped by: its folder (parent), the folder above (grandparent), or itself. A path without folders is its own."""
+    up = lambda p: F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, r"/[^/]*$", "")).otherwise(p)
+    return F.concat(F.lit("github:"), repo, F.lit("@"), F.when(by == "parent", up(path)).when(by == "grandparent", up(up(path))).otherwise(path))
+
+
+# Phrases that a licence's file holds.
+LICENCE_PHRASES = {"bsd": ("redistribution and use", "bsd"), "mit": ("permission is hereby granted", "mit license"), "apache": ("apache license",), "unlicense": ("unencumbered", "unlicense")}
+
+
+def licence_file_ok(text: Column, expected: Column) -> Column:
+    """Whether a licence's text looks like the licence expected; one that isn't known must name itself."""
+    low, token = F.lower(text), F.lower(F.split(expected, "-")[0])
+    out = F.contains(low, token) | F.contains(low, F.lower(expected))
+    for name, phrases in LICENCE_PHRASES.items():
+        hit = F.lit(False)
+        for p in phrases:
+            hit = hit | F.contains(low, F.lit(p))
+        out = F.when(token == name, hit).otherwise(out)
+    return out
+
+
+def renamed(rows: DataFrame, column: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """rows after ordered replacements in a text, and counts: how often each rule applied, in order."""
+    text, counts = F.col(column), []
+    for old, new in rules:
+        counts.append(F.floor((F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)).cast("long"))
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return rows.withColumn("counts", F.array(*counts)).withColumn(column, text)
+
+
+def provenance(source_key: Column) -> Column:
+    """The part of a source key before #; null for a blank one."""
+    return F.nullif(F.trim(F.split(source_key, "#")[0]), F.lit(""))
+
+
+def new_file_name(name: Column, category: Column) -> Column:
+    """A file's name with the prefix of another category: what stands before the first underscore goes."""
+    return F.concat(F.lower(category), F.lit("_"), F.regexp_replace(name, "^[^_]*_", ""))
+
+
+def ingest(rows: DataFrame, labels: list[str], near: DataFrame) -> DataFrame:
+    """id, status of contributed files (id, category, present, decoded), by the first rule that fails; near: ids that are near another picture."""
+    close = near.select(F.col("id").alias("_n")).distinct()
+    both = rows.join(close, F.col("id") == F.col("_n"), "left")
+    status = F.when(~F.coalesce(F.col("category").isin(labels), F.lit(False)), "unknown category").when(~F.col("present"), "missing").when(~F.col("decoded"), "undecodable").when(F.col("_n").isNotNull(), "duplicate").otherwise("accepted")
+    return both.select("id", status.alias("status"))
