@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,67 +87,92 @@ class KDTree:
         return [(s, -i) for s, i in best]
 
 
+def as_integers(x: np.ndarray) -> np.ndarray:
+    return np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
 def exact_numbers(lists: list, scale: float) -> np.ndarray:
     """floor(scale * x) as float64 if every dot product is exact there, else as Python integers."""
-    x = np.floor(np.array(lists, dtype=np.float64) * scale)
+    x = np.floor(np.array([np.asarray(v, dtype=np.float64) for v in lists]) * scale)
     if x.size and float(np.abs(x).max()) ** 2 * x.shape[1] < 2**52:
         return x
-    return np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+    return as_integers(x)
 
 
-def top_k(table: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
+def top_k(table: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, shard_rows: int = 8192, growth: int = 4) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best rows by inner product of floor(scale * x).
 
     queries: which rows of the table are queries. Candidates are all rows but the query's own id; ties go to smaller ids.
 
-    Rows are dealt into shards of about shard_rows, queries into blocks of about block_rows, and each pair of shard and
-    block is one task with one KD-tree: memory is bounded by the two sizes, and every pair is searched. Each block first
-    searches shard 0; the kth scores found there go with the block to the other shards, which prune with them from the start. A
-    shard returns at most k rows a query, and a ranking over the shards' returns keeps k.
+    Rows are dealt into shards of about shard_rows. A shard is one task: it builds its KD-tree once, and the queries come after its rows, a batch at
+    a time, so memory is bounded by a shard and a batch, and every query meets every shard. Shards are searched in rounds,
+    one in the first and growth times as many in each next; the kth scores found so far go with the queries to the
+    next round, which prunes with them from the start. A shard returns at most k rows a query; between rounds, k are kept.
 
-    Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id; all others must have the same number of components,
-    else the search fails. An empty table gives an empty one. Rows that repeat an id are
-    candidates each, but not for a query of that id; a repeated query id counts once.
+    Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. Vectors of different
+    lengths don't meet: each length has shards of its own, and a query's candidates are as long as it is. An empty table
+    gives an empty one. Rows that repeat an id are candidates each, but not for a query of that id; a repeated query
+    id counts once, with the least of its vectors.
     """
     checked(table, id, vector)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = table.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).where((F.size(vector) > 0) & ~bad)
     rows = valid.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("q"))
-    rows = stored(rows.withColumn("h", F.xxhash64("id", F.lit(3))), "vectors")
-    n_rows, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // block_rows))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    placed = rows.select("id", "v", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), everywhere)
-    asked = rows.where("q").dropDuplicates(["id"]).select("id", "v", F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int").alias("block"))
-
-    def searched(key, data, wanted):
-        if not len(data) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        both = exact_numbers([*data.v, *wanted.v], scale)
-        tree = KDTree(data.id.to_numpy(), both[: len(data)])
-        out = []
-        for i, q, floor in zip(wanted.id.tolist(), both[len(data) :], wanted.kth.tolist(), strict=True):
-            out += [(i, j, int(s)) for s, j in tree.search(q, k, i, -np.inf if floor is None or floor != floor else floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
+    rows = stored(rows.withColumns({"h": F.xxhash64("id", F.lit(3)), "d": F.size("v")}), "vectors")
     kind = "query_id long, vec_id long, score long"
-
-    def over(data: DataFrame, wanted: DataFrame) -> DataFrame:
-        # columns of their own, as both sides come from one table
-        data, wanted = (x.select(*[F.col(c).alias(f"{c}") for c in x.columns]) for x in (data, wanted))
-        return data.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInPandas(searched, kind)
+    # one row for each length of vectors
+    lengths = sorted((r["d"], -(-r["n"] // shard_rows)) for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect())
+    if not lengths:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    place = F.lit(0)
+    for d, n in reversed(lengths):
+        place = F.when(F.col("d") == d, F.pmod("h", F.lit(n)).cast("int")).otherwise(place)
+    placed = rows.select("id", "v", "d", place.alias("shard"))
+    asked = rows.where("q").groupBy("id", "d").agg(F.min("v").alias("v"))
+    asked = stored(asked.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("v"))).where("_r = 1").drop("_r"), "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, ids, vectors, exact = None, [], [], True
+        for batch in batches:
+            b = batch.to_pandas()
+            mine = b[~b.is_query]
+            ids += mine.id.tolist()
+            vectors += mine.v.tolist()
+            wanted = b[b.is_query]
+            if not len(wanted) or not ids:
+                continue
+            numbers = exact_numbers(wanted.v.tolist(), scale)
+            if tree is None or (exact and numbers.dtype == object):  # rows come before queries
+                held = exact_numbers(vectors, scale)
+                exact = held.dtype != object and numbers.dtype != object and float(np.abs(held).max()) * float(np.abs(numbers).max()) * held.shape[1] < 2**52
+                tree = KDTree(np.array(ids, dtype=np.int64), held if exact else held.astype(object))
+            out = []
+            for i, q, floor in zip(wanted.id.tolist(), numbers if exact else as_integers(numbers), wanted.kth.tolist(), strict=True):
+                out += [(i, j, int(s)) for s, j in tree.search(q, k, i, -np.inf if floor is None or floor != floor else int(floor))]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64"), preserve_index=False)
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    first = stored(over(placed.where("shard = 0"), asked.withColumn("shard", F.lit(0)).withColumn("kth", F.lit(None).cast("double"))), "first")
-    if shards == 1:
-        return best(first).select("query_id", "rank", "vec_id", "score")
-    # with fewer than k rows in shard 0 nothing can be pruned
-    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("c")).where(F.col("c") >= k).select("query_id", F.col("kth").cast("double").alias("kth"))
-    told = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
-    told = told.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-    rest = over(placed.where("shard > 0"), told)
-    return best(first.unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+    found, low, wide = None, 0, 1
+    most = max(n for _, n in lengths)
+    while low < most:
+        high = min(low + wide, most)
+        told = asked.withColumn("kth", F.lit(None).cast("long"))
+        if found is not None:  # with fewer than k rows so far nothing can be pruned
+            kth = found.groupBy(F.col("query_id").alias("_i")).agg(F.min("score").alias("kth"), F.count("*").alias("c")).where(F.col("c") >= k)
+            told = asked.join(kth.select("_i", "kth"), F.col("id") == F.col("_i"), "left").drop("_i")
+        told = told.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        slot = F.lit(0)  # a number for each length and shard of this round
+        for number, (d, _) in enumerate(lengths):
+            slot = F.when(F.col("d") == d, number * (high - low) + F.col("shard") - low).otherwise(slot)
+        both = placed.where(F.col("shard").between(low, high - 1)).select("id", "v", "d", "shard", F.lit(None).cast("long").alias("kth"), F.lit(False).alias("is_query"))
+        both = both.unionByName(told.select("id", "v", "d", "shard", "kth", F.lit(True).alias("is_query"))).withColumn("slot", slot.cast("int"))
+        dealt = both.repartitionById(len(lengths) * (high - low), "slot").sortWithinPartitions("is_query", "id")
+        new = dealt.select("id", "v", "kth", "is_query").mapInArrow(run, kind)
+        whole = new if found is None else found.select("query_id", "vec_id", "score").unionByName(new)
+        found = stored(best(whole), "best")
+        low, wide = high, wide * growth
+    return found.select("query_id", "rank", "vec_id", "score")
