@@ -87,13 +87,13 @@ def brute_top(vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(10_000, 10_000), (60, 3)])
-def test_top_k_against_brute_force(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows,growth", [(10_000, 4), (40, 2)])
+def test_top_k_against_brute_force(spark, shard_rows, growth):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(0, 1, 6).round(1)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 360)]
     bad = [(900, None), (800, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (700, [float("nan")] * 6), (600, [float("inf")] * 6), (None, [1.0] * 6), (500, [])]
     df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<double>").withColumn("shard", F.lit("own")).withColumn("score", F.lit("own"))
-    found = {tuple(r) for r in kdtree.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shard_rows, block_rows=block_rows).select("query_id", "rank", "vec_id", "score").collect()}
+    found = {tuple(r) for r in kdtree.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shard_rows, growth=growth).select("query_id", "rank", "vec_id", "score").collect()}
     assert found == brute_top(vectors, [i for i, _ in vectors if i % 20 == 0], 5)
 
 
@@ -103,6 +103,23 @@ def test_top_k_of_few_and_none(spark):
     assert kdtree.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_several_lengths_and_repeated_ids(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(30)] + [(i, [1.0, float(i % 5), 2.0]) for i in range(30, 60)] + [(10, [50.0, 50.0]), (10, [0.0, 0.0]), (40, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [kdtree.top_k(x, F.col("vec_id") % 10 == 0, 4, shard_rows=8, growth=2).orderBy("query_id", "rank").collect() for x in (df.coalesce(1), df.repartition(5))]
+    assert found[0] == found[1]
+    query = {i: min(v for j, v in rows if j == i) for i in range(0, 60, 10)}
+    for i, q in query.items():
+        best = sorted((-1024 * 1024 * sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i and len(v) == len(q))[:4]
+        assert [(r.vec_id, r.score) for r in found[0] if r.query_id == i] == [(j, -s) for s, j in best]
+
+
+def test_top_k_of_huge_rows(spark):
+    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e12, 3.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    found = kdtree.top_k(df, F.col("vec_id").isin(3), 2, scale=16.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 256 * (10**12 + 3)), (1, 256 * (10**12 + 2))]
+
+
 def test_top_k_of_huge_numbers():
     both = kdtree.exact_numbers([[1e15, 1.0], [1e15, 2.0]], 1024)
     tree = kdtree.KDTree(np.array([1, 2]), both)
@@ -146,6 +163,37 @@ def test_targets_are_shared_anew():
 # 5
 
 
+def test_training_adds_to_the_start():
+    """What is toxic is the order of two words, which no word alone tells: the fitted net knows it, its start doesn't."""
+    rng = random.Random(8)
+    words = ["w0", "w1", "w2", "w3", "hate", "you"]
+    docs, labels = [], []
+    for i in range(600):
+        d = [rng.randrange(4) for _ in range(12)]
+        at = rng.randrange(11)
+        d[at : at + 2] = [4, 5] if i % 2 else [5, 4]
+        docs.append(np.array(d, np.int32))
+        labels.append(float(i % 2))
+    rows = np.array([toxicity.buckets_of(w.encode(), 1 << 12) for w in words], np.int32)
+    y = np.array(labels, np.float32)
+    share = {}
+    for epochs in (0, 30):
+        net = toxicity.ConvNet(size=1 << 12)
+        net.fit(docs[:400], rows, y[:400], epochs=epochs)
+        said = np.array([net.logit(net.table(rows[d])) > 0 for d in docs[400:]])
+        share[epochs] = (said == (y[400:] == 1)).mean()
+    assert share[0] < 0.6 and share[30] > 0.9, share
+
+
+def test_the_sample_is_bounded_by_words(spark):
+    data = [(i, ("bad " if i % 2 else "good ") * 500 + f"w{i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    net = toxicity.train(docs, labels, most_words=5_100, epochs=2)  # ten texts
+    found = toxicity.score(docs, net).groupBy(F.col("doc_id") % 2).agg(F.avg("score").alias("s")).orderBy("s").collect()
+    assert found[0].s < found[1].s
+
+
 def toxic_rows(n=400):
     rng = random.Random(2)
     calm, bad = [f"w{k}" for k in range(200)], ["scum", "idiot", "pathetic"]

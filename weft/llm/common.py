@@ -20,10 +20,13 @@ _made: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, is a local one made and set.
+    Only where the session names none and all runs on one machine, as in tests, is a local one made and set; on a cluster
+    that is an error, for executors don't see each other's folders.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
