@@ -12,9 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm import sharding
+    from weft.llm.common import text_of
 
     docs = sharding.shard(_table(spark, sf_dir, "documents"), n_shards=24)
-    return docs.select("doc_id", sharding.record_size().alias("size"), F.crc32("text").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return docs.select("doc_id", sharding.record_size().alias("size"), F.crc32(text_of()).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
