@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weft.llm.common import checked
+from weft.llm.common import checked, tidy
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,13 +33,13 @@ class TreeBPE:
     """Encodes and decodes as the tokenizers library does with the same file.
 
     Pieces of up to leaf bytes are encoded at once by the library's merge loop. A longer piece is cut into halves,
-    again and again, down to leaves, which are encoded together; then neighbours are joined, level by level. A join
+    again and again, down to leaves, which are encoded in one call; then neighbours are joined, level by level. A join
     encodes a window of tokens around the seam anew. It is done when the window's outer tokens agree with what is left
     and right of it: a token sequence is the encoding of its bytes if, and only if, every two neighbours are the
     encoding of their own bytes. Else the window is doubled, up to both sides whole.
     """
 
-    def __init__(self, path: str, leaf: int = 256, cache: int = 400_000):
+    def __init__(self, path: str, leaf: int = 256, cache: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -184,6 +184,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = 256, batc
     docs = docs.drop("ids", "decoded")
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         bpe = None

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over a task's batches, after which the worker gives freed memory back: workers live on between tasks, and
+    what each of them keeps would add up with what the next stage needs."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def checked(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has the columns; an error that names the missing ones otherwise."""
     if missing := [n for n in names if n not in df.columns]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import checked, stored
+from weft.llm.common import checked, stored, tidy
 
 #: HTML elements without content, those whose content is no markup, and those that are blocks of text.
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -456,6 +456,7 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", each: int = 6
     all pages is merged by many tasks. What a wrapper holds is bounded by RARE times the nodes of a page.
     """
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, list[Part]] = {}
         held = 0
@@ -504,6 +505,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
             found = [json.dumps(content(from_json(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["__weft_host", "__weft_path"])
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict | None] = {None: None}
         for batch in batches:

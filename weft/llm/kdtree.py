@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import checked, stored
+from weft.llm.common import checked, stored, tidy
 
 
 class KDTree:
@@ -131,6 +131,7 @@ def top_k(table: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", ve
     asked = rows.where("q").groupBy("id", "d").agg(F.min("v").alias("v"))
     asked = stored(asked.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("v"))).where("_r = 1").drop("_r"), "queries")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, ids, vectors, exact = None, [], [], True
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.attention import END, Attention, Vocabulary, windows
-from weft.llm.common import checked, row_hash, stored
+from weft.llm.common import checked, row_hash, stored, tidy
 
 #: The key of the end of a text among the words, none of which is empty.
 END_WORD = b""
@@ -76,6 +76,7 @@ class Model:
 def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
     """(word, c): how often each word, and the end of a text under the empty word, occurs in all docs. Summed in each task first."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
@@ -108,6 +109,7 @@ def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000,
     """
     counts = stored(count_words(docs, text), "counts")
 
+    @tidy
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords(path)
         for batch in batches:
@@ -144,6 +146,7 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
         return np.empty((0, width), np.int64), np.empty((0, width), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(units)  # of fixed size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, sub = shared.value, Subwords(path)
         for batch in batches:
@@ -170,6 +173,7 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
     names = sorted(net.p)
     parts = max(1, -(-tokens // part))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         path, units, own = shared.value
@@ -234,6 +238,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     at, names = docs.columns.index(text), [*docs.columns, "n_tokens", "__weft_known", "__weft_log", "__weft_gain", "__weft_rare"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: units, weights, and at most so many common words
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         m, sub = shared.value, Subwords(shared.value.path)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checked, stored
+from weft.llm.common import checked, stored, tidy
 from weft.llm.components import components
 
 #: Two bits of each minimum are kept: chance alone makes a quarter of them equal.
@@ -139,6 +139,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     def node_of(values: np.ndarray) -> bytes:
         return xxhash.xxh3_128_digest(values.tobytes())
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, signer = WordHash(), Signer(bands, rows)
         for batch in batches:
@@ -152,6 +153,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
                 packed.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), _lists(keys), _lists(packed)], ["id", "n", "node", "keys", "sig"])
 
+    @tidy
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
