@@ -2,42 +2,67 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hashes within NEAR bits are one picture, pictures of a class within SAME_GROUP bits one group.
+NEAR, SAME_GROUP = 6, 10
+BITS = 64
+
 
 def difference_hash(values: Column) -> Column:
-    """Bit i is set if value i is larger than value i + 1; at most 63 bits."""
-    steps = F.sequence(F.lit(0), F.least(F.size(values), F.lit(64)) - 2)
-    bits = F.transform(steps, lambda i: F.when(F.get(values, i) > F.get(values, i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """The 64-bit hash of a grey picture of 9 by 8 (row by row): a bit for each neighbours in a row, set if the left one is lighter;
+    the first is the highest. Another number of values has none."""
+    at = [y * 9 + x for y in range(8) for x in range(8)]
+    bits = F.transform(F.array(*map(F.lit, at)), lambda i: F.when(F.get(values, i) > F.get(values, i + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.when(F.size(values) == 72, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b)))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(hashes: DataFrame, most: int, bits: int = 63) -> DataFrame:
-    """a, b, distance of ids (a < b) whose hashes differ in at most so many bits.
+def _probes(width: int, radius: int) -> list[int]:
+    """All masks of width bits with at most radius bits set."""
+    return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def near_hashes(hashes: DataFrame, most: int, bands: int = 4) -> DataFrame:
+    """a, b, distance of different hashes (a < b), each once, that differ in at most so many bits.
 
-    The bits are cut into most + 1 bands as even as can be: two hashes within the distance agree on at least one band whole, so a join on
-    (band, value) misses no pair. With many bits allowed, bands are narrow and the join grows; so are the results.
+    hashes: hash, all different. The 64 bits are cut into bands; two hashes within most bits differ in at most most / bands bits of at least
+    one band. So one side is looked up by its bands, the other by all values within that radius of its bands: no pair is missed, and a
+    look-up meets one value of 2^16 rather than one of a few bits.
     """
-    n = min(most + 1, bits)
-    cuts = [bits * k // n for k in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    one = hashes.select("id", "hash", F.explode(bands).alias("e")).select("id", "hash", "e.band", "e.value")
-    x, y = one.alias("x"), one.alias("y")
-    d = hamming(F.col("x.hash"), F.col("y.hash"))
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (d <= most)
-    return x.join(y, same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), d.alias("distance")).distinct()
-
-
-def grouped(ids: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, grp: the smallest id that is reachable over pairs (a, b). Labels spread with pointer jumping; each round is checkpointed."""
+    width, n = BITS // bands, most // bands
+    cut = lambda k: F.shiftrightunsigned("hash", width * k).bitwiseAND(F.lit((1 << width) - 1))
+    banded = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), cut(k).alias("value")) for k in range(bands)])).alias("e")
+    own = hashes.select("hash", banded).select(F.col("hash").alias("a"), "e.band", "e.value")
+    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _probes(width, n)])).alias("mask")
+    asked = own.select(F.col("a").alias("b"), "band", "value", masks).select("b", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    met = own.join(asked, ["band", "value"]).where("a < b").select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
+    return met.where(F.col("distance") <= most).distinct()
+
+
+def near_pairs(pictures: DataFrame, most: int = SAME_GROUP) -> tuple[DataFrame, DataFrame]:
+    """Pairs and membership of pictures (id, hash): pairs (a, b, distance) of class representatives, the smallest ids of different hashes, and
+    members (id, rep) of every picture. Pictures with one hash are a class, so m copies make m rows, not their square. Pictures without a hash are classes of their own."""
+    known = pictures.where(F.col("hash").isNotNull())
+    reps = known.groupBy("hash").agg(F.min("id").alias("rep"))
+    members = pictures.join(reps, "hash", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    found = near_hashes(reps.select("hash"), most)
+    x, y = reps.select(F.col("hash").alias("a"), F.col("rep").alias("p")), reps.select(F.col("hash").alias("b"), F.col("rep").alias("q"))
+    both = found.join(x, "a").join(y, "b")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance"), members
+
+
+def grouped(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, grp: the smallest id that is reachable over pairs (a, b). Labels spread with pointer jumping until nothing changes; each round is checkpointed."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = ids.select("id", F.col("id").alias("grp"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("grp").alias("m"))
         up = labels.select(F.col("id").alias("u"), F.col("grp").alias("top"))
         new = labels.join(heard, labels.id == heard.a, "left").join(up, F.col("grp") == F.col("u"))
@@ -45,27 +70,47 @@ def grouped(ids: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("id", F.col("new").alias("grp"))
         if new.where("new < grp").isEmpty():
             return labels
-    raise RuntimeError("groups have not settled")
+
+
+def groups(pictures: DataFrame, most: int = SAME_GROUP) -> DataFrame:
+    """id, grp of all pictures (id, class, hash, and key if there is one): within a class, pictures with one key are a group, as are
+    those without a key within most bits of each other, over any number of steps. grp is the group's smallest id."""
+    rows = pictures if "key" in pictures.columns else pictures.withColumn("key", F.lit(None).cast("string"))
+    keyed = rows.where(F.col("key").isNotNull())
+    by_key = keyed.withColumn("grp", F.min("id").over(Window.partitionBy("class", "key"))).select("id", "grp")
+    free = rows.where(F.col("key").isNull())
+    reps = free.groupBy("class", "hash").agg(F.min("id").alias("rep"))
+    met = near_hashes(free.where(F.col("hash").isNotNull()).select("hash").distinct(), most)
+    x = reps.select(F.col("hash").alias("a"), F.col("class").alias("c"), F.col("rep").alias("p"))
+    y = reps.select(F.col("hash").alias("b"), F.col("class").alias("c"), F.col("rep").alias("q"))
+    pairs = met.join(x, "a").join(y, ["b", "c"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
+    # a picture without a hash is a group of its own
+    found = grouped(reps.where(F.col("hash").isNotNull()).select(F.col("rep").alias("id")), pairs).withColumnRenamed("id", "rep")
+    members = free.join(reps, ["class", "hash"], "left").join(found, "rep", "left")
+    return by_key.unionByName(members.select("id", F.coalesce("grp", "id").alias("grp")))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df saved to the folder of spark.checkpoint.dir; where the session names none, as in tests, a local one is set."""
+    """df saved to the folder of spark.checkpoint.dir; where the session names none and all runs on one machine, as in tests, a local one is set."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="weft-"))
     return df.checkpoint()
 
 
-def accepted_in_order(ids: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def accepted_in_order(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, accepted: an id is accepted unless it is within the distance of a smaller accepted one.
 
     The greedy rule, by rounds: an undecided id without an undecided smaller neighbour is accepted if no smaller neighbour was accepted. Every round decides
-    at least the smallest undecided id of each group; chains take as many rounds as they are long.
+    at least the smallest undecided id of each group, so the rounds end; chains take as many as they are long.
     """
     state = ids.select("id", F.lit(None).cast("boolean").alias("accepted"))
-    for _ in range(rounds):
+    while True:
         below = pairs.select(F.col("b").alias("id"), F.col("a").alias("low")).join(state.select(F.col("id").alias("low"), F.col("accepted").alias("s")), "low")
         facts = below.groupBy("id").agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("hit"), F.bool_or(F.col("s").isNull()).alias("open"))
         new = state.join(facts, "id", "left")
@@ -73,7 +118,30 @@ def accepted_in_order(ids: DataFrame, pairs: DataFrame, rounds: int = 200) -> Da
         state = checkpointed(new.select("id", rule.alias("accepted")))
         if state.where("accepted is null").isEmpty():
             return state
-    raise RuntimeError("not all are decided")
+
+
+def dedup(pictures: DataFrame, most: int = NEAR) -> DataFrame:
+    """id, status, of: in order of ids, a picture (id, class, hash) is ok unless an earlier ok one is within most bits: then it is a duplicate
+    of the first such one if that has its class, else a conflict with it. Only the first picture of each hash can be ok, the others follow it."""
+    pairs, members = near_pairs(pictures, most)
+    reps = members.select(F.col("rep").alias("id")).distinct()
+    taken = accepted_in_order(reps, pairs).where("accepted").select(F.col("id").alias("of"))
+    kinds = pictures.select(F.col("id").alias("of"), F.col("class").alias("_c"))
+    near = pairs.select(F.col("b").alias("rep"), F.col("a").alias("of")).join(taken, "of", "left_semi")
+    first = near.groupBy("rep").agg(F.min("of").alias("_near"))
+    rows = pictures.select("id", "class").join(members, "id").join(first, "rep", "left").join(taken.withColumn("_ok", F.lit(True)).withColumnRenamed("of", "rep"), "rep", "left")
+    of = F.when(F.col("_ok") & (F.col("id") != F.col("rep")), F.col("rep")).when(F.col("_ok").isNull(), F.col("_near"))
+    rows = rows.withColumn("of", of).join(kinds, "of", "left")
+    return rows.select("id", F.when(F.col("of").isNull(), "ok").when(F.col("class") == F.col("_c"), "duplicate").otherwise("conflict").alias("status"), "of")
+
+
+def near_known(pictures: DataFrame, pool: DataFrame, most: int = NEAR) -> DataFrame:
+    """id of the pictures (id, hash) that any of a pool (hash) is within most bits of."""
+    both = pictures.select("hash").unionByName(pool.select("hash")).where(F.col("hash").isNotNull()).distinct()
+    pairs = near_hashes(both, most)
+    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(pool.select(F.col("hash").alias("a"), F.col("hash").alias("b")))
+    hit = links.join(pool.select(F.col("hash").alias("b")).distinct(), "b", "left_semi").select(F.col("a").alias("hash")).distinct()
+    return pictures.join(hit, "hash", "left_semi").select("id")
 
 
 def group_split(groups: DataFrame, shares: tuple[float, ...] = (0.70, 0.15, 0.15), names: tuple[str, ...] = ("train", "val", "test"), seed: str = "42") -> DataFrame:

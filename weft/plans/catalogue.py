@@ -507,43 +507,92 @@ def skin_harmony(fabrics):
 
 # pictures and near-duplicates
 
-_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)), lambda a, b: a | b)"
+# Pictures of 9 by 8: a vector's numbers and its first eight again, and of each a near copy, in which up to three of the first numbers have the other sign.
+_GRIDS = "SELECT vec_id AS id, label AS class, list_concat(embedding, list_slice(embedding, 1, 8)) AS grey FROM embeddings UNION ALL SELECT vec_id + 1000000, CASE WHEN vec_id % 5 = 0 THEN label + 1 ELSE label END, list_transform(list_concat(embedding, list_slice(embedding, 1, 8)), lambda x, i: CASE WHEN i <= vec_id % 4 THEN -x ELSE x END) FROM embeddings"
+_BITS = "list_sum(list_transform(range(0, 64), lambda i: CASE WHEN grey[(i // 8) * 9 + i % 8 + 1] > grey[(i // 8) * 9 + i % 8 + 2] THEN 1::UBIGINT << (63 - i) ELSE 0::UBIGINT END))"
+_PICTURES = f"g AS ({_GRIDS}), h AS (SELECT id, class, CAST({_BITS} AS UBIGINT) AS u FROM g)"
 
 
-@table_query("embeddings", sql=f"SELECT vec_id AS id, {_HASH} AS hash FROM embeddings")
-def difference_hashes(embeddings):
-    return embeddings.select(F.col("vec_id").alias("id"), neardup.difference_hash(F.col("embedding")).alias("hash"))
+def _pictures(embeddings: DataFrame) -> DataFrame:
+    """id, class, hash of the pictures made of the vectors."""
+    grey = F.concat("embedding", F.slice("embedding", 1, 8))
+    own = embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("class"), grey.alias("grey"))
+    turned = F.transform(grey, lambda x, i: F.when(i < F.col("vec_id") % 4, -x).otherwise(x))
+    near = embeddings.select((F.col("vec_id") + 1_000_000).alias("id"), F.when(F.col("vec_id") % 5 == 0, F.col("label") + 1).otherwise(F.col("label")).alias("class"), turned.alias("grey"))
+    return own.unionByName(near).select("id", "class", neardup.difference_hash(F.col("grey")).alias("hash"))
 
 
-def _hashes(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select(F.col("vec_id").alias("id"), neardup.difference_hash(F.col("embedding")).alias("hash"))
+@table_query("embeddings", sql=f"WITH {_PICTURES} SELECT id, CASE WHEN u >= 9223372036854775808::UBIGINT THEN CAST(u - 9223372036854775808::UBIGINT AS BIGINT) - 9223372036854775807 - 1 ELSE CAST(u AS BIGINT) END AS hash FROM h")
+def difference_hashes(embeddings):
+    return _pictures(embeddings).select("id", "hash")
 
 
-_PAIRS = f"WITH RECURSIVE h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 16)"
+_REPS = f"{_PICTURES}, r AS (SELECT u, min(id) AS rep FROM h GROUP BY u)"
 
 
-@table_query("embeddings", sql=f"{_PAIRS} SELECT * FROM p")
+@table_query("embeddings", sql=f"WITH {_REPS} SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.u, y.u)) AS INTEGER) AS distance FROM r x JOIN r y ON x.rep < y.rep AND bit_count(xor(x.u, y.u)) <= {neardup.SAME_GROUP}")
 def neardup_pairs(embeddings):
-    return neardup.near_pairs(_hashes(embeddings), 16)
+    return neardup.near_pairs(_pictures(embeddings), neardup.SAME_GROUP)[0]
+
+
+@table_query("embeddings", sql=f"WITH {_REPS} SELECT h.id, r.rep FROM h JOIN r ON h.u = r.u")
+def neardup_members(embeddings):
+    return neardup.near_pairs(_pictures(embeddings), neardup.SAME_GROUP)[1]
+
 
+# every third picture has a source, which it shares with pictures nearby
+_KEYED = "k AS (SELECT id, class, u, CASE WHEN id % 3 = 0 THEN 'source' || CAST(id // 30 AS VARCHAR) END AS key FROM h)"
+_GROUPED = f"WITH RECURSIVE {_PICTURES}, {_KEYED}, e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.class = y.class AND x.id <> y.id AND ((x.key IS NULL AND y.key IS NULL AND bit_count(xor(x.u, y.u)) <= {neardup.SAME_GROUP}) OR x.key = y.key)), r(id, g) AS (SELECT id, id FROM k UNION SELECT e.b, r.g FROM r JOIN e ON r.id = e.a), c AS (SELECT id, min(g) AS grp FROM r GROUP BY id)"
 
-@table_query("embeddings", sql=f"{_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, g) AS (SELECT id, id FROM h UNION SELECT e.b, r.g FROM r JOIN e ON r.id = e.a) SELECT id, min(g) AS grp FROM r GROUP BY id")
+
+def _keyed(embeddings: DataFrame) -> DataFrame:
+    return _pictures(embeddings).withColumn("key", F.when(F.col("id") % 3 == 0, F.concat(F.lit("source"), F.expr("id div 30").cast("string"))))
+
+
+@table_query("embeddings", sql=f"{_GROUPED} SELECT id, grp FROM c")
 def neardup_components(embeddings):
-    h = _hashes(embeddings)
-    return neardup.grouped(h.select("id"), neardup.near_pairs(h, 16))
+    return neardup.groups(_keyed(embeddings))
 
 
-@table_query("embeddings")
+_ORDERED = f"""WITH RECURSIVE {_PICTURES}, p AS (SELECT y.id AS low, x.id AS id FROM h x JOIN h y ON y.id < x.id AND bit_count(xor(x.u, y.u)) <= {neardup.NEAR}),
+o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM h), l AS (SELECT o.n, list(q.n) FILTER (WHERE q.n IS NOT NULL) AS lows FROM o LEFT JOIN p ON p.id = o.id LEFT JOIN o q ON q.id = p.low GROUP BY o.n),
+w(n, ok) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.n + 1, CASE WHEN list_has_any(w.ok, coalesce(l.lows, [])) THEN w.ok ELSE list_append(w.ok, l.n) END FROM w JOIN l ON l.n = w.n + 1),
+f AS (SELECT id FROM o WHERE list_contains((SELECT ok FROM w ORDER BY n DESC LIMIT 1), n)), first AS (SELECT p.id, min(p.low) AS low FROM p JOIN f ON f.id = p.low GROUP BY p.id)
+SELECT h.id, CASE WHEN f.id IS NOT NULL THEN 'ok' WHEN h.class = m.class THEN 'duplicate' ELSE 'conflict' END AS status, CASE WHEN f.id IS NULL THEN first.low ELSE -1 END AS of
+FROM h LEFT JOIN f ON f.id = h.id LEFT JOIN first ON first.id = h.id LEFT JOIN h m ON m.id = first.low"""
+
+
+@table_query("embeddings", sql=_ORDERED)
 def dedup_in_order(embeddings):
-    h = _hashes(embeddings)
-    return neardup.accepted_in_order(h.select("id"), neardup.near_pairs(h, 16))
+    return neardup.dedup(_pictures(embeddings)).withColumn("of", F.coalesce("of", F.lit(-1)))
+
+
+@table_query("embeddings", sql=f"WITH {_PICTURES} SELECT id FROM h WHERE id >= 1000000 AND EXISTS (SELECT 1 FROM h p WHERE p.id < 1000000 AND bit_count(xor(p.u, h.u)) <= {neardup.NEAR})")
+def near_known_pictures(embeddings):
+    """The made copies that are near any vector's own picture."""
+    rows = _pictures(embeddings)
+    return neardup.near_known(rows.where("id >= 1000000"), rows.where("id < 1000000"))
 
 
 @table_query("embeddings")
 def group_split(embeddings):
-    h = _hashes(embeddings)
-    groups = neardup.grouped(h.select("id"), neardup.near_pairs(h, 16)).join(embeddings.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("label", "grp").agg(F.count("*").alias("n"))
-    return neardup.group_split(groups)
+    rows = _keyed(embeddings)
+    found = neardup.groups(rows).join(rows.select("id", F.col("class").alias("label")), "id").groupBy("label", "grp").agg(F.count("*").alias("n"))
+    return neardup.group_split(found)
+
+
+@table_query("pages", sql="SELECT page_id AS id, CASE page_id % 7 WHEN 0 THEN 'unknown category' WHEN 1 THEN 'missing' WHEN 2 THEN 'undecodable' ELSE CASE WHEN page_id % 4 = 0 THEN 'duplicate' ELSE 'accepted' END END AS status FROM pages")
+def ingest_statuses(pages):
+    i = F.col("page_id")
+    rows = pages.select(i.alias("id"), F.when(i % 7 == 0, "PAPER").otherwise("KENTE").alias("category"), (i % 7 != 1).alias("present"), (i % 7 != 2).alias("decoded"))
+    return curate.ingest(rows, S.CATEGORIES, rows.where("id % 4 = 0").select("id"))
+
+
+@table_query("pages", sql="SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'src' || (page_id // 10) END AS key, 'lace_' || page_id || '_a.jpg' AS name FROM pages")
+def provenance_and_names(pages):
+    key = F.when(F.col("page_id") % 3 == 0, " #frame").otherwise(F.concat(F.lit("src"), F.expr("page_id div 10").cast("string"), F.lit(" #"), F.col("page_id").cast("string")))
+    name = curate.new_file_name(F.concat(F.lit("wax_"), F.col("page_id").cast("string"), F.lit("_a.jpg")), F.lit("LACE"))
+    return pages.select("page_id", curate.provenance(key).alias("key"), name.alias("name"))
 
 
 @table_query("embeddings", sql="""

@@ -101,16 +101,16 @@ def already_reported(reports):
     return community.already_reported(reports.select("contentId", "contentType").distinct(), reports, 7)
 
 
-@query("reports", sql=f"SELECT id, CASE WHEN status = 'PENDING' THEN 'RESOLVED' ELSE status END AS status, CASE WHEN status = 'PENDING' THEN {NOW} END AS resolvedAt, CASE WHEN status = 'PENDING' THEN 'removed' END AS resolution FROM reports")
+@query("reports", sql=f"SELECT id, CASE WHEN status = 'PENDING' THEN 'RESOLVED' ELSE status END AS status, CASE WHEN status = 'PENDING' THEN {NOW} ELSE 0 END AS resolvedAt, CASE WHEN status = 'PENDING' THEN 'removed' END AS resolution FROM reports")
 def resolve_reports(reports):
     rows = reports.withColumns({"resolvedAt": F.lit(None).cast("long"), "resolution": F.lit(None).cast("string")})
-    return social.set_report_status(rows, F.col("status") == "PENDING", "RESOLVED", "removed", NOW).select("id", "status", "resolvedAt", "resolution")
+    return social.set_report_status(rows, F.col("status") == "PENDING", "RESOLVED", "removed", NOW).select("id", "status", F.coalesce("resolvedAt", F.lit(0)).alias("resolvedAt"), "resolution")
 
 
-@query("reports", sql="SELECT id, CASE WHEN reporterId IN (3, 4, 5) THEN 'PENDING' ELSE status END AS status, CASE WHEN reporterId IN (3, 4, 5) THEN NULL ELSE createdAt END AS resolvedAt FROM reports")
+@query("reports", sql="SELECT id, CASE WHEN reporterId IN (3, 4, 5) THEN 'PENDING' ELSE status END AS status, CASE WHEN reporterId IN (3, 4, 5) THEN 0 ELSE createdAt END AS resolvedAt FROM reports")
 def reopen_selected_reports(reports):
     rows = reports.withColumns({"resolvedAt": F.col("createdAt"), "resolution": F.lit("x")})
-    return social.set_report_status(rows, F.col("reporterId").isin(3, 4, 5), "PENDING", None, NOW).select("id", "status", "resolvedAt")
+    return social.set_report_status(rows, F.col("reporterId").isin(3, 4, 5), "PENDING", None, NOW).select("id", "status", F.coalesce("resolvedAt", F.lit(0)).alias("resolvedAt"))
 
 
 @query("fabrics", "favorites", "looks", sql="SELECT (SELECT count(*) FROM fabrics WHERE isFavorite) AS fabrics, (SELECT count(*) FROM favorites) AS designs, (SELECT count(*) FROM looks WHERE isFavorite) AS looks, (SELECT count(*) FROM fabrics WHERE isFavorite) + (SELECT count(*) FROM favorites) + (SELECT count(*) FROM looks WHERE isFavorite) AS total")

@@ -147,7 +147,7 @@ CONDITIONS: dict[str, tuple] = {
 }
 
 _TEXT_KEYS = {"dress_styles", "favorite_styles", "usage", "style_feedback", "recent_searches"}
-_DETAILS = {"notes": ("STRING", "VARCHAR"), "amountCm": ("INT", "INTEGER"), "intendedWearer": ("STRING", "VARCHAR"), "intendedOccasion": ("STRING", "VARCHAR")}
+_DETAILS = {"notes": ("STRING", "VARCHAR", None), "amountCm": ("INT", "INTEGER", 0), "intendedWearer": ("STRING", "VARCHAR", None), "intendedOccasion": ("STRING", "VARCHAR", None)}
 
 
 def _columns(table: str) -> list[str]:
@@ -227,17 +227,17 @@ def _register_write(name: str, statement: str) -> None:
         _add(name, lambda spark, sf_dir: tables.write(name, relation(spark, sf_dir, table)), _with_rows(table, "SELECT * FROM rows WHERE false"))
         return
     arguments, condition, *values = CONDITIONS[name]
-    details = [c for c in (values[0] if values else {}) if c in _DETAILS]  # columns that the view lacks: null before
+    details = [c for c in (values[0] if values else {}) if c in _DETAILS]  # columns that the view lacks, as they are before
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = relation(spark, sf_dir, table)
-        return tables.write(name, rows.withColumns({c: F.lit(None).cast(_DETAILS[c][0]) for c in details}) if details else rows, *arguments)
+        return tables.write(name, rows.withColumns({c: F.lit(_DETAILS[c][2]).cast(_DETAILS[c][0]) for c in details}) if details else rows, *arguments)
 
     if kind == "delete":
         body = f"SELECT * FROM rows WHERE NOT ({condition})"
     else:
         listed = [f"CASE WHEN {condition} THEN {values[0][c]} ELSE {c} END AS {c}" if c in values[0] else c for c in _columns(table)]
-        listed += [f"CAST(CASE WHEN {condition} THEN {values[0][c]} END AS {_DETAILS[c][1]}) AS {c}" for c in details]
+        listed += [f"CAST(CASE WHEN {condition} THEN {values[0][c]} ELSE {'NULL' if _DETAILS[c][2] is None else _DETAILS[c][2]} END AS {_DETAILS[c][1]}) AS {c}" for c in details]
         body = f"SELECT {', '.join(listed)} FROM rows"
     _add(name, run, _with_rows(table, body))
 

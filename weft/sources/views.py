@@ -81,7 +81,7 @@ def _sql(dialect: str) -> dict[str, str]:
         "collection_items": f"SELECT o_orderkey AS id, o_orderkey % 50 + 1 AS collectionId, {pick(['DESIGN', 'FABRIC', 'LOOK', 'ODD'], 'o_orderkey % 4')} AS itemType, CAST(o_custkey % 40 AS {text}) AS itemId, {BASE} + (o_orderkey * 7919) % 100000 AS addedAt FROM orders",
         "closet": f"SELECT p_partkey AS id, p_name AS name, {pick(['DRESS', 'TOP', 'BOTTOM', 'SHOES', 'BAG', 'ACCESSORY'], 'p_partkey % 6')} AS category, {BASE} + (p_partkey * 104729) % 1000000 AS createdAt FROM part",
         "outfits": f"SELECT c_custkey AS id, c_name AS name, CAST(c_custkey AS {text}) || ',x,' || CAST(c_custkey * 3 % 2000 AS {text}) || ', ' AS itemIdsCsv, {BASE} + c_custkey * 5000 AS createdAt FROM customer",
-        "measured": f"SELECT CAST(c_custkey AS INT) AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(140 + c_custkey % 50 AS INT) END AS heightCm, CAST(60 + c_custkey % 40 AS INT) AS waistCm, CAST(80 + c_custkey % 30 AS INT) AS hipCm, {BASE} + c_custkey AS updatedAt FROM customer",
+        "measured": f"SELECT CAST(c_custkey AS INT) AS id, CAST(140 + c_custkey % 50 AS INT) AS heightCm, CAST(60 + c_custkey % 40 AS INT) AS waistCm, CAST(80 + c_custkey % 30 AS INT) AS hipCm, {BASE} + c_custkey AS updatedAt FROM customer",
         "feedback": f"SELECT id AS styleId, ordinal % 3 = 0 AS dismissed, {BASE} + ordinal AS updatedAt FROM ({{styles}}) st",
         "searches": "SELECT kind || '_' || CAST(userId AS " + text + ") AS query, max(timestamp) AS timestamp FROM ({history}) hi GROUP BY kind, userId",
         "blocked": f"SELECT c_custkey AS userId, c_name AS username, c_mktsegment AS reason, {BASE} + (c_custkey * 31) % 5000 AS blockedAt FROM customer WHERE c_custkey % 7 = 0",
