@@ -4,7 +4,8 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_groups, brute_lines, family, lm_path, toxic_rows
+from test_lm import lm_path
+from test_operators import brute_groups, brute_lines, family, toxic_rows
 
 import corpus_pipeline as P
 from weft.llm import mixing
