@@ -223,6 +223,12 @@ def test_toxicity_of_edges(docs, clashing, empty, spark):
     assert toxicity.score(docs, toxicity.train(empty, labels)).agg(F.max("score")).first()[0] < 1e-6
 
 
+def lm_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 # 7
 
 
