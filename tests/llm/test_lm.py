@@ -52,6 +52,18 @@ def brute(net: Attention, before: list[int], wanted: int) -> float:
     return log_softmax(h @ p["out"] + p["bias"])[net.heads + g] + log_softmax(h @ p["out2"][g] + p["bias2"][g])[i]
 
 
+def test_first_subwords_are_the_librarys():
+    odd = ["\u00a0", "a\u00a0", "\u00a0b", "a\u2003b", "\x1c", "\x1f.", "\x85", "<|endoftext|>", "x<|endoftext|>y", "\ufffd", "'s", "\u0120", "\u0120a", "don't,", "12ab", "...", "\u4e2d\u6587", "\U0001f600", "e\u0301", "\0"]
+    rng = random.Random(9)
+    words = odd + ["".join(rng.choices("ab\u00e9\u00a0\u3000\u4e2d.,'s12\u0120<|>", k=rng.randint(1, 9))) for _ in range(3000)]
+    rng.shuffle(words)
+    for together in (1, 7, 100):
+        sub = lm_scoring.Subwords(lm_path(), together=together)
+        got = sub.of([w.encode() for w in words])
+        assert got == [sub.model.encode(" " + w, add_special_tokens=False).ids[0] for w in words]
+    assert sub.of([b"\xff", b"\xed\xa0\x80"]) == [sub.model.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids[0] for w in (b"\xff", b"\xed\xa0\x80")]
+
+
 def test_vocabulary_places_every_id():
     voc = small()
     assert len(voc.unit) == 40 and (voc.unit > END).all() and voc.unit.max() < voc.start

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import copy
 import ctypes
+import functools
 import math
 import os
 from collections import Counter
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.attention import END, Attention, Vocabulary, windows
+from weft.llm.bpe import byte_letters
 from weft.llm.common import checked, row_hash, stored, tidy
 
 #: The key of the end of a text among the words, none of which is empty.
@@ -38,13 +40,22 @@ def keep_heap() -> None:
 
 
 class Subwords:
-    """The first subword id of a whole word behind a blank. Words are remembered; the memory is emptied when it is full."""
+    """The first subword id of a whole word behind a blank. Words are remembered; the memory is emptied when it is full.
 
-    def __init__(self, path: str, most: int = 200_000, most_bytes: int = 20_000_000):
+    Words without white space of any kind are encoded many in one string, in which the tokens that begin with the blank begin the
+    words, for byte-level pieces don't reach over a blank. Words with it, and strings where the number of such tokens is another, are encoded
+    word by word.
+    """
+
+    def __init__(self, path: str, most: int = 200_000, most_bytes: int = 20_000_000, together: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.most, self.most_bytes, self.bytes = Tokenizer.from_file(path), most, most_bytes, 0
+        self.model, self.most, self.most_bytes, self.bytes, self.together = Tokenizer.from_file(path), most, most_bytes, 0, together
+        vocab = self.model.get_vocab()
+        blank = byte_letters()[ord(" ")]
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(blank)]] = True
         self.words: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> list[int]:
@@ -54,15 +65,33 @@ class Subwords:
                 self.words.clear()
                 self.bytes = 0
             new = [w for w in dict.fromkeys(words) if w not in self.words]
-            for i in range(0, len(new), 1000):  # encodings are large
-                some = new[i : i + 1000]
-                coded = self.model.encode_batch([" " + w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                self.words.update((w, e.ids[0]) for w, e in zip(some, coded, strict=True))
+            whole, odd = [], []
+            for w in new:
+                text = w.decode("utf-8", "replace")
+                (whole if len(text.split()) == 1 and not text[0].isspace() and not text[-1].isspace() else odd).append((w, " " + text))
+            for i in range(0, len(whole), self.together):
+                some = whole[i : i + self.together]
+                ids = np.array(self.model.encode_batch_fast(["".join(t for _, t in some)], add_special_tokens=False)[0].ids)
+                first = ids[self.begins[ids]].tolist()
+                if len(first) == len(some):
+                    self.words.update(zip((w for w, _ in some), first, strict=True))
+                else:
+                    odd += some
+            for i in range(0, len(odd), 1000):  # encodings are large
+                some = odd[i : i + 1000]
+                coded = self.model.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+                self.words.update((w, e.ids[0]) for (w, _), e in zip(some, coded, strict=True))
             self.bytes += sum(map(len, new))
             found = list(map(self.words.__getitem__, words))
         return found
 
 
+@functools.lru_cache(maxsize=1)
+def subwords(path: str) -> Subwords:
+    """A worker's own, for all its tasks."""
+    return Subwords(path)
+
+
 class Model:
     """What scoring needs besides the counts of rare words: the units, the attention model, common words."""
 
@@ -111,7 +140,7 @@ def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000,
 
     @tidy
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = Subwords(path)
+        sub = subwords(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sub.of(batch.column(0).to_pylist()), pa.int32()), batch.column(1)], ["sub", "c"])
 
@@ -148,7 +177,7 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, sub = shared.value, Subwords(path)
+        units, sub = shared.value, subwords(path)
         for batch in batches:
             inputs, wanted = [], []
             for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -177,7 +206,7 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         path, units, own = shared.value
-        own, sub, total, k = copy.deepcopy(own), Subwords(path), 0, None
+        own, sub, total, k = copy.deepcopy(own), subwords(path), 0, None
         memory = {"step": 0, "m": {x: np.zeros_like(v) for x, v in own.p.items()}, "u": {x: np.zeros_like(v) for x, v in own.p.items()}}
         waiting: list[str | None] = []
 
@@ -241,7 +270,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
-        m, sub = shared.value, Subwords(shared.value.path)
+        m, sub = shared.value, subwords(shared.value.path)
         log_c = {w: math.log10(c + 0.5) for w, c in m.common.items()}
         width, step, added = m.net.width, m.net.width * 3 // 4, m.net.tables()
         rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("tf", pa.int32())]))
