@@ -118,7 +118,9 @@ def test_gradients_are_finite_differences():
     def loss() -> float:
         return -np.mean([brute(net, a[i, : j + 1].tolist(), w[i, j]) for i, j in zip(*np.nonzero(w >= 0), strict=True)])
 
-    found = net.gradients(a, w)
+    found, twice = net.gradients(a, w), net.gradients(np.concatenate([a, a[:1]]), np.concatenate([w, w[:1]]))
+    weighted = net.gradients(a, w, np.array([2] + [1] * (len(a) - 1)))
+    assert all(np.allclose(weighted[k], twice[k], atol=1e-6) for k in twice)
     rng = np.random.default_rng(4)
     for name, v in net.p.items():
         for _ in range(4):
@@ -219,3 +221,26 @@ def test_clashing_and_empty(spark, docs):
     assert found.count() == docs.count() and found.agg(F.max("n_known")).first()[0] == 0 and found.select("word").first()[0] == "own word"
     m, c = lm_scoring.train(clashing, lm_path(), steps=8)
     assert lm_scoring.score(docs, m, c).count() == docs.count()
+
+
+def test_each_text_once_is_as_all_copies(spark, docs):
+    """Counts and scores of distinct texts with their copies, against those of all rows under the same model."""
+    copied = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id = 3 or doc_id is null"))
+    train = F.coalesce(F.col("doc_id") % 5 != 1, F.lit(False))
+    texts = lm_scoring.distinct_texts(copied, learned=train)
+    total = texts.agg(F.sum("copies"), F.sum("learned"), F.count("*"), F.countDistinct("text")).first()
+    assert total[0] == copied.count() and total[1] == copied.where(train).count() and total[2] == total[3]
+    m, counts = lm_scoring.train(texts.where("learned > 0"), lm_path(), steps=8, common=3, copies="learned")
+    plain = lm_scoring.count_words(copied.where(train))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    new = ["n_tokens", "n_known", "train_tokens"]
+    want = lm_scoring.score(copied, m, counts).select("doc_id", *new, F.round("base_score", 6), F.round("score", 3)).collect()
+    once = lm_scoring.score(texts.drop("learned"), m, counts, keep_text=False)
+    for share in (3, 20, 1000):  # no text, some texts and all are broadcast
+        got = lm_scoring.for_copies(copied, once, share=share)
+        assert got.columns == ["doc_id", *new, "base_score", "score"]
+        got = got.select("doc_id", *new, F.round("base_score", 6), F.round("score", 3)).collect()
+        odd = lambda r: tuple((x is None, x or 0) for x in r)
+        assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 0.01 for a, b in zip(sorted(map(tuple, got), key=odd), sorted(map(tuple, want), key=odd), strict=True))
+    none = lm_scoring.distinct_texts(copied.where("false"), learned=train)
+    assert none.count() == 0 and lm_scoring.for_copies(copied.where("false"), lm_scoring.score(none.drop("learned"), m, counts, keep_text=False)).count() == 0

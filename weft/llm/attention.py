@@ -173,30 +173,32 @@ class Attention:
         return rows[order], got[order]
 
     @staticmethod
-    def _slope(z: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
-        """The gradient of the mean loss of n places with regard to the outputs, in place of these."""
+    def _slope(z: np.ndarray, wanted: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The gradient of the losses of places, each with its share, with regard to the outputs, in place of these."""
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True) * np.float32(n)
-        z[np.arange(len(z)), wanted] -= np.float32(1 / n)
+        z *= (share / z.sum(axis=1))[:, None]
+        z[np.arange(len(z)), wanted] -= share
         return z
 
-    def gradients(self, units: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss over the places with wanted >= 0, for every parameter."""
+    def gradients(self, units: np.ndarray, wanted: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss over the places with wanted >= 0, each with its window's weight, for every parameter."""
         p, d = self.p, self.dim
         x, q, k, v, s, o, h = self.hidden(units)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         places = np.flatnonzero(wanted.ravel() >= 0)
-        n, w = len(places), wanted.ravel()[places]
+        w = wanted.ravel()[places]
+        share = np.ones(len(places)) if weight is None else np.repeat(weight, wanted.shape[1])[places].astype(np.float64)
+        share = (share / share.sum()).astype(np.float32)
         hs = flat(h)[places]
         outer, at, runs = self._inner(w)
-        z = self._slope(hs @ p["out"] + p["bias"], outer, n)
+        z = self._slope(hs @ p["out"] + p["bias"], outer, share)
         g = {"out": hs.T @ z, "bias": z.sum(axis=0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
         back = z @ p["out"].T
-        h2, w2 = hs[at], (w[at] - self.heads) % self.wide
+        h2, share2, w2 = hs[at], share[at], (w[at] - self.heads) % self.wide
         back2 = np.empty_like(h2)
         for i, a, b in runs:
-            z = self._slope(h2[a:b] @ p["out2"][i] + p["bias2"][i], w2[a:b], n)
+            z = self._slope(h2[a:b] @ p["out2"][i] + p["bias2"][i], w2[a:b], share2[a:b])
             g["out2"][i], g["bias2"][i] = h2[a:b].T @ z, z.sum(axis=0)
             back2[a:b] = z @ p["out2"][i].T
         back[at] += back2
@@ -218,8 +220,8 @@ class Attention:
         g["emb"][found] = np.add.reduceat(flat(dx)[order], begin, axis=0)
         return g
 
-    def fit(self, units: np.ndarray, wanted: np.ndarray, epochs: int, rate: float, batch: int, memory: dict | None = None, seed: int = 4) -> dict:
-        """Adam over shuffled windows; places with wanted < 0 don't count. Returns its memory, for a further call.
+    def fit(self, units: np.ndarray, wanted: np.ndarray, epochs: int, rate: float, batch: int, memory: dict | None = None, seed: int = 4, weight: np.ndarray | None = None) -> dict:
+        """Adam over shuffled windows, which may have weights; places with wanted < 0 don't count. Returns its memory, for a further call.
 
         Without a memory the rate falls to 0 over all epochs; with one, which holds the steps of earlier calls, it stays.
         """
@@ -235,7 +237,7 @@ class Attention:
                 memory["step"] += 1
                 step = memory["step"]
                 lr = rate * ((1 - step / (total + 1)) if fading else 1.0) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                for key, d in self.gradients(units[some], wanted[some]).items():
+                for key, d in self.gradients(units[some], wanted[some], None if weight is None else weight[some]).items():
                     m, u = memory["m"][key], memory["u"][key]
                     m += np.float32(0.1) * (d - m)
                     d *= d

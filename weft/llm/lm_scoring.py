@@ -14,13 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.attention import END, Attention, Vocabulary, windows
 from weft.llm.bpe import byte_letters
-from weft.llm.common import checked, row_hash, stored, tidy
+from weft.llm.common import checked, row_hash, stored, text_of, tidy
 
 #: The key of the end of a text among the words, none of which is empty.
 END_WORD = b""
@@ -102,8 +102,40 @@ class Model:
         self.log_all = math.log10(tokens + 0.5 * (types + 1))
 
 
-def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
-    """(word, c): how often each word, and the end of a text under the empty word, occurs in all docs. Summed in each task first."""
+def distinct_texts(docs: DataFrame, text: str = "text", **folds: Column) -> DataFrame:
+    """Each different text of docs (null as empty) once, with copies, its number of rows, and of those in each fold, in a written table.
+
+    The rows of a text are counted in each task first, so no group of copies comes together anywhere.
+    """
+    checked(docs, text)
+    sums = [F.sum(F.when(fold, 1).otherwise(0)).cast("long").alias(name) for name, fold in folds.items()]
+    found = docs.groupBy(text_of(text).alias(text)).agg(F.count("*").alias("copies"), *sums)
+    return stored(found, "texts")
+
+
+def _key(text: str) -> list[Column]:
+    t = text_of(text)
+    return [F.xxhash64(t).alias("__weft_t"), F.hash(t).alias("__weft_t2"), F.length(t).alias("__weft_len")]
+
+
+def for_copies(docs: DataFrame, scored: DataFrame, text: str = "text", copies: str = "copies", share: int = 1000) -> DataFrame:
+    """docs without their text, with the other columns of scored, which holds each different text of docs once, by its hashes.
+
+    Texts with more than one in share of all rows are fewer than share, so they are broadcast; in the join by hashes that is left,
+    no text has more rows than that.
+    """
+    keys = ["__weft_t", "__weft_t2", "__weft_len"]
+    rows = docs.select("*", *_key(text)).drop(text)
+    total = scored.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    many = F.col(copies) * share > total
+    hot, rest = F.broadcast(scored.where(many)), scored.where(~many)
+    plain = rows.join(F.broadcast(scored.where(many).select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(hot, keys).unionByName(plain).drop(*keys, copies)
+
+
+def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000, copies: str | None = None) -> DataFrame:
+    """(word, c): how often each word, and the end of a text under the empty word, occurs in all docs, each row counted as its copies
+    (else once). Summed in each task first."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,17 +147,25 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000) -> Da
             return batch
 
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-                counts[END_WORD] += 1
+            for t, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if n == 1:
+                    counts.update(words_of(t.as_py()))
+                else:
+                    for w, k in Counter(words_of(t.as_py())).items():
+                        counts[w] += n * k
+                counts[END_WORD] += n
                 if len(counts) >= flush:
                     yield out()
         yield out()
 
-    return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(text, _times(copies)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _times(copies: str | None) -> Column:
+    return (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("__weft_n")
 
 
-def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000, fit_windows: int = 4096, steps: int = 384, dim: int = 16, width: int = 32) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, common: int = 100_000, fit_windows: int = 4096, steps: int = 384, dim: int = 16, width: int = 32) -> tuple[Model, DataFrame]:
     """The model and the counts (word, c) of all words of docs.
 
     path: a byte-level BPE file of the tokenizers library. A word's place in the sequence is its first subword id; every id of the
@@ -133,10 +173,11 @@ def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000,
     the masses of the ids, are over all docs. They stay a table; the driver gets one row for each id (a fixed number) and the common
     most frequent words.
 
+    copies: a column with the number of rows that a row of docs stands for (distinct_texts); counts and losses have it as weight.
     The attention weights start from a fit of about so many steps on fit_windows windows (of the documents with the smallest hash of their
     row), the bound of what comes to the driver; then every word of every document of docs takes part in refine().
     """
-    counts = stored(count_words(docs, text), "counts")
+    counts = stored(count_words(docs, text, copies=copies), "counts")
 
     @tidy
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +198,8 @@ def train(docs: DataFrame, path: str, text: str = "text", common: int = 100_000,
     a, w = sample(docs, text, path, units, width, fit_windows)
     if len(a):
         net.fit(a, w, -(-steps // -(-len(a) // 64)), 0.01, 64)
-        refine(docs, text, path, units, net, tokens)
+        about = docs.agg(F.sum(1 + F.expr(f"coalesce(length(`{text}`), 0) div 6"))).first()[0]
+        refine(docs, text, path, units, net, about, copies=copies)
     return Model(path, units, net, known, tokens, types), counts
 
 
@@ -191,12 +233,13 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
     return (np.array(found.column(k).to_pylist(), np.int64).reshape(-1, width) for k in ("a", "w"))
 
 
-def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 1_000_000, each: int = 2048, batch: int = 512) -> None:
-    """One more pass over docs: every word and end of every document is wanted once, in windows that lie side by side.
+def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attention, tokens: int, rate: float = 0.002, part: int = 1_000_000, each: int = 2048, batch: int = 512, copies: str | None = None) -> None:
+    """One more pass over docs: every word and end of every document is wanted once, in windows that lie side by side. A row that stands
+    for several copies has their number as the weight of its losses. tokens: about how many there are in the rows.
 
     The documents are dealt by hashes of their rows to parts of about so many words, in order of a second hash, so the result does not
     depend on how docs is split. Each part goes on from the net's weights; the parts' weights are averaged by
-    their numbers of windows, 64 at a time in three steps, so no task holds more than 64 sets of weights and the driver gets few.
+    their numbers of windows (copies too), 64 at a time in three steps, so no task holds more than 64 sets of weights and the driver gets few.
     """
     shared = docs.sparkSession.sparkContext.broadcast((path, units, net))  # of fixed size
     names = sorted(net.p)
@@ -209,18 +252,22 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
         own, sub, total, k = copy.deepcopy(own), subwords(path), 0, None
         memory = {"step": 0, "m": {x: np.zeros_like(v) for x, v in own.p.items()}, "u": {x: np.zeros_like(v) for x, v in own.p.items()}}
         waiting: list[str | None] = []
+        times: list[int] = []
 
         def learn() -> int:
-            a, w, _ = windows(*sequences(waiting, sub, units), units.start, own.width, own.width)
+            a, w, who = windows(*sequences(waiting, sub, units), units.start, own.width, own.width)
+            n = np.array(times, np.int64)[who]
             waiting.clear()
+            times.clear()
             for i in range(0, len(a), each):  # a long text may have more
-                own.fit(a[i : i + each], w[i : i + each], 1, rate, batch, memory)
-            return len(a)
+                own.fit(a[i : i + each], w[i : i + each], 1, rate, batch, memory, weight=n[i : i + each])
+            return int(n.sum())
 
         size = 0
         for rows in batches:
-            for t, k in zip(rows.column(0), rows.column(1), strict=True):  # noqa: B007
+            for t, k, n in zip(rows.column(0), rows.column(1), rows.column(2), strict=True):  # noqa: B007
                 waiting.append(t.as_py())
+                times.append(n.as_py())
                 size += 1 + len(waiting[-1] or "") // 6  # about its words
                 if size >= each * own.width:
                     total, size = total + learn(), 0
@@ -235,8 +282,8 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
         sums = np.sum([np.frombuffer(w, np.float32) for w in table.w], axis=0, dtype=np.float64)
         return pd.DataFrame({"k": [int(table.k.iloc[0]) // 64], "n": [int(table.n.sum())], "w": [sums.astype(np.float32).tobytes()]})
 
-    dealt = docs.select(text, F.pmod(row_hash(docs, 5), F.lit(parts)).cast("int").alias("k"), row_hash(docs, 6).alias("h"))
-    found = dealt.repartitionById(parts, "k").sortWithinPartitions("h").select(text, "k").mapInArrow(run, "k long, n long, w binary")
+    dealt = docs.select(text, F.pmod(row_hash(docs, 5), F.lit(parts)).cast("int").alias("k"), row_hash(docs, 6).alias("h"), _times(copies))
+    found = dealt.repartitionById(parts, "k").sortWithinPartitions("h").select(text, "k", "__weft_n").mapInArrow(run, "k long, n long, w binary")
     for _ in range(3):
         found = found.groupBy(F.expr("k div 64").alias("g")).applyInPandas(added, "k long, n long, w binary")
     rows = sorted((r["k"], r["n"], np.frombuffer(r["w"], np.float32).astype(np.float64)) for r in found.collect())
@@ -249,7 +296,7 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
             at += size
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", batch_words: int = 30_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", batch_words: int = 30_000, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens (long), base_score and score (double), base-10 logarithms.
 
     A text is its words (lower-cased A-Z, between ASCII white space) and one end. base_score takes each for itself: (c + 0.5) / (N +
@@ -258,13 +305,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     window later each; within it a word has the share (c + 0.5) / (mass of all words there, with an unknown one for each id). Both are proper
     distributions over the known words and the unknown.
 
-    Counts of the common words are with the tasks; those of all others are joined, once for each document and
+    Without keep_text, the rows have the hashes that for_copies() joins by in place of the text. Counts of the common words are with the tasks; those of all others are joined, once for each document and
     word. Null and empty texts are one end. Repeated rows are rows of their own; an empty table gives an empty one; columns with the names
     of the new ones are replaced.
     """
     checked(docs, text)
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    at, names = docs.columns.index(text), [*docs.columns, "n_tokens", "__weft_known", "__weft_log", "__weft_gain", "__weft_rare"]
+    if not keep_text:
+        docs = docs.select("*", *_key(text))
+    at, gone = docs.columns.index(text), set() if keep_text else {text}
+    names = [x for x in docs.columns if x not in gone]
+    all_names = [*names, "n_tokens", "__weft_known", "__weft_log", "__weft_gain", "__weft_rare"]
+    own = [i for i, x in enumerate(docs.columns) if x not in gone]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: units, weights, and at most so many common words
 
     @tidy
@@ -302,10 +354,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 texts.append(t.as_py())
                 size += 1 + len(texts[-1] or "") // 6  # about its words
                 if size >= batch_words or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, *some(texts)], names)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).select(own).columns, *some(texts)], all_names)
                     texts, start, size = [], i + 1, 0
 
-    kind = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_tokens long, __weft_known long, __weft_log double, __weft_gain double, __weft_rare array<struct<w:binary,tf:int>>").fields])
+    kind = T.StructType([*(docs.schema.fields[i] for i in own), *T.StructType.fromDDL("n_tokens long, __weft_known long, __weft_log double, __weft_gain double, __weft_rare array<struct<w:binary,tf:int>>").fields])
     scored = stored(docs.mapInArrow(run, kind).withColumn("__weft_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("__weft_row", F.explode("__weft_rare").alias("r")).select("__weft_row", F.col("r.w").alias("word"), F.col("r.tf").alias("tf"))
     c = F.coalesce("c", F.lit(0))
@@ -313,6 +365,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     out = scored.drop("__weft_rare").join(more, "__weft_row", "left")
     words = F.col("__weft_log") + F.coalesce("__weft_more", F.lit(0.0))
     return out.select(
-        *[F.col(f"`{x}`") for x in docs.columns], "n_tokens", (F.col("__weft_known") + F.coalesce("__weft_found", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        *[F.col(f"`{x}`") for x in names], "n_tokens", (F.col("__weft_known") + F.coalesce("__weft_found", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (words - F.col("n_tokens") * F.lit(model.log_all)).alias("base_score"), (words + F.col("__weft_gain")).alias("score"),
     )

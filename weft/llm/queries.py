@@ -95,12 +95,13 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from weft.llm import lm_scoring
-    from weft.llm.common import doc_remainder
+    from weft.llm.common import doc_remainder, stored
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = lm_scoring.train(docs.where(doc_remainder("doc_id", 5) != 1), public_tokenizers.path("byte_bpe_50k.json"))
-    scored = lm_scoring.score(docs, model, counts)
-    return scored.select("doc_id", (doc_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    texts = lm_scoring.distinct_texts(docs, learned=doc_remainder("doc_id", 5) != 1)
+    model, counts = lm_scoring.train(texts.where("learned > 0"), public_tokenizers.path("byte_bpe_50k.json"), copies="learned")
+    scored = stored(lm_scoring.score(texts.drop("learned"), model, counts, keep_text=False), "texts-scored")
+    return lm_scoring.for_copies(docs, scored).select("doc_id", (doc_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html, "op7_syncmers": op7_syncmers, "op6_lm": op6_lm}
