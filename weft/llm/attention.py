@@ -77,6 +77,11 @@ def windows(units: np.ndarray, sizes: np.ndarray, start: int, width: int, step:
     return np.where(inside, before[at], END), wanted, text
 
 
+def _rows(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """x @ by as one product of all rows, not one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ by).reshape(*x.shape[:-1], by.shape[-1])
+
+
 class Attention:
     """One layer of causal self-attention over windows of width units, with a residual path, and outputs in two layers."""
 
@@ -140,11 +145,11 @@ class Attention:
         """units: windows x width. All windows at once; a place sees itself and those before it."""
         p, d = self.p, self.dim
         x = p["emb"][units] + p["pos"]
-        qkv = x @ p["qkv"]
+        qkv = _rows(x, p["qkv"])
         q, k, v = qkv[..., :d] * np.float32(1 / math.sqrt(d)), qkv[..., d : 2 * d], qkv[..., 2 * d :]
         s = self._weights(q, k)
         o = s @ v
-        return x, q, k, v, s, o, x + o @ p["o"]
+        return x, q, k, v, s, o, x + _rows(o, p["o"])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """What each unit and each place add to a place's own vector, query, key and value, side by side."""
@@ -175,9 +180,10 @@ class Attention:
     @staticmethod
     def _slope(z: np.ndarray, wanted: np.ndarray, share: np.ndarray) -> np.ndarray:
         """The gradient of the losses of places, each with its share, with regard to the outputs, in place of these."""
-        z -= z.max(axis=1, keepdims=True)
+        if not (z.max(initial=0) < 60 and z.min(initial=0) > -60):  # else no sum leaves the range of float32
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z *= (share / z.sum(axis=1))[:, None]
+        z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
         z[np.arange(len(z)), wanted] -= share
         return z
 
@@ -205,19 +211,20 @@ class Attention:
         dh = np.zeros_like(h)
         flat(dh)[places] = back
         g["o"] = flat(o).T @ flat(dh)
-        do = dh @ p["o"].T
+        do = _rows(dh, p["o"].T)
         ds = do @ v.transpose(0, 2, 1)
         ds -= (ds * s).sum(axis=2, keepdims=True)
         ds *= s
         dqkv = np.concatenate([(ds @ k) * np.float32(1 / math.sqrt(d)), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do], axis=2)
         g["qkv"] = flat(x).T @ flat(dqkv)
-        dx = dh + dqkv @ p["qkv"].T
+        dx = dh + _rows(dqkv, p["qkv"].T)
         g["pos"] = dx.sum(axis=0)
         ids = units.ravel()
-        order = np.argsort(ids, kind="stable")
-        found, begin = np.unique(ids[order], return_index=True)
+        order = np.argsort(ids.astype(np.uint16) if len(p["emb"]) < 1 << 16 else ids, kind="stable")  # small numbers are sorted by their digits
+        found = ids[order]
+        begin = np.flatnonzero(np.diff(found, prepend=-1))
         g["emb"] = np.zeros_like(p["emb"])
-        g["emb"][found] = np.add.reduceat(flat(dx)[order], begin, axis=0)
+        g["emb"][found[begin]] = np.add.reduceat(flat(dx)[order], begin, axis=0)
         return g
 
     def fit(self, units: np.ndarray, wanted: np.ndarray, epochs: int, rate: float, batch: int, memory: dict | None = None, seed: int = 4, weight: np.ndarray | None = None) -> dict:

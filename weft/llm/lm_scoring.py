@@ -6,6 +6,7 @@ import contextlib
 import copy
 import ctypes
 import functools
+import json
 import math
 import os
 from collections import Counter
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.attention import END, Attention, Vocabulary, windows
-from weft.llm.bpe import byte_letters
+from weft.llm.bpe import PIECES, byte_letters
 from weft.llm.common import checked, row_hash, stored, text_of, tidy
 
+#: Fixed value: how a file says that it splits by the pattern of byte-level BPE.
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: The key of the end of a text among the words, none of which is empty.
 END_WORD = b""
 
@@ -42,9 +45,9 @@ def keep_heap() -> None:
 class Subwords:
     """The first subword id of a whole word behind a blank. Words are remembered; the memory is emptied when it is full.
 
-    Words without white space of any kind are encoded many in one string, in which the tokens that begin with the blank begin the
-    words, for byte-level pieces don't reach over a blank. Words with it, and strings where the number of such tokens is another, are encoded
-    word by word.
+    Words without white space of any kind inside are encoded many in one string, in which the tokens that begin with the blank begin
+    the words, for byte-level pieces don't reach over a blank. The library's ids are found by tiktoken's faster merge loop where the file's ids
+    stand in the order of its merges, so that the ids are the ranks. All other words are encoded by the library, each alone.
     """
 
     def __init__(self, path: str, most: int = 200_000, most_bytes: int = 20_000_000, together: int = 100):
@@ -52,12 +55,36 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.model, self.most, self.most_bytes, self.bytes, self.together = Tokenizer.from_file(path), most, most_bytes, 0, together
-        vocab = self.model.get_vocab()
-        blank = byte_letters()[ord(" ")]
-        self.begins = np.zeros(max(vocab.values()) + 1, bool)
-        self.begins[[i for token, i in vocab.items() if token.startswith(blank)]] = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [a["content"] for a in spec["added_tokens"]]
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        letters = byte_letters()
+        self.begins = np.zeros(self.model.get_vocab_size(), bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(letters[ord(" ")])]] = True
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        plain = {t: i for t, i in vocab.items() if t not in self.added}
+        back = {c: b for b, c in enumerate(letters)}
+        self.fast = None
+        if all(a < b for a, b in zip(made, made[1:])) and len(plain) == 256 + len(made) and spec["pre_tokenizer"] == PLAIN_SPLIT and not spec["normalizer"]:
+            import tiktoken
+
+            ranks = {bytes(back[c] for c in t): i for t, i in plain.items()}
+            self.fast = tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words: dict[bytes, int] = {}
 
+    def _together(self, texts: list[str]) -> list[int] | None:
+        """The first ids of the words, if they can be found in one string."""
+        whole = " " + " ".join(texts)
+        if not self.fast or whole.split() != texts or any(a in whole for a in self.added):
+            return None
+        ids = np.array(self.fast(whole))
+        first = ids[self.begins[ids]].tolist()
+        return first if len(first) == len(texts) else None
+
+    def _alone(self, texts: list[str]) -> list[int]:
+        return [e.ids[0] for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
     def of(self, words: list[bytes]) -> list[int]:
         found = list(map(self.words.get, words))
         if None in found:
@@ -65,22 +92,13 @@ class Subwords:
                 self.words.clear()
                 self.bytes = 0
             new = [w for w in dict.fromkeys(words) if w not in self.words]
-            whole, odd = [], []
-            for w in new:
-                text = w.decode("utf-8", "replace")
-                (whole if len(text.split()) == 1 and not text[0].isspace() and not text[-1].isspace() else odd).append((w, " " + text))
-            for i in range(0, len(whole), self.together):
-                some = whole[i : i + self.together]
-                ids = np.array(self.model.encode_batch_fast(["".join(t for _, t in some)], add_special_tokens=False)[0].ids)
-                first = ids[self.begins[ids]].tolist()
-                if len(first) == len(some):
-                    self.words.update(zip((w for w, _ in some), first, strict=True))
-                else:
-                    odd += some
-            for i in range(0, len(odd), 1000):  # encodings are large
-                some = odd[i : i + 1000]
-                coded = self.model.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-                self.words.update((w, e.ids[0]) for (w, _), e in zip(some, coded, strict=True))
+            for i in range(0, len(new), self.together):
+                some = new[i : i + self.together]
+                texts = [w.decode("utf-8", "replace") for w in some]
+                first = self._together(texts)
+                if first is None:
+                    first = [(self._together([t]) or self._alone([t]))[0] for t in texts]
+                self.words.update(zip(some, first, strict=True))
             self.bytes += sum(map(len, new))
             found = list(map(self.words.__getitem__, words))
         return found
