@@ -104,7 +104,16 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.for_copies(docs, scored).select("doc_id", (doc_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html, "op7_syncmers": op7_syncmers, "op6_lm": op6_lm}
+def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import leaderboard
+
+    items = _table(spark, sf_dir, "items")
+    events = leaderboard.sale_events(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "vendors"), items)
+    feed = leaderboard.change_feed(events, k=10, slack=30, lateness=3, buckets=max(8, -(-items.count() // 20_000)))
+    return feed.select(F.col("board").alias("nation_id"), F.col("day").alias("arrival_day"), F.col("item").alias("item_id"), "batch", "change", "old_rank", "new_rank", F.col("total").alias("revenue"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_mixing": op4_mixing, "op10_line_dedup": op10_line_dedup, "op9_bpe": op9_bpe, "op8_minhash": op8_minhash, "op3_top_k": op3_top_k, "op5_toxicity": op5_toxicity, "op2_html": op2_html, "op7_syncmers": op7_syncmers, "op6_lm": op6_lm, "op11_leaderboard": op11_leaderboard}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH v AS (
