@@ -214,6 +214,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small store takes megabytes of disk in advance
 }
 
 
