@@ -19,7 +19,9 @@ from weft.llm.common import checked, drop_path, new_path, tidy
 NOTHING = -(1 << 62)
 #: What a lower level tells the next: item has this sum after that day, and is among the level's k or no longer.
 _DELTAS = "board int, part int, day long, item long, total long, leads boolean"
-_CHANGES = "board int, day long, item long, change string, old_rank int, new_rank int, total long"
+#: What a merging level gives: rows of what it tells, and one with its leaders for each (board, part).
+_MERGED = "board int, part int, day long, item long, total long, leads boolean, change string, old_rank int, new_rank int, packed binary"
+_MERGED_NAMES = [x.split()[0] for x in _MERGED.split(", ")]
 
 
 def packed(items: np.ndarray, totals: np.ndarray) -> bytes:
@@ -155,21 +157,23 @@ class Leaders(StatefulProcessor):
         return np.where(known[at] == items, totals[at], 0)
 
 
-class Merged(StatefulProcessor):
-    """The leaders of fan_in lower parts, whose first k each are its state: at most fan_in * k items. As the last level it gives the changes of ranks."""
+def merging(k: int, last: bool) -> Callable:
+    """Of fan_in lower parts: what they tell of a batch, and the leaders of all of them so far (at most fan_in * k, packed), become what this level tells, or, if it is the last,
+    the changes of ranks, and the leaders from now on."""
 
-    def __init__(self, k: int, last: bool):
-        self.k, self.last = k, last
-
-    def init(self, handle) -> None:
-        self.leaders = handle.getValueState("leaders", "packed binary")
+    def told(key, day: int, old: list[tuple[int, int]], new: list[tuple[int, int]], total_of: Callable[[int], int]) -> list[tuple]:
+        if not last:
+            was, now = dict(old), dict(new)
+            more = [(i, t, True) for i, t in new if was.get(i) != t] + [(i, total_of(i), False) for i, _ in old if i not in now]
+            return [(*key, day, i, t, leads, None, None, None, None) for i, t, leads in more]
+        was, now = ({item: n + 1 for n, (item, _) in enumerate(x)} for x in (old, new))
+        name = lambda i: "enter" if i not in was else "exit" if i not in now else "move"
+        return [(*key, day, i, total_of(i), None, name(i), was.get(i), now.get(i), None) for i in {**was, **now} if was.get(i) != now.get(i)]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values("day", kind="stable")
-        held = dict(zip(*(x.tolist() for x in unpacked(self.leaders.get()[0] if self.leaders.exists() else None)), strict=True))
-        board = best(held, self.k)
-        out = []
-        for day, some in rows.groupby("day", sort=True):
+    def merge(key, deltas: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(*(x.tolist() for x in unpacked(leaders["packed"].iloc[0] if len(leaders) else None)), strict=True))
+        board, out = best(held, k), []
+        for day, some in deltas.sort_values("day", kind="stable").groupby("day", sort=True):
             gone = {}
             for item, total, leads in zip(some["item"].tolist(), some["total"].tolist(), some["leads"].tolist(), strict=True):
                 if leads:
@@ -177,24 +181,15 @@ class Merged(StatefulProcessor):
                 else:
                     held.pop(item, None)
                     gone[item] = total
-            new = best(held, self.k)
-            out += self.told(key, int(day), board, new, lambda item, gone=gone: held.get(item, gone.get(item)))
+            new = best(held, k)
+            out += told(key, int(day), board, new, lambda item, gone=gone: held.get(item, gone.get(item)))
             board = new
         order = sorted(held.items())
-        self.leaders.update((packed(np.array([i for i, _ in order], np.int64), np.array([t for _, t in order], np.int64)),))
-        names = ["board", "day", "item", "change", "old_rank", "new_rank", "total"] if self.last else ["board", "part", "day", "item", "total", "leads"]
-        found = pd.DataFrame(out, columns=names)
-        yield found.astype({"old_rank": "Int32", "new_rank": "Int32"}) if self.last else found
+        state = packed(np.array([i for i, _ in order], np.int64), np.array([t for _, t in order], np.int64))
+        found = pd.DataFrame([*out, (*key, None, None, None, None, None, None, None, state)], columns=_MERGED_NAMES)
+        return found.astype({"day": "Int64", "item": "Int64", "total": "Int64", "leads": "boolean", "old_rank": "Int32", "new_rank": "Int32"})
 
-    def told(self, key, day: int, old: list[tuple[int, int]], new: list[tuple[int, int]], total_of: Callable[[int], int]) -> list[tuple]:
-        if not self.last:
-            was, now = dict(old), dict(new)
-            told = [(key[0], key[1], day, i, t, True) for i, t in new if was.get(i) != t]
-            return told + [(key[0], key[1], day, i, total_of(i), False) for i, _ in old if i not in now]
-        was, now = ({item: n + 1 for n, (item, _) in enumerate(x)} for x in (old, new))
-        moved = [i for i in {**was, **now} if was.get(i) != now.get(i)]
-        name = lambda i: "enter" if i not in was else "exit" if i not in now else "move"
-        return [(key[0], day, i, name(i), was.get(i), now.get(i), total_of(i)) for i in moved]
+    return merge
 
 
 @contextmanager
@@ -214,6 +209,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small store takes megabytes of disk in advance
 }
 
@@ -250,8 +246,8 @@ def change_feed(events: DataFrame, k: int = 10, slack: int = 30, lateness: int =
 
     The events are written by batch to a new folder in the shared one, and one batch after the other is moved to the folder of a stream, which is started
     anew for each on one checkpoint. Amounts are summed within each task; then each (board, bucket of items) has its running sums in a MapState and a
-    leader buffer of k + slack items with a guard in a ValueState (LeaderBuffer); it tells what changes among its first k. These go to
-    the merging levels, each over fan_in parts, whose last one knows the board. So a board with a third of all events is spread over `buckets` keys, an item
+    leader buffer of k + slack items with a guard in a ValueState (LeaderBuffer); it tells what changes among its first k. Each batch of that is merged, level by level, over
+    fan_in parts, with the leaders that the level has stored so far; the last level knows the board. So a board with a third of all events is spread over `buckets` keys, an item
     with a third of them is a few rows a task, and what a merging key gets follows the days, not the events. buckets: such that the items of a board in
     one bucket fit into a task, tens of thousands. The driver holds one number for each batch. A lost executor's states come back from the checkpoint.
 
@@ -265,41 +261,50 @@ def change_feed(events: DataFrame, k: int = 10, slack: int = 30, lateness: int =
     drop_shuffles(spark)
     cut = spark.read.schema(f"{schema.toDDL()}, batch int").parquet(f"{base}/cut")
     highest = {r.batch: r.high for r in cut.groupBy("batch").agg(F.max("seen").alias("high")).collect()}  # one row a batch
-    made(spark, f"{base}/fed", f"{base}/feed")
-    high = None
+    made(spark, f"{base}/fed")
+    high, levels, fed = None, 1, 0
+    while fan_in**levels < buckets:
+        levels += 1
+
+    def merge(found: DataFrame, n: int) -> None:
+        """The merging levels of the stream's n-th batch: their result is written by n, so a batch that is run again overwrites its own."""
+        nonlocal fed
+        fed = n + 1
+        session = found.sparkSession
+        for level in range(levels):
+            last = level == levels - 1
+            before = session.read.schema(_MERGED).parquet(f"{base}/merged/{n - 1}/{level}").where("packed is not null") if n else session.createDataFrame([], _MERGED)
+            parts = found.withColumn("part", (F.lit(0) if last else F.floor(F.col("part") / fan_in)).cast("int"))
+            merged = parts.groupBy("board", "part").cogroup(before.groupBy("board", "part")).applyInPandas(merging(k, last), _MERGED)
+            merged.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/merged/{n}/{level}")
+            found = session.read.schema(_MERGED).parquet(f"{base}/merged/{n}/{level}").where("packed is null")
+
     for batch in sorted(highest):
         moved(spark, f"{base}/cut/batch={batch}", f"{base}/fed/batch={batch}")
         stream = spark.readStream.schema(f"{schema.toDDL()}, batch int").parquet(f"{base}/fed")
         kept = stream if high is None else stream.where(F.col("seen") + F.lit(lateness) >= F.lit(high))
         with settings(spark, _STATE):
-            found = followed(kept.where("board is not null and item is not null"), k, slack, buckets, fan_in, blocks)
-            found = found.withColumn("batch", F.lit(batch))
-            query = found.writeStream.format("parquet").option("path", f"{base}/feed").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+            found = followed(kept.where("board is not null and item is not null"), k, slack, buckets, blocks)
+            query = found.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             try:
                 query.awaitTermination()
             finally:
                 query.stop()
-        high = max(x for x in (high, highest[batch]) if x is not None) if highest[batch] is not None or high is not None else None
+        high = max([x for x in (high, highest[batch]) if x is not None], default=None)
     drop_path(spark, f"{base}/checkpoint")
     drop_path(spark, f"{base}/fed")
     names = ["board", "day", "item", "batch", "change", "old_rank", "new_rank", "total"]
-    return spark.read.schema(f"{_CHANGES}, batch int").parquet(f"{base}/feed").select(names)
+    if not fed:
+        return spark.createDataFrame([], f"{_MERGED}, batch int").select(names)
+    return spark.read.schema(f"{_MERGED}, batch int").parquet(*[f"{base}/merged/{n}/{levels - 1}" for n in range(fed)]).where("packed is null").select(names)
 
 
-def followed(events: DataFrame, k: int, slack: int, buckets: int, fan_in: int, blocks: int) -> DataFrame:
-    """The stateful levels over one stream of events."""
+def followed(events: DataFrame, k: int, slack: int, buckets: int, blocks: int) -> DataFrame:
+    """What each (board, bucket of items) tells of its leaders, over a stream of events."""
     part = F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int").alias("part")
     rows = events.select(F.col("board").cast("int").alias("board"), part, F.col("item").cast("long").alias("item"), F.col("day").cast("long").alias("day"), F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"))
     rows = rows.mapInArrow(combined(), "board int, part int, item long, day long, amount long")
-    found = rows.groupBy("board", "part").transformWithStateInPandas(Leaders(k, slack, blocks), _DELTAS, "append", "none")
-    parts = buckets
-    while True:
-        last = parts <= fan_in
-        above = found.withColumn("part", (F.lit(0) if last else F.floor(F.col("part") / fan_in)).cast("int"))
-        found = above.groupBy("board", "part").transformWithStateInPandas(Merged(k, last), _CHANGES if last else _DELTAS, "append", "none")
-        if last:
-            return found
-        parts = -(-parts // fan_in)
+    return rows.groupBy("board", "part").transformWithStateInPandas(Leaders(k, slack, blocks), _DELTAS, "append", "none")
 
 
 def made(spark: SparkSession, *paths: str) -> None:
