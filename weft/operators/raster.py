@@ -152,10 +152,11 @@ def print_traits(pattern: Column, contrast: Column, motif: Column, colors: Colum
     ))
 
 
-def pattern_rule() -> Column:
+def pattern_rule(separation: Column | None = None, colors: Column | None = None, side: Column | None = None) -> Column:
     """struct<pattern, confidence, scale> from a row's lum_std, separation, edges, colors, contrast, brightness, dark, row_period, column_period,
-    h_period, v_period, hue_spread and side: the first rule that holds."""
-    c = F.col
+    h_period, v_period, hue_spread and side: the first rule that holds. The thresholds are fixed values; columns that are given take the place of the row's."""
+    given = {"separation": separation, "colors": colors, "side": side}
+    c = lambda name: F.col(name) if given.get(name) is None else given[name]
     both = (c("h_period") > 0) & (c("v_period") > 0)
     length = F.when(both, F.least("h_period", "v_period") * 2.0).when(c("h_period") > 0, c("h_period") * 2.0).when(c("v_period") > 0, c("v_period") * 2.0).when(c("row_period") > 0, c("row_period") * 1.0).when(c("column_period") > 0, c("column_period") * 1.0)
     scale = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.coalesce(length / c("side"), F.lit(0.5))))
@@ -180,7 +181,7 @@ def _first(rules: list, otherwise: tuple, names: tuple) -> Column:
 
 
 def texture_rule(noise: Column, contrast: Column, edges: Column, brightness: Column, saturation: Column) -> Column:
-    """The texture by noise, co-occurrence contrast, edges, brightness and saturation: the first rule that holds."""
+    """The texture by noise, co-occurrence contrast, edges, brightness and saturation: the first rule that holds. The thresholds are fixed values."""
     return (
         F.when(noise > 7, "SLUB").when((contrast > 14) | (noise > 4), "WOVEN").when(edges > 0.12, "EMBROIDERED").when((brightness < 0.25) & (saturation > 0.35), "PILE")
         .when((brightness > 0.75) & (saturation < 0.2), "SHEER").otherwise("SMOOTH")
@@ -188,7 +189,7 @@ def texture_rule(noise: Column, contrast: Column, edges: Column, brightness: Col
 
 
 def category_rule(pattern: Column, texture: Column, colors: Column, saturation: Column, contrast: Column, brightness: Column, earth: Column, indigo: Column, strips: Column, bands: Column) -> Column:
-    """struct<category, confidence>: the first rule that holds. earth, indigo: whether a colour is an earth tone, or blue or indigo."""
+    """struct<category, confidence>: the first rule that holds. earth, indigo: whether a colour is an earth tone, or blue or indigo. The thresholds are fixed values."""
     striped = pattern == "STRIPED"
     muted = striped & colors.between(2, 3) & (saturation < 0.45)
     dyed = (pattern == "GRADIENT") | ((pattern == "ORGANIC") & (contrast < 0.35))
