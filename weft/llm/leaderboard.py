@@ -332,13 +332,13 @@ def whole_cents(amount: Column) -> Column:
     return F.when(F.abs(amount) < 1e15, F.floor(amount * 100 + 0.5))
 
 
-def sale_events(lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = 10, begin: int = 19723, days: int = 180) -> DataFrame:
+def sale_events(lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = 10, begin: int = 19723, days: int = 180, salts: int = 4) -> DataFrame:
     """sale_lines as events: the vendor's nation as board, cents as amount, the day it was shipped as seen, an arrival day made from a hash.
 
     h is crc32 of `sale_id,item_id,vendor_id,line_no`. A line without shipped_at is of day begin + h % 150; it arrives h % 7 days later, one in five 20 days
     more. Arrivals before begin are of the first batch, after begin + days of the last. A line without an amount has quantity times the item's price, without those 0;
     what is returned is negative. Lines of unknown vendors, vendors without a nation or unknown items have neither board nor item. Of vendors or items with one id
-    the smallest values count. The joins are sort-merge joins, which Spark splits where a key is hot; nothing is broadcast.
+    the smallest values count. The joins are sort-merge joins by id and salt, for which vendors and items are repeated `salts` times; Spark splits them further where a key is hot. Nothing is broadcast.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     comma = F.lit(",")
@@ -348,11 +348,13 @@ def sale_events(lines: DataFrame, vendors: DataFrame, items: DataFrame, batches:
     rows = lines.select("item_id", "vendor_id", "shipped_at", "flag", "quantity", h.alias("h"), own.alias("own"))
     seen = F.coalesce(F.unix_date(F.to_date("shipped_at")), (F.lit(begin) + F.col("h") % 150).cast("int"))
     later = F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
-    rows = rows.select("item_id", "vendor_id", seen.alias("seen"), later.cast("int").alias("later"), (sign * F.col("own")).alias("own"), F.when(F.col("own").isNull(), sign * F.col("quantity")).cast("long").alias("pieces"))
+    salt, every = (F.col("h") % salts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    rows = rows.select("item_id", "vendor_id", salt, seen.alias("seen"), later.cast("int").alias("later"), (sign * F.col("own")).alias("own"), F.when(F.col("own").isNull(), sign * F.col("quantity")).cast("long").alias("pieces"))
     by_vendor = vendors.where("nation_id is not null").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("board"))
     by_item = items.where("item_id is not null").groupBy(F.col("item_id").alias("item")).agg(F.min(whole_cents(F.col("price"))).alias("price"))
-    rows = rows.join(by_vendor.hint("merge"), "vendor_id", "left").drop("vendor_id")
-    rows = rows.join(by_item.hint("merge"), F.col("item_id") == F.col("item"), "left").drop("item_id")
+    rows = rows.join(by_vendor.select("*", every).hint("merge"), ["vendor_id", "salt"], "left").drop("vendor_id")
+    by_item = by_item.select("*", F.col("item").alias("item_id"), every)
+    rows = rows.join(by_item.hint("merge"), ["item_id", "salt"], "left").drop("item_id", "salt")
     day = F.col("seen") + F.col("later")
     batch = F.least(F.lit(batches), F.greatest(F.lit(1), 1 + F.floor((day - F.lit(begin)) * batches / days))).cast("int")
     return rows.select(batch.alias("batch"), "seen", day.alias("day"), "board", "item", F.coalesce("own", F.col("pieces") * F.col("price"), F.lit(0)).alias("amount"))
