@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the smallest node that is reachable.
 
     Each round every node takes the smallest label among its own, its neighbours' and its label's label, so the
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:  # each round but the last makes a label smaller
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("m"))
         jumped = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
         new = labels.join(heard, labels.node == heard.a).join(jumped, F.col("comp") == F.col("up"), "left")
@@ -25,4 +25,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "comp")
         if new.where("changed").isEmpty():
             return labels
-    raise RuntimeError(f"components have not settled after {most_rounds} rounds")

@@ -75,7 +75,7 @@ def _keys_of(text: str) -> Column:
     return F.transform(lines, one)
 
 
-def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, batches: int = 4, fanout: int = 4, copies_once: bool = False) -> DataFrame:
+def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, batches: int = 4, fanout: int = 4, copies_once: bool = False, never_empty: bool = False) -> DataFrame:
     """docs with n_lines, n_dropped (long) and text without the lines that enough documents hold.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least one code
@@ -85,7 +85,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, bat
     Only hashes are shuffled and counted, once for each document that holds the key and summed before the shuffle; each document's
     common keys are gathered (at most its own lines) and meet the text again in one join. Null text is one empty line and
     stays null if nothing is dropped from it; lines without a key stay. Repeated rows count as documents each; with
-    copies_once, documents with the same set of keys count as one, so copies alone make no line common. An empty
+    copies_once, documents with the same set of keys count as one, so copies alone make no line common; with never_empty, a document
+    of which only blanks would be left stays whole. An empty
     table gives an empty one. Columns named n_lines or n_dropped are replaced.
     """
     checked(docs, text)
@@ -113,6 +114,10 @@ def drop_common_lines(docs: DataFrame, text: str = "text", enough: int = 10, bat
     pairs = F.zip_with("__weft_lines", _keys_of(text), lambda line, key: F.struct(line.alias("line"), key[_KEY].alias("key")))
     kept = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("__weft_common"), x["key"]), F.lit(False)))
     joined = joined.withColumn("__weft_kept", F.when(changed, F.transform(kept, lambda x: x["line"])))
+    if never_empty:
+        blank = lambda line: F.btrim(line, F.lit(_BLANKS)) == ""
+        joined = joined.withColumn("__weft_kept", F.when(F.exists("__weft_kept", lambda line: ~blank(line)), F.col("__weft_kept")))
+        changed = F.col("__weft_kept").isNotNull()
     out = joined.withColumns({
         "n_lines": F.size("__weft_lines").cast("long"),
         "n_dropped": F.when(changed, F.size("__weft_lines") - F.size("__weft_kept")).otherwise(0).cast("long"),
