@@ -16,23 +16,24 @@ from weft.llm.common import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the classifier, with its threshold for the language, calls toxic."""
+    """Documents without those that the classifier, with its threshold for the language, calls toxic. Null and empty texts have a score like others; repeated rows
+    share theirs. Without labels nothing is learned and nothing goes."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, net).where("not toxic").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them hold; those of which nothing is left go. n_chars follows the text.
+    """Documents without the lines that ten or more of them hold; one of which nothing would be left stays whole, for drop_near_duplicates() to
+    keep one of its kind. No document goes here. n_chars follows the text. Null and empty texts stay as they are.
 
     Copies count as one document, so a group of them reaches drop_near_duplicates() whole.
     """
-    kept = line_dedup.drop_common_lines(docs, copies_once=True)
-    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")).select(docs.columns)
+    kept = line_dedup.drop_common_lines(docs, copies_once=True, never_empty=True).select(docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more. Null and empty texts are near nothing and stay."""
     return minhash.one_of_each(docs).select(docs.columns)
 
 
@@ -44,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and the token ids of each document that the mix holds."""
+    """doc_id, source, lang, n_tokens and the token ids of each document that the mix holds; a null or empty text has none, repeated rows are encoded alike."""
     found = bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
