@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import host_blocked, license_name
 
+#: How a build log's sections begin, how many lines they have at most, and what marks a line of the cause of a failure.
+SECTION_STARTS, SECTION_LIMIT = ("* What went wrong:", "* Exception is:"), 25
+ERROR_LINES = (r"^e: ", r"(?i)error: ", r"(?i)Could not (find|resolve|determine|download|get)", r"^> Task .*FAILED$", r"^FAILURE: ")
+#: Kinds of pictures that are taken, their least side, and the licences that a slug names.
+PICTURE_KINDS, LEAST_SIDE, OPEN_SLUGS = ("image/jpeg", "image/png", "image/webp", "image/tiff"), 300, ("cc0", "by", "by-sa")
+_COMMONS = (
+    "query struct<pages: array<struct<title: string, imageinfo: array<struct<mime: string, width: bigint, height: bigint, url: string, descriptionurl: string, "
+    "extmetadata: struct<LicenseShortName: struct<value: string>, License: struct<value: string>>>>>>>"
+)
+_OPENVERSE = "results array<struct<title: string, url: string, license: string, license_version: string, width: bigint, height: bigint>>"
+_TREE = "tree array<struct<path: string, type: string, size: bigint>>"
+_SPACE = " \t\n\r\x0b\x0c"
+
 
 def outcome(url: Column, licence: Column, label: Column, labels: list[str], side: Column | None = None, least: int = 96) -> Column:
     """Null for a row that is kept, else why not: the first rule that fails."""
@@ -128,3 +141,79 @@ def ingest(rows: DataFrame, labels: list[str], near: DataFrame) -> DataFrame:
     both = rows.join(close, F.col("id") == F.col("_n"), "left")
     status = F.when(~F.coalesce(F.col("category").isin(labels), F.lit(False)), "unknown category").when(~F.col("present"), "missing").when(~F.col("decoded"), "undecodable").when(F.col("_n").isNotNull(), "duplicate").otherwise("accepted")
     return both.select("id", status.alias("status"))
+
+
+def log_errors(lines: DataFrame, log: str, place: str, line: str, starts: tuple[str, ...] = SECTION_STARTS, patterns: tuple[str, ...] = ERROR_LINES, limit: int = SECTION_LIMIT) -> DataFrame:
+    """log, place, line: the lines that tell why a log's run failed, stripped, each different one once, at its first place.
+
+    Taken are lines that begin a section, the lines of a section (up to `limit`, or the first blank one), and outside of sections those that a pattern is found in. Sections are islands between
+    their first lines: a running count of these numbers them. Null lines are blank; an empty table gives an empty one.
+    """
+    key = F.btrim(F.coalesce(F.col(line), F.lit("")), F.lit(_SPACE))
+    rows = lines.select(F.col(log), F.col(place), F.col(line).alias("_line"), key.alias("_key"))
+    head = F.lit(False)
+    for start in starts:
+        head = head | F.startswith("_key", F.lit(start))
+    rows = rows.withColumn("_head", head).withColumn("_section", F.sum(F.col("_head").cast("int")).over(Window.partitionBy(log).orderBy(place)))
+    own = Window.partitionBy(log, "_section").orderBy(place)
+    blank = F.sum((F.col("_key") == "").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    inside = (F.col("_section") > 0) & F.row_number().over(own).between(2, limit + 1) & (F.coalesce(blank, F.lit(0)) == 0)
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | F.coalesce(F.col("_line").rlike(pattern), F.lit(False))
+    taken = rows.withColumn("_in", inside).where((F.col("_head") | F.col("_in") | found) & (F.col("_key") != ""))
+    return taken.groupBy(log, F.col("_key").alias("line")).agg(F.min(place).alias(place)).select(log, place, "line")
+
+
+def _side_below(w: Column, h: Column) -> Column:
+    return F.least(F.coalesce(w, F.lit(0)), F.coalesce(h, F.lit(0)))
+
+
+def commons_candidates(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Each page of the answers of a media wiki (JSON text) as a row with the answer's other columns: title, url, landing, licence, and reason, the first rule that fails; null for a candidate.
+
+    Answers that are null, no JSON or without pages give no rows; fields of other types count as missing.
+    """
+    others = [c for c in payloads.columns if c != payload]
+    page = payloads.select(*others, F.explode(F.from_json(F.col(payload), _COMMONS)["query"]["pages"]).alias("p"))
+    page = page.withColumn("i", F.get("p.imageinfo", F.lit(0)))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    meta, mime = F.col("i.extmetadata"), F.lower(text(F.col("i.mime")))
+    raw = F.coalesce(F.nullif(meta["LicenseShortName"]["value"], F.lit("")), F.nullif(meta["License"]["value"], F.lit("")), F.lit(""))
+    nothing = F.coalesce(*[F.col(f"i.{c}").cast("string") for c in ("mime", "width", "height", "url", "descriptionurl")], meta.cast("string")).isNull()
+    rules = [
+        (nothing, F.lit("no imageinfo")), (~mime.isin(*PICTURE_KINDS), F.concat(F.lit("mime "), F.when(mime == "", "?").otherwise(mime), F.lit(" unsupported"))),
+        (_side_below(F.col("i.width"), F.col("i.height")) < LEAST_SIDE, F.lit(f"original below {LEAST_SIDE}px")), (license_name(raw).isNull(), F.concat(F.lit("license rejected: "), F.when(raw == "", "unknown").otherwise(raw))),
+        (host_blocked(text(F.col("i.descriptionurl"))) | host_blocked(text(F.col("i.url"))), F.lit("blocked host")),
+    ]
+    reason = F.coalesce(*[F.when(bad, why) for bad, why in rules])
+    return page.select(*others, "p.title", "i.url", F.col("i.descriptionurl").alias("landing"), license_name(raw).alias("licence"), reason.alias("reason"))
+
+
+def openverse_candidates(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Each result of the answers of a picture search (JSON text) as a row with the answer's other columns: title, url, licence, and reason, the first rule that fails; null for a candidate.
+
+    A public domain mark needs no other licence; sides count only where both are known. Answers without results give no rows.
+    """
+    others = [c for c in payloads.columns if c != payload]
+    r = payloads.select(*others, F.explode(F.from_json(F.col(payload), _OPENVERSE)["results"]).alias("r"))
+    text = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
+    raw, slug = F.btrim(F.concat(text("license"), F.lit(" "), text("license_version"))), F.lower(text("license"))
+    licence = F.when(slug == "pdm", "Public domain").when(slug.isin(*OPEN_SLUGS), license_name(F.concat(F.lit("CC "), raw))).otherwise(license_name(raw))
+    w, h = (F.coalesce(F.col(f"r.{c}"), F.lit(0)) for c in ("width", "height"))
+    small = (w != 0) & (h != 0) & (F.least(w, h) < LEAST_SIDE)
+    rules = [
+        (text("url") == "", F.lit("no url")), (host_blocked(text("url")), F.lit("blocked host")), (licence.isNull(), F.concat(F.lit("license rejected: "), F.when(raw == "", "unknown").otherwise(raw))),
+        (small, F.concat(F.lit("too small ("), w.cast("string"), F.lit("x"), h.cast("string"), F.lit(")"))),
+    ]
+    return r.select(*others, "r.title", "r.url", licence.alias("licence"), F.coalesce(*[F.when(bad, why) for bad, why in rules]).alias("reason"))
+
+
+def tree_files(listings: DataFrame, payload: str = "payload", extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".webp"), prefixes: tuple[str, ...] = ("",), most: int = 8 << 20) -> DataFrame:
+    """path and size of the files of repository listings (JSON text) with one of the extensions and prefixes and at most `most` bytes, with the listing's other columns; an unknown size is 0."""
+    others = [c for c in listings.columns if c != payload]
+    rows = listings.select(*others, F.explode(F.from_json(F.col(payload), _TREE)["tree"]).alias("t"))
+    any_of = lambda tests: F.exists(F.array(*tests), lambda x: x)
+    path, size = F.coalesce(F.col("t.path"), F.lit("")), F.coalesce(F.col("t.size"), F.lit(0))
+    kept = (F.col("t.type") == "blob") & any_of([F.endswith(F.lower(path), F.lit(e.lower())) for e in extensions]) & any_of([F.startswith(path, F.lit(p)) for p in prefixes]) & (size <= most)
+    return rows.where(kept).select(*others, path.alias("path"), size.alias("size"))

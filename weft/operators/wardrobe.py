@@ -123,6 +123,13 @@ def class_accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("label")).agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(guess)).cast("int")).alias("accuracy"))
 
 
+def accuracy_summary(rows: DataFrame, truth: str, guess: str, classes: list[str]) -> DataFrame:
+    """n, correct, overall (share of all rows), macro (mean of the classes' shares) and classes_without_rows: classes that no row has don't count in the mean."""
+    by = class_accuracy(rows, truth, guess).where(F.col("label").isin(classes))
+    right = rows.agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(guess)).alias("correct"))
+    return right.join(by.agg(F.avg("accuracy").alias("macro"), (len(set(classes)) - F.count("*")).alias("classes_without_rows"))).select("n", "correct", (F.col("correct") / F.nullif(F.col("n"), F.lit(0))).alias("overall"), "macro", "classes_without_rows")
+
+
 def mode_of(items: DataFrame, by: str, column: str, order: str) -> DataFrame:
     """by, value: the most frequent value; of equally frequent ones the first seen in order."""
     counts = items.groupBy(by, column).agg(F.count("*").alias("n"), F.min(order).alias("first"))

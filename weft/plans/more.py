@@ -634,14 +634,14 @@ def fabric_placement(fabrics):
 # texts
 
 
-@table_query("documents", sql=r"SELECT doc_id, regexp_replace(left(text, 40), '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
+@table_query("documents", sql=r"SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 80) AS name FROM documents")
 def file_names(documents):
-    return documents.select("doc_id", text.file_name(F.substring("text", 1, 40), 80).alias("name"))
+    return documents.select("doc_id", text.file_name(F.col("text"), 80).alias("name"))
 
 
-@table_query("documents", sql="SELECT doc_id, replace(replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', chr(92) || ''''), '\"', chr(92) || '\"') AS escaped FROM documents")
+@table_query("documents", sql="SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', chr(92) || ''''), '\"', chr(92) || '\"') AS escaped FROM documents")
 def xml_escaped(documents):
-    return documents.select("doc_id", text.xml_escape(F.substring("text", 1, 60)).alias("escaped"))
+    return documents.select("doc_id", text.xml_escape(F.col("text")).alias("escaped"))
 
 
 @query("posts", sql=f"SELECT id, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS ago, CASE WHEN n >= 1000000 THEN (n // 1000000) || 'M' WHEN n >= 1000 THEN (n // 1000) || 'K' ELSE CAST(n AS VARCHAR) END AS short FROM (SELECT id, ({BASE + 4_000_000_000} - createdAt) // 1000 AS s, id * 7919 AS n FROM posts)")
@@ -753,12 +753,12 @@ def class_accuracy(labels):
 
 
 @table_query("conversations", sql="""
-WITH RECURSIVE l AS (SELECT conv_id, turn, left(text, 300) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), r(conv_id, k, chunk, size) AS (
+WITH RECURSIVE l AS (SELECT conv_id, turn, text AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), r(conv_id, k, chunk, size) AS (
   SELECT conv_id, k, 0, length(line) FROM l WHERE k = 1
-  UNION ALL SELECT l.conv_id, l.k, CASE WHEN r.size + 1 + length(line) <= 700 THEN chunk ELSE chunk + 1 END, CASE WHEN r.size + 1 + length(line) <= 700 THEN r.size + 1 + length(line) ELSE length(line) END FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k + 1)
+  UNION ALL SELECT l.conv_id, l.k, CASE WHEN r.size + 1 + length(line) <= 1400 THEN chunk ELSE chunk + 1 END, CASE WHEN r.size + 1 + length(line) <= 1400 THEN r.size + 1 + length(line) ELSE length(line) END FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k + 1)
 SELECT r.conv_id, CAST(chunk AS INTEGER) AS chunk, string_agg(line, chr(10) ORDER BY r.k) AS text FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k GROUP BY r.conv_id, chunk""")
 def log_chunks(conversations):
-    return curate.chunks(conversations.select("conv_id", "turn", F.substring("text", 1, 300).alias("text")), "conv_id", "turn", "text", 700)
+    return curate.chunks(conversations.select("conv_id", "turn", "text"), "conv_id", "turn", "text", 1400)
 
 
 @table_query("documents", sql="SELECT doc_id, replace(replace(text, 'the', 'THE'), 'THEr', 'x') AS text, (length(text) - length(replace(text, 'the', ''))) // 3 AS first, (length(replace(text, 'the', 'THE')) - length(replace(replace(text, 'the', 'THE'), 'THEr', ''))) // 4 AS second FROM documents")

@@ -12,7 +12,7 @@ from weft.schema import CATEGORIES, COLORS, OCCASIONS, PATTERNS, TEXTURES
 
 BASE = 1_700_000_000_000
 
-#: Styles of our own: id, title, gender, category, silhouette, structure, occasions, affinity.
+#: Styles of our own: id, title, gender, category, silhouette, structure, occasions, affinity. A style's structure is the mean of this one and of what the sizes of its parts say, in steps of 0.05.
 STYLES = [
     ("kaba_gala", "Gala Kaba", "WOMEN", "TRADITIONAL", "KABA", 0.75, "WEDDING,CEREMONY", "KENTE,ADINKRA"),
     ("kaba_day", "Day Kaba", "WOMEN", "TRADITIONAL", "MODERN_KABA", 0.6, "CHURCH,EVERYDAY", "WAX,ANKARA"),
@@ -70,7 +70,7 @@ def _sql(dialect: str) -> dict[str, str]:
         "challenges": f"SELECT p_partkey AS id, p_name AS title, p_type || ' ' || p_brand AS description, {BASE} + p_partkey * 86400000 AS startDate, {BASE} + (p_partkey + p_size) * 86400000 AS endDate, p_size AS participantCount, p_partkey % 2 = 0 AS isActive FROM part",
         "entries": f"SELECT l_partkey AS challengeId, l_orderkey AS orderId, l_linenumber AS line, l_suppkey AS userId, {trunc('l_quantity')} AS voteCount, {ms('l_shipdate')} AS submissionDate FROM lineitem",
         "fabrics": f"SELECT p_partkey AS id, p_name AS name, {pick(CATEGORIES[:17], 'p_partkey % 17')} AS category, {pick(PATTERNS, 'p_partkey % 10')} AS pattern, {pick(TEXTURES, 'p_partkey % 9')} AS texture, p_size / 50.0D AS motifScale, (p_partkey % 100) / 100.0D AS saturation, p_partkey % 5 = 0 AS isFavorite, {BASE} + p_partkey * 7200000 AS createdAt, {colors} AS colors, {arr(pick(OCCASIONS, 'p_partkey % 8'), pick(OCCASIONS, '(p_partkey + 3) % 8'))} AS suggestedUses FROM part".replace("50.0D", "50.0D" if spark else "CAST(50 AS DOUBLE)").replace("100.0D", "100.0D" if spark else "CAST(100 AS DOUBLE)"),
-        "styles": f"SELECT ordinal, id, title, gender, category, silhouette, CAST(structure AS DOUBLE) AS structure, {split('occasions')} AS occasions, {split('affinity')} AS affinity FROM (VALUES {values}) AS v(ordinal, id, title, gender, category, silhouette, structure, occasions, affinity)",
+        "styles": f"SELECT ordinal, id, title, gender, category, silhouette, floor((CAST(v.structure AS DOUBLE) + mean) * 10 + CAST(0.5 AS DOUBLE)) / CAST(20 AS DOUBLE) AS structure, {split('occasions')} AS occasions, {split('affinity')} AS affinity FROM (VALUES {values}) AS v(ordinal, id, title, gender, category, silhouette, structure, occasions, affinity) JOIN (SELECT p_partkey % 20 AS k, avg(p_size) / CAST(50 AS DOUBLE) AS mean FROM part GROUP BY p_partkey % 20) pa ON pa.k = v.ordinal",
         "favorites": f"SELECT s.id AS styleId, max(h.timestamp) AS addedAt FROM ({{history}}) h JOIN ({{styles}}) s ON h.id % 20 = s.ordinal WHERE h.kind = 'purchase' AND h.userId = 7 GROUP BY s.id",
         "reports": f"SELECT d.doc_id AS id, d.doc_id % 150 AS reporterId, d.doc_id % 40 AS contentId, CASE WHEN d.doc_id % 2 = 0 THEN 'POST' ELSE 'COMMENT' END AS contentType, {pick(['SPAM', 'HARASSMENT', 'INAPPROPRIATE', 'COPYRIGHT', 'FAKE', 'OTHER'], 'd.doc_id % 6')} AS reportType, {pick(['PENDING', 'REVIEWED', 'RESOLVED', 'DISMISSED'], 'd.doc_id % 4')} AS status, {BASE} + d.doc_id * 60000 AS createdAt FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1",
         "wardrobe": f"SELECT o_orderkey AS id, o_custkey AS owner, {pick(TYPES, 'o_orderkey % 8')} AS type, {pick(HUES, '(o_orderkey * 3 + o_custkey) % 8')} AS color, {pick(MOODS, '(o_orderkey * 5 + o_custkey) % 8')} AS style FROM orders",
