@@ -136,7 +136,7 @@ def _with(*tables: str) -> str:
 
 
 def _rounded(names: list[str]) -> str:
-    return ", ".join(f"round(CAST(coalesce({n}, 0) AS DOUBLE), 6) AS {n}" for n in names)
+    return ", ".join(f"round(CAST(coalesce({n}, 0) AS DOUBLE) + 1e-9, 6) AS {n}" for n in names)  # sums that two engines add up in another order may lie on either side of a half
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -160,7 +160,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
 
 
 def _shown(frame: DataFrame, names: list[str]) -> DataFrame:
-    return frame.select("id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
+    return frame.select("id", *[F.round(F.col(n).cast("double") + 1e-9, 6).alias(n) for n in names])
 
 
 @table_query("embeddings", sql=f"{_with(PIXELS, LIGHT, STATISTICS)} SELECT id, {_rounded(_STATISTICS)} FROM stats")
@@ -181,7 +181,7 @@ def picture_spectrum(embeddings):
 @table_query("embeddings", sql=f"{_with(PIXELS, LIGHT, STRIPS)} SELECT id, strip_along_x, {_rounded(['strip_period', 'strip_bands', 'strip_edges', 'strip_score'])} FROM strip")
 def picture_strips(embeddings):
     found = picture.statistics(pictures(embeddings))
-    return found.select("id", "strip_along_x", *[F.round(n, 6).alias(n) for n in ("strip_period", "strip_bands", "strip_edges", "strip_score")])
+    return found.select("id", "strip_along_x", *[F.round(F.col(n) + 1e-9, 6).alias(n) for n in ("strip_period", "strip_bands", "strip_edges", "strip_score")])
 
 
 @table_query("embeddings", sql=f"{_with(PIXELS, LIGHT, COLORS)} SELECT id, place, bucket, round(CAST(share AS DOUBLE), 6) AS share, 4278190080 + CAST(r * 65536 + g * 256 + b AS BIGINT) AS argb FROM main")
