@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from weft.operators import curate, trends, wardrobe
+from weft.operators import curate, neardup, trends, wardrobe
 from weft.streaming import live
 
 
@@ -120,3 +121,41 @@ def test_combined_values_of_a_stream_are_those_of_all_rows(spark, tmp_path):
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("user", "n", *slots).collect()) == sorted(plain)
     assert live.latest_of_all(spark.createDataFrame([], schema), slots, "user", "kind", "value", ["n"]).collect() == []
+
+
+def plain_accepted(ids, pairs):
+    low = {}
+    for a, b in pairs:
+        low.setdefault(b, set()).add(a)
+    out = set()
+    for i in sorted(ids):
+        if not low.get(i, set()) & out:
+            out.add(i)
+    return out
+
+
+def test_ids_are_accepted_in_order(spark):
+    rng = random.Random(4)
+    for n, m in ((30, 25), (30, 60), (12, 60)):
+        pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+        got = neardup.accepted_in_order(spark.range(n), spark.createDataFrame(pairs, "a long, b long")).where("accepted").collect()
+        assert {r.id for r in got} == plain_accepted(range(n), pairs)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, kept = [], neardup.checkpointed
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    got = neardup.accepted_in_order(spark.range(n), chain).where("accepted").collect()
+    assert sorted(r.id for r in got) == list(range(0, n, 2)) and len(rounds) < 50
+
+
+def test_the_staging_gate(spark):
+    rows = [(1, "A", "x", 300, 300, 0), (2, "A", "x", 300, 300, 1), (3, "B", "y", 300, 300, 3), (4, "A", "x", 300, 300, -1), (5, "Z", "x", 300, 300, 255 << 20), (6, "A", "x", 100, 300, 255 << 40), (7, "A", "", 300, 300, 255 << 40),
+            (8, None, "x", 300, 300, 7), (9, "A", None, None, 300, 9), (10, "A", "x", 300, 300, None), (11, "B", "x", 300, 300, 255 << 40)]
+    df = spark.createDataFrame(rows, "id long, class string, stem string, w int, h int, hash long").withColumn("creator", F.lit("c"))
+    outcomes, credits = neardup.staged(df, ["A", "B"], most=2)
+    assert {r.id: r.outcome for r in outcomes.collect()} == {
+        1: "ok", 2: "duplicate of A/x.jpg", 3: "cross-class conflict with A/x.jpg", 4: "ok", 5: "unknown class", 6: "too small (100x300)", 7: "ok", 8: "unknown class", 9: "too small (?x300)", 10: "ok", 11: "cross-class conflict with A/A.jpg"}
+    assert {r.id: (r["class"], r.filename, r.creator) for r in credits.collect()} == {1: ("A", "x.jpg", "c"), 4: ("A", "x_2.jpg", "c"), 7: ("A", "A.jpg", "c"), 10: ("A", "x_3.jpg", "c")}

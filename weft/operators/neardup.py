@@ -106,20 +106,56 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def accepted_in_order(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, accepted: an id is accepted unless it is within the distance of a smaller accepted one.
 
-    The greedy rule, by rounds: an undecided id without an undecided smaller neighbour is accepted if no smaller neighbour was accepted. Every round decides
-    at least the smallest undecided id of each group, so the rounds end; chains take as many as they are long.
+    The greedy rule, by rounds. Each decides what follows from what is decided: an id with an accepted smaller neighbour is not accepted; one whose smaller neighbours are all turned
+    down is. What is left with one undecided smaller neighbour will be the opposite of it, so chains of such ids are followed to their ends by doubling: a chain of n ids takes
+    one round and log n jumps. Every round decides at least the smallest undecided id of each group.
     """
     state = ids.select("id", F.lit(None).cast("boolean").alias("accepted"))
+    links = checkpointed(pairs.select(F.col("b").alias("id"), F.col("a").alias("low")))
     while True:
-        below = pairs.select(F.col("b").alias("id"), F.col("a").alias("low")).join(state.select(F.col("id").alias("low"), F.col("accepted").alias("s")), "low")
-        facts = below.groupBy("id").agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("hit"), F.bool_or(F.col("s").isNull()).alias("open"))
-        new = state.join(facts, "id", "left")
-        rule = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = checkpointed(new.select("id", rule.alias("accepted")))
+        below = links.join(state.select(F.col("id").alias("low"), F.col("accepted").alias("s")), "low")
+        facts = below.groupBy("id").agg(F.bool_or(F.coalesce("s", F.lit(False))).alias("hit"), F.count_if(F.col("s").isNull()).alias("open"), F.max(F.when(F.col("s").isNull(), F.col("low"))).alias("up"))
+        undecided = F.col("accepted").isNull() & ~F.coalesce("hit", F.lit(False))
+        rule = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        known = checkpointed(state.join(facts, "id", "left").select("id", rule.alias("accepted"), F.when(undecided & (F.col("open") == 1), F.col("up")).alias("up")))
+        jumps = known.where("up is not null").select("id", "up", F.lit(True).alias("opposite"))
+        while True:
+            on = jumps.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("opposite").alias("again"))
+            met = jumps.join(on, "up", "left")
+            jumps = checkpointed(met.select("id", F.coalesce("far", "up").alias("up"), (F.col("opposite") != F.coalesce("again", F.lit(False))).alias("opposite"), F.col("far").isNotNull().alias("moved")))
+            if jumps.where("moved").isEmpty():
+                break
+            jumps = jumps.drop("moved")
+        ends = known.where("accepted is not null").select(F.col("id").alias("up"), F.col("accepted").alias("end"))
+        found = jumps.join(ends, "up").select("id", (F.col("end") != F.col("opposite")).alias("followed"))
+        state = checkpointed(known.drop("up").join(found, "id", "left").select("id", F.coalesce("accepted", "followed").alias("accepted")))
         if state.where("accepted is null").isEmpty():
             return state
 
 
+def staged(pictures: DataFrame, classes: list, least: int = 220, most: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """What becomes of candidates (id, class, stem, w, h, hash), in order of ids: outcomes (id, outcome), and credits (id, class, filename) of those that are taken, with their other columns.
+
+    The first rule that holds: a class that isn't known; a side below `least`; a picture within most bits of one taken before, a duplicate if that has its class, else a conflict; else ok.
+    Only pictures that pass the first two can be taken. A taken picture is named by its stem, with _2, _3 ... for later ones of a class with the same stem; an empty stem is the class.
+    """
+    side = F.least(F.coalesce("w", F.lit(0)), F.coalesce("h", F.lit(0)))
+    size = F.concat(F.lit("too small ("), F.coalesce(F.col("w").cast("string"), F.lit("?")), F.lit("x"), F.coalesce(F.col("h").cast("string"), F.lit("?")), F.lit(")"))
+    refused = F.when(~F.coalesce(F.col("class").isin(classes), F.lit(False)), "unknown class").when(side < least, size)
+    rows = checkpointed(pictures.withColumn("_refused", refused))
+    fit = rows.where("_refused is null").drop("_refused")
+    judged = checkpointed(dedup(fit.select("id", "class", "hash"), most))
+    stem = F.coalesce(F.nullif(F.col("stem"), F.lit("")), F.col("class").cast("string"))
+    taken = fit.join(judged.where("status = 'ok'").select("id"), "id").withColumn("_stem", stem)
+    n = F.row_number().over(Window.partitionBy("class", "_stem").orderBy("id"))
+    name = F.concat("_stem", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".jpg"))
+    credits = checkpointed(taken.withColumn("filename", name).drop("_stem", "stem"))
+    first = credits.select(F.col("id").alias("of"), F.concat_ws("/", F.col("class").cast("string"), "filename").alias("_of"))
+    why = F.when(F.col("status") == "ok", "ok").when(F.col("status") == "duplicate", F.concat(F.lit("duplicate of "), "_of")).otherwise(F.concat(F.lit("cross-class conflict with "), "_of"))
+    outcomes = judged.join(first, "of", "left").select("id", why.alias("outcome"))
+    return rows.where("_refused is not null").select("id", F.col("_refused").alias("outcome")).unionByName(outcomes), credits
+
+
 def dedup(pictures: DataFrame, most: int = NEAR) -> DataFrame:
     """id, status, of: in order of ids, a picture (id, class, hash) is ok unless an earlier ok one is within most bits: then it is a duplicate
     of the first such one if that has its class, else a conflict with it. Only the first picture of each hash can be ok, the others follow it."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import curate, trends, wardrobe
-from weft.plans.catalogue import SQL, query, table_query
+from weft.operators import curate, neardup, trends, wardrobe
+from weft.plans.catalogue import _ORDERED, SQL, _pictures, query, table_query
 from weft.sources.views import BASE
 
 # logs
@@ -127,3 +127,28 @@ def combined_counts(events):
     counted = events.where(F.col("event_type").isin(_KINDS)).withColumn("n", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")))
     found = live.latest_of_all(counted, _KINDS, "user_id", "event_type", "n", ["event_id"])
     return found.select("user_id", "event_id", sum(F.col(k) for k in _KINDS).cast("long").alias("total"))
+
+
+# the staging gate
+
+_CANDIDATES = "cand AS (SELECT h.id, h.class, h.u, CAST(180 + floor(abs(v.embedding[1]) * 100) AS INTEGER) AS w, CAST(180 + floor(abs(v.embedding[2]) * 100) AS INTEGER) AS ht FROM h0 h JOIN embeddings v ON v.vec_id = h.id % 1000000)"
+_FIT = _ORDERED[: _ORDERED.index("SELECT h.id, CASE WHEN f.id IS NOT NULL")].replace(", p AS (", f", h0 AS (SELECT * FROM h), {_CANDIDATES}, fit AS (SELECT id, class, u FROM cand WHERE class IN (0, 1, 2, 3, 4, 5, 6) AND least(w, ht) >= 220), p AS (", 1)
+_FIT = _FIT.replace("FROM h x JOIN h y", "FROM fit x JOIN fit y").replace("AS n FROM h)", "AS n FROM fit)")
+
+
+def _candidates(embeddings):
+    side = lambda i: (F.lit(180) + F.floor(F.abs(F.get("embedding", F.lit(i))) * 100)).cast("int")
+    sides = embeddings.select(F.col("vec_id").alias("of"), side(0).alias("w"), side(1).alias("h"))
+    return _pictures(embeddings).withColumn("of", F.col("id") % 1_000_000).join(sides, "of").select("id", "class", F.concat(F.lit("p"), (F.col("of") % 7).cast("string")).alias("stem"), "w", "h", "hash")
+
+
+@table_query("embeddings", sql=f"""{_FIT}, named AS (SELECT fit.id, fit.class, 'p' || fit.id % 1000000 % 7 || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END || '.jpg' AS filename FROM fit JOIN f ON f.id = fit.id WINDOW w AS (PARTITION BY fit.class, fit.id % 1000000 % 7 ORDER BY fit.id))
+SELECT c.id, CASE WHEN c.class NOT IN (0, 1, 2, 3, 4, 5, 6) THEN 'unknown class' WHEN least(w, ht) < 220 THEN 'too small (' || w || 'x' || ht || ')' WHEN f.id IS NOT NULL THEN 'ok' WHEN named.class = c.class THEN 'duplicate of ' || named.class || '/' || named.filename ELSE 'cross-class conflict with ' || named.class || '/' || named.filename END AS outcome
+FROM (SELECT id, class, w, ht FROM cand) c LEFT JOIN f ON f.id = c.id LEFT JOIN first ON first.id = c.id LEFT JOIN (SELECT id, class, filename FROM named) named ON named.id = first.low""")
+def staging_gate(embeddings):
+    return neardup.staged(_candidates(embeddings), [0, 1, 2, 3, 4, 5, 6])[0]
+
+
+@table_query("embeddings", sql=f"""{_FIT} SELECT fit.id, fit.class, w, ht AS h, 'p' || fit.id % 1000000 % 7 || CASE WHEN row_number() OVER o > 1 THEN '_' || row_number() OVER o ELSE '' END || '.jpg' AS filename FROM fit JOIN f ON f.id = fit.id JOIN cand ON cand.id = fit.id WINDOW o AS (PARTITION BY fit.class, fit.id % 1000000 % 7 ORDER BY fit.id)""")
+def staging_credits(embeddings):
+    return neardup.staged(_candidates(embeddings), [0, 1, 2, 3, 4, 5, 6])[1].select("id", "class", "w", "h", "filename")
