@@ -159,3 +159,13 @@ def test_the_staging_gate(spark):
     assert {r.id: r.outcome for r in outcomes.collect()} == {
         1: "ok", 2: "duplicate of A/x.jpg", 3: "cross-class conflict with A/x.jpg", 4: "ok", 5: "unknown class", 6: "too small (100x300)", 7: "ok", 8: "unknown class", 9: "too small (?x300)", 10: "ok", 11: "cross-class conflict with A/A.jpg"}
     assert {r.id: (r["class"], r.filename, r.creator) for r in credits.collect()} == {1: ("A", "x.jpg", "c"), 4: ("A", "x_2.jpg", "c"), 7: ("A", "A.jpg", "c"), 10: ("A", "x_3.jpg", "c")}
+
+
+def test_sorted_rows_are_numbered(spark):
+    from weft.operators import store
+
+    values = [random.Random(k).randrange(1000) for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(7)
+    got = store.numbered(df.orderBy("v")).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 501)) and [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted(values)
+    assert store.numbered(df.limit(0)).collect() == []

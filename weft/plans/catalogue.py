@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import schema as S
 from weft.functions import color, text
-from weft.operators import curate, match, neardup, raster, search, social, tables, trends, wardrobe
+from weft.operators import curate, match, neardup, raster, search, social, store, tables, trends, wardrobe
 from weft.sources.views import BASE, view, with_views
 
 NOW = 1_706_500_000_000
@@ -223,9 +223,7 @@ def _unified(q: str, sort: str, filters: str = "", select: str | None = None) ->
 
 def _ranked(results: DataFrame) -> DataFrame:
     """Ordered results with their rank from 1, so that the order itself is compared: the places in a sorted result."""
-    from pyspark.sql import Window
-
-    return results.withColumn("_i", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("_i"))).drop("_i")
+    return store.numbered(results)
 
 
 @query("posts", "users", "challenges", sql=_unified("en", "MOST_RELEVANT"))
