@@ -169,3 +169,14 @@ def test_sorted_rows_are_numbered(spark):
     got = store.numbered(df.orderBy("v")).collect()
     assert sorted(r["rank"] for r in got) == list(range(1, 501)) and [r.v for r in sorted(got, key=lambda r: r["rank"])] == sorted(values)
     assert store.numbered(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 3, 6, 10, 15])
+def test_near_hashes_are_all_pairs(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    made = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 17))) for b in base * 6} | set(base) | {0, (1 << 64) - 1, 1 << 63, 0xFFFF}
+    signed = [x - (1 << 64) if x >> 63 else x for x in made]
+    got = [(r.a, r.b, r.distance) for r in neardup.near_hashes(spark.createDataFrame([(x,) for x in signed], "hash long"), most).collect()]
+    want = [(a, b, ((a ^ b) & (1 << 64) - 1).bit_count()) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= most]
+    assert sorted(got) == sorted(want)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,18 +33,24 @@ def _probes(width: int, radius: int) -> list[int]:
 def near_hashes(hashes: DataFrame, most: int, bands: int = 4) -> DataFrame:
     """a, b, distance of different hashes (a < b), each once, that differ in at most so many bits.
 
-    hashes: hash, all different. The 64 bits are cut into bands; two hashes within most bits differ in at most most / bands bits of at least
-    one band. So one side is looked up by its bands, the other by all values within that radius of its bands: no pair is missed, and a
-    look-up meets one value of 2^16 rather than one of a few bits.
+    hashes: hash, all different. The 64 bits are cut into bands; two hashes within most bits differ in at most n = most / bands bits of at least one band. They meet half-way: a goes to all
+    values within one bit of its bands, b to those within n - 1, so a hash is some tens of rows rather than all values within n bits, and a look-up meets a value of 2^16. Of the values
+    where two meet only the one counts at which a has turned the lowest bit that differs, and only in the first band that is near enough; so no pair comes twice, and none is missed.
     """
     width, n = BITS // bands, most // bands
-    cut = lambda k: F.shiftrightunsigned("hash", width * k).bitwiseAND(F.lit((1 << width) - 1))
-    banded = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), cut(k).alias("value")) for k in range(bands)])).alias("e")
-    own = hashes.select("hash", banded).select(F.col("hash").alias("a"), "e.band", "e.value")
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _probes(width, n)])).alias("mask")
-    asked = own.select(F.col("a").alias("b"), "band", "value", masks).select("b", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    met = own.join(asked, ["band", "value"]).where("a < b").select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
-    return met.where(F.col("distance") <= most).distinct()
+    cut = lambda c, k: F.shiftrightunsigned(c, width * k).bitwiseAND(F.lit((1 << width) - 1))
+    banded = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), cut(F.col("hash"), k).alias("value")) for k in range(bands)])).alias("e")
+
+    def spread(radius: int, name: str, mask: str) -> DataFrame:
+        masks = F.explode(F.array(*[F.lit(m).cast("long") for m in _probes(width, radius)])).alias("mask")
+        rows = hashes.select("hash", banded).select("hash", "e.band", "e.value", masks)
+        return rows.select(F.col("hash").alias(name), "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), F.col("mask").alias(mask))
+
+    met = spread(min(n, 1), "a", "turned").join(spread(max(n - 1, 0), "b", "_b"), ["band", "value"])
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    own = F.expr(f"shiftrightunsigned(a ^ b, band * {width}) & {(1 << width) - 1}L")
+    first = reduce(lambda x, y: x & y, [(F.col("band") <= k) | (F.bit_count(cut(differ, k)) > n) for k in range(bands - 1)], F.lit(True))
+    return met.where("a < b").where((F.col("turned") == own.bitwiseAND(-own)) & first & (F.bit_count(differ) <= most)).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def near_pairs(pictures: DataFrame, most: int = SAME_GROUP) -> tuple[DataFrame, DataFrame]:
