@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,25 +193,27 @@ def group_split(groups: DataFrame, shares: tuple[float, ...] = (0.70, 0.15, 0.15
     """label, grp, n, split: each whole group, in order of the md5 of its name and the seed, goes to the split of its
     label that is furthest below its share.
 
-    groups: label, grp, n. The rule is sequential within a label; a fold over the label's ordered groups, which are rows of two numbers.
+    groups: label, grp, n. The rule is sequential within a label: its groups, sorted by Spark, stream through one task, which holds one number for each split. A null label is one.
     """
     order = F.md5(F.concat(F.col("grp").cast("string"), F.lit(seed)))
-    lists = groups.groupBy("label").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct(order.alias("o"), "grp", F.col("n").cast("double").alias("n")))).alias("l"))
-    k = len(shares)
-    start = F.struct(F.array(*[F.lit(0.0)] * k).alias("have"), F.array().cast("array<int>").alias("put"))
-
-    def step(state: Column, g: Column) -> Column:
-        lack = [F.lit(s) * F.col("total") - F.get(state["have"], F.lit(i)) for i, s in enumerate(shares)]
-        best = F.greatest(*lack)
-        place = F.lit(k - 1)
-        for i in reversed(range(k)):
-            place = F.when(lack[i] == best, i).otherwise(place)
-        have = F.array(*[F.get(state["have"], F.lit(i)) + F.when(place == i, g["n"]).otherwise(0.0) for i in range(k)])
-        return F.struct(have.alias("have"), F.array_append(state["put"], place).alias("put"))
-
-    put = lists.withColumn("put", F.aggregate("l", start, step, lambda s: s["put"]))
-    both = put.select("label", F.explode(F.arrays_zip("l", "put")).alias("e"))
-    return both.select("label", "e.l.grp", F.col("e.l.n").cast("long").alias("n"), F.get(F.array(*map(F.lit, names)), F.col("e.put")).alias("split"))
+    rows = groups.select("label", "grp", F.col("n").cast("long").alias("n"), order.alias("o")).repartition("label")
+    rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("label"))).sortWithinPartitions("label", "o", "grp")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, have = object(), []
+        for batch in batches:
+            put = []
+            for label, n, total in zip(batch["label"].astype(object).where(batch["label"].notna(), None), batch["n"].tolist(), batch["total"].tolist(), strict=True):
+                if label != at:
+                    at, have = label, [0.0] * len(shares)
+                lack = [s * total - h for s, h in zip(shares, have, strict=True)]
+                place = lack.index(max(lack))
+                have[place] += n
+                put.append(names[place])
+            yield pd.DataFrame({"label": batch["label"], "grp": batch["grp"], "n": batch["n"], "split": put})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select("label", "grp", "n", "total").mapInPandas(deal, f"label {kinds['label']}, grp {kinds['grp']}, n long, split string")
 
 
 def hold_out_last(files: DataFrame, by: str, order: str, content: str) -> DataFrame:
