@@ -38,7 +38,7 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 17, text: str = "text
 
     Only equal whole rows share a hash. A bucket that they fill to more than 4 * bucket_bytes is scattered again
     by row number into pieces of bucket_bytes, so no bucket is larger than memory allows however often a row repeats;
-    only in such a bucket does the place depend on how the input is partitioned, and there the rows are equal.
+    only in such a bucket, for the repeated rows and the others that share it, does the place depend on how the input is partitioned.
 
     The driver holds two numbers for each bucket: rows / bucket_bytes of them, about 1.6 million at 100 TB.
 
