@@ -10,7 +10,7 @@ from weft.functions.text import host_blocked, license_name
 #: How a build log's sections begin, how many lines they have at most, and what marks a line of the cause of a failure.
 SECTION_STARTS, SECTION_LIMIT = ("* What went wrong:", "* Exception is:"), 25
 ERROR_LINES = (r"^e: ", r"(?i)error: ", r"(?i)Could not (find|resolve|determine|download|get)", r"^> Task .*FAILED$", r"^FAILURE: ")
-#: Kinds of pictures that are taken, their least side, and the licences that a slug names.
+#: Kinds of pictures that are taken, their least side, and the licences that a slug names; so are the names of the answers' fields and the texts of the reasons.
 PICTURE_KINDS, LEAST_SIDE, OPEN_SLUGS = ("image/jpeg", "image/png", "image/webp", "image/tiff"), 300, ("cc0", "by", "by-sa")
 _COMMONS = (
     "query struct<pages: array<struct<title: string, imageinfo: array<struct<mime: string, width: bigint, height: bigint, url: string, descriptionurl: string, "

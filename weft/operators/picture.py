@@ -148,13 +148,13 @@ def hsl(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hue_families(hue: np.ndarray, sat: np.ndarray, light: np.ndarray) -> np.ndarray:
-    """0 gold, 1 green, 2 red, 3 blue, 4 black, 5 neutral."""
+    """0 gold, 1 green, 2 red, 3 blue, 4 black, 5 neutral. The bounds are fixed values."""
     hued = np.select([(hue < 20) | (hue >= 340), hue < 70, hue < 170, hue < 270], [2, 0, 1, 3], 2)
     return np.where(light < 0.18, 4, np.where(sat < 0.2, 5, hued))
 
 
 def strips(lum: np.ndarray, families: np.ndarray) -> dict[str, np.ndarray]:
-    """How much a picture looks like woven strips: periodic along one axis, of more than two hues, with sharp edges."""
+    """How much a picture looks like woven strips: periodic along one axis, of more than two hues, with sharp edges. The weights are fixed values."""
     n, h, w = lum.shape
     bands = sum(((families == f).reshape(n, -1).mean(1) >= BAND_SHARE).astype(float) for f in range(5))
     (lag_x, x), (lag_y, y) = best_lag(lum.mean(1)), best_lag(lum.mean(2))
@@ -428,6 +428,7 @@ def customised(polygons: Column, neckline: Column, sleeve: Column, length: Colum
 
 
 def _customised(polygons: Column, neckline: Column, sleeve: Column, length: Column) -> Column:
+    # the bounds and shifts of the three rules are fixed values
     hem = F.create_map(*[F.lit(v) for pair in HEMS.items() for v in pair])[length]
 
     def necked(p: Column) -> Column:
