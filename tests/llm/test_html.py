@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,45 @@ def test_nodes_of_half_the_pages_survive_any_order():
     top = H.merged([page(i) for i in range(600)])
     marks = {x.mark: x.n for _, x in H.preorder(top)}
     assert marks["div.b"] == 300 and len(marks) < 100
+
+
+def unnamed(page):
+    """The page without class, id and role, its sectioning elements renamed to div."""
+    page = re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+    return re.sub(r"<(/?)(article|nav|header|footer|aside|section|main)\b", r"<\1div", page)
+
+
+def test_pages_without_names_have_the_same_texts(spark):
+    """The table's pages hold one article element each; its blocks are the text, and they stay so when no name tells of it."""
+    pages = [(r.url, r.html or "") for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = ["\n".join(H.blocks(H.parse(re.search(r"<article>(.*?)</article>", p, re.S)[1]))) for _, p in pages]
+    assert extract(spark, pages) == want
+    assert extract(spark, [(u, unnamed(p)) for u, p in pages]) == want
+    assert all("\n".join(H.main_text(H.parse(p), None)) != w for (_, p), w in zip(pages, want, strict=True))
+
+
+def test_hosts_with_varying_menus(spark):
+    """Only div elements; menus, adverts, remarks and footers change from page to page, and some pages lack them."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice("amber birch cedar dune ember fjord grove heath".split()) for _ in range(n))
+    pages, want = [], []
+    for i in range(60):
+        text = [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 6))]
+        menu = "<div><ul>" + "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(rng.randint(3, 9))) + "</ul></div>"
+        advert = f"<div>{words(4)}</div>" if i % 3 else ""
+        side = f"<div><div><a href=/x>{words(3)}</a></div><div><a href=/y>{words(4)}</a></div></div>" if i % 4 else ""
+        body = f"<div><h2>{text[0]}</h2>" + "".join(f"<p>{t}</p>" for t in text[1:]) + "</div>"
+        pages.append((f"http://h{i % 3}.org/{i}", f"<body>{menu}{advert}{body}{side}<div>{words(5)} <a href=/z>{words(2)}</a></div></body>"))
+        want.append("\n".join(text))
+    assert extract(spark, pages) == want
+
+
+def test_neighbours_join_where_their_trees_are_alike():
+    kids = lambda page: [(k.mark, k.run) for k in H.skeleton(H.parse(page)).kids]
+    assert kids("<div><p>a</p></div><div><p>b</p><p>c</p></div>") == [("div", 1)]
+    assert kids("<div>menu</div><div><h1>a</h1><p>b</p></div><div>foot</div>") == [("div", 0)] * 3
+
+
+def test_a_title_beside_the_text_is_kept(spark):
+    page = "<body><div>Same site</div><div><h1>Title {0}</h1><div>" + "<p>long text {0} and so on and on</p>" * 3 + "</div></div><div>{0} foot</div></body>"
+    assert extract(spark, [(f"http://h/{i}", page.format(i)) for i in range(4)])[1].split("\n") == ["Title 1"] + ["long text 1 and so on and on"] * 3

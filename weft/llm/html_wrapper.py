@@ -25,10 +25,13 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul optgroup option".split()
 )
-#: Elements that are no text of the page, by HTML's own rules.
-NEVER = frozenset(
-    "head script style noscript template nav header footer aside form button select option input textarea iframe svg canvas object embed audio video dialog menu title link meta fieldset label".split()
-)
+#: Elements that are no text at all, by HTML's own rules.
+NEVER = frozenset("head script style noscript template button select option input textarea iframe svg canvas object embed audio video title link meta".split())
+#: Elements that stand beside a page's text, by HTML's own rules.
+BESIDE = frozenset("nav header footer aside form dialog menu fieldset label".split())
+#: Elements that HTML has for text; code points of theirs count PROSE times.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th caption figcaption summary address".split())
+HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Words of a class, id or role that mark boilerplate where no other words but these and the neutral ones stand beside them.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar "
@@ -52,6 +55,10 @@ ENDS = {
 FENCE = frozenset("table td th ul ol dl article section main aside nav header footer div blockquote form button object body html".split())
 #: A node that fewer than one page in RARE has is no template.
 RARE = 50
+#: Neighbours with one mark are one run if their trees match by this share of their nodes.
+ALIKE = 0.6
+#: How many times a code point of a textual element, and one that no name tells to stand beside the text, counts.
+PROSE = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -61,17 +68,18 @@ _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    """An element: tag, its mark (tag with class and id), the words of its names, and children: elements and pieces of text."""
+    """An element: tag, its mark (tag with class and id), the words of its names, children (elements and pieces of text), and off: 2 if
+    it is no text at all, 1 if its tag or names tell that it stands beside a text."""
 
     __slots__ = ("tag", "mark", "names", "kids", "up", "off")
 
-    def __init__(self, tag: str, up: Node | None, mark: str = "", names: str = "", off: bool = False):
+    def __init__(self, tag: str, up: Node | None, mark: str = "", names: str = "", off: int = 0):
         self.tag, self.up, self.mark, self.names, self.off = tag, up, mark or tag, names, off
         self.kids: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, with what is no text of it turned off. Unclosed, misnested and unknown elements are mended as browsers
+    """The tree of a page, with what is no text of it marked. Unclosed, misnested and unknown elements are mended as browsers
     roughly do; nothing raises."""
     root = node = Node("#root", None)
     named: list[Node] = []
@@ -110,7 +118,8 @@ def parse(page: str) -> Node:
         names = " ".join([attrs[k] for k in ("class", "id", "role") if attrs.get(k)]).lower() if attrs else ""
         words = sorted({x for x in _NAME.findall(names) if not x.isdigit()}) if names else ()
         child = Node(tag, node, f"{tag}.{'.'.join(words)}" if words else tag, names)
-        child.off = tag in NEVER or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        never = tag in NEVER or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        child.off = 2 if never else int(tag in BESIDE)
         node.kids.append(child)
         if names and not child.off and tag not in UNNAMED and telling(names):
             named.append(child)
@@ -124,7 +133,7 @@ def parse(page: str) -> Node:
     if named:
         most = weight(root)
         for x in named:
-            x.off = weight(x) * 2 < most  # what holds most of the page is not beside its text
+            x.off = int(weight(x) * 2 < most)  # what holds most of the page is not beside its text
     return root
 
 
@@ -139,7 +148,7 @@ def telling(names: str) -> bool:
 
 
 def weight(node: Node) -> int:
-    """Code points of text below node, without what is turned off."""
+    """Code points of text below node, without what is no text or beside it."""
     n, work = 0, [node]
     while work:
         for x in work.pop().kids:
@@ -150,19 +159,22 @@ def weight(node: Node) -> int:
     return n
 
 
-def own_text(node: Node) -> str:
-    """The text of a block without that of the blocks in it; white space is one blank, ends are trimmed."""
+def own_text(node: Node, linked: list[int] | None = None) -> str:
+    """The text of a block without that of the blocks in it; white space is one blank, ends are trimmed. linked gets the code points
+    of each link."""
     out: list[str] = []
     work: list[Node | str] = list(reversed(node.kids))
     while work:
         x = work.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.off or x.tag in BLOCK:
+        elif x.off > 1 or x.tag in BLOCK:
             continue
         elif x.tag == "br":
             out.append(" ")
         else:
+            if linked is not None and x.tag == "a":
+                linked.append(len(own_text(x)))
             work += reversed(x.kids)
     return _SPACE.sub(" ", "".join(out)).strip()
 
@@ -173,7 +185,7 @@ def inner_blocks(node: Node) -> list[Node]:
     work: list[Node | str] = list(reversed(node.kids))
     while work:
         x = work.pop()
-        if isinstance(x, str) or x.off:
+        if isinstance(x, str) or x.off > 1:
             continue
         if x.tag in BLOCK:
             out.append(x)
@@ -182,10 +194,10 @@ def inner_blocks(node: Node) -> list[Node]:
     return out
 
 
-def blocks(node: Node, template: dict[str, frozenset[int]] | None = None) -> list[str]:
+def blocks(node: Node, template: dict[str, frozenset[int]] | None = None, beside: bool = False) -> list[str]:
     """The texts of the blocks below node in page order; white space is one blank, ends are trimmed.
 
-    template: texts that go, as hashes by the marks from node down.
+    template: texts that go, as hashes by the marks from node down. beside: with what names tell to stand beside a text.
     """
     out: list[str] = []
     run: list[str] = []
@@ -205,7 +217,7 @@ def blocks(node: Node, template: dict[str, frozenset[int]] | None = None) -> lis
         elif isinstance(x, str):
             if not gone:
                 run.append(x)
-        elif x.off and x is not node:
+        elif x.off > beside and x is not node:
             if x.tag in BLOCK:
                 flush()
         elif x.tag == "br":
@@ -227,7 +239,7 @@ def hash_text(text: str) -> int:
 
 
 class Part:
-    """A node of a wrapper: its mark, the hash of its own text, pages, pages whose text differs from the first's, code points of
+    """A node of a wrapper: its mark, the hash of its own text, pages, pages whose text differs from the first's, the weight of
     its own text over all pages, whether it is a run, the hashes of the run's texts while all pages agree, and its children."""
 
     __slots__ = ("mark", "text", "n", "v", "chars", "run", "texts", "kids")
@@ -247,22 +259,22 @@ def preorder(top: Part) -> list[tuple[int, Part]]:
 
 
 def skeleton(root: Node) -> Part:
-    """The tree of a page's blocks, as a wrapper of one page. Neighbours with one mark are one node, a run."""
-    top = _part(root)
-    work = [(root, top)]
+    """The tree of a page's blocks, as a wrapper of one page. Neighbours with one mark whose trees are alike are one node, a run."""
+    top = _part(root, root.off)
+    work = [(root, top, root.off)]
     order: list[Part] = []
     while work:
-        node, part = work.pop()
+        node, part, beside = work.pop()
         order.append(part)
         for x in inner_blocks(node):
             if x.tag != "hr":
-                part.kids.append(_part(x))
-                work.append((x, part.kids[-1]))
+                part.kids.append(_part(x, beside or x.off))
+                work.append((x, part.kids[-1], beside or x.off))
     for part in reversed(order):  # children first
         if len({k.mark for k in part.kids}) < len(part.kids):
             kids = part.kids[:1]
             for k in part.kids[1:]:
-                if kids[-1].mark == k.mark:
+                if kids[-1].mark == k.mark and alike(kids[-1], k):
                     kids[-1] = _same_page(kids[-1], k)
                 else:
                     kids.append(k)
@@ -270,10 +282,14 @@ def skeleton(root: Node) -> Part:
     return top
 
 
-def _part(node: Node) -> Part:
-    text = own_text(node)
+def _part(node: Node, beside: int) -> Part:
+    """A node of one page. Its weight: code points outside links, PROSE times each for an element that HTML has for text, and for one
+    that nothing tells to stand beside it."""
+    linked: list[int] = []
+    text = own_text(node, linked)
     h = hash_text(text)
-    return Part(node.mark, h, 1, 0, len(text), 0, [h] if h else [], [])
+    w = max(0, len(text) - sum(linked)) * (PROSE if node.tag in TEXTUAL else 1) * (1 if beside else PROSE)
+    return Part(node.mark, h, 1, 0, w, 0, [h] if h else [], [])
 
 
 def _same_page(a: Part, b: Part) -> Part:
@@ -283,6 +299,14 @@ def _same_page(a: Part, b: Part) -> Part:
     return out
 
 
+def alike(a: Part, b: Part) -> bool:
+    """Whether simple tree matching pairs at least ALIKE of the nodes of both trees."""
+    if not a.kids and not b.kids:
+        return True
+    size = len(preorder(a)) + len(preorder(b))
+    return 2 * match(a, b)[id(a), id(b)][0] >= ALIKE * size
+
+
 def match(a: Part, b: Part) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
     """Simple tree matching of two nodes with one mark. For each pair of nodes that may be paired: the number of pairs in the largest
     order-keeping matching of their trees, and which children are paired. Without recursion: children's pairs come first."""
@@ -384,7 +408,7 @@ def from_json(text: str) -> Part:
 
 
 def slots(top: Part) -> dict[int, int]:
-    """For each node (by id) the code points below it in slots: nodes whose text varies between pages. Of a wrapper of one page,
+    """For each node (by id) the weight below it in slots: nodes whose text varies between pages. Of a wrapper of one page,
     or of copies of one, all text is."""
     order = preorder(top)
     varies = any(x.v for _, x in order)
@@ -396,20 +420,23 @@ def slots(top: Part) -> dict[int, int]:
 
 
 def content(top: Part) -> dict:
-    """path: the marks from the root to the node that holds the host's main text. template: below it, the hashes of constant texts by the
-    marks from there down.
+    """path: the marks from the root to the node that holds the host's main text. among: by the place in path, where several neighbours
+    have that mark, their trees and which of them it is. template: below it, the hashes of constant texts by the marks from there down.
 
-    From the root down, the container with most text in slots is entered while it holds 7 tenths of it; a run of like neighbours
-    ends the search, for these are the text's blocks. Constant is what at least three pages, and half of those with the slot, have
-    with one text, unless no text varies at all.
+    From the root down, the container with most weight in slots is entered while it holds 7 tenths of it. A run of like neighbours
+    ends the search, for these are the text's blocks, and so does a varying heading beside the container, for it is the text's.
+    Constant is what at least three pages, and half of those with the slot, have with one text, unless no text varies at all.
     """
-    found, path = slots(top), [top.mark]
+    found, path, among = slots(top), [top.mark], {}
     varies = any(x.v for _, x in preorder(top))
     while found[id(top)]:
         down = [k for k in top.kids if not k.run and k.mark.split(".")[0] in CONTAINER and found[id(k)] * 10 >= found[id(top)] * 7]
-        if not down:
+        if not down or any(found[id(k)] and k.n * 2 >= top.n and k.mark.split(".")[0] in HEADING for k in top.kids):
             break
+        like = [k for k in top.kids if k.mark == down[0].mark]
         top = down[0]
+        if len(like) > 1:
+            among[str(len(path))] = [[k is top for k in like].index(True), [[[d, x.mark] for d, x in preorder(k)] for k in like]]
         path.append(top.mark)
     template: dict[str, list[int]] = {}
     work = [(top, "")] if varies else []
@@ -418,29 +445,53 @@ def content(top: Part) -> dict:
         if x.n >= 3 and x.n * 2 >= top.n and x.v == 0 and x.texts:
             template.setdefault(at, []).extend(x.texts)
         work += [(k, f"{at}/{k.mark}") for k in x.kids]
-    return {"path": path, "template": template}
+    return {"path": path, "among": among, "template": template}
+
+
+def shape(nodes: list[list]) -> Part:
+    """A tree of marks alone, from its nodes in preorder with their depths."""
+    above: list[Part] = []
+    for d, mark in nodes:
+        x = Part(mark, 0, 1, 0, 0, 0, [], [])
+        del above[d:]
+        if above:
+            above[-1].kids.append(x)
+        above.append(x)
+    return above[0]
 
 
-def find(root: Node, path: list[str]) -> Node | None:
-    """The page's node for the wrapper's path; among children with one mark the one with most text."""
+def find(root: Node, wrapper: dict) -> Node | None:
+    """The page's node for the wrapper's path. Among children with one mark it is the one that simple tree matching pairs with the
+    wrapper's node, where the wrapper has neighbours with that mark too; or else the one with most text."""
     node = root
-    for mark in path[1:]:
+    for i, mark in enumerate(wrapper["path"][1:], 1):
         some = [k for k in inner_blocks(node) if k.mark == mark]
         if not some:
             return None
-        node = some[0] if len(some) == 1 else max(some, key=weight)
+        if str(i) in wrapper["among"]:
+            at, trees = wrapper["among"][str(i)]
+            ours, theirs = Part(mark, 0, 1, 0, 0, 0, [], [skeleton(k) for k in some]), Part(mark, 0, 1, 0, 0, 0, [], [shape(t) for t in trees])
+            paired = [p for p, q in match(ours, theirs)[id(ours), id(theirs)][1] if q == at]
+            if not paired:
+                return None
+            node = some[paired[0]]
+        else:
+            node = some[0] if len(some) == 1 else max(some, key=weight)
     return node
 
 
 def main_text(root: Node, wrapper: dict | None) -> list[str]:
     """The blocks of the page's main text: those of the slot that the host's wrapper found, without the template's texts.
 
-    A page that doesn't fit its host's wrapper, or has none, is a host of its own: its slot is the container with most of its text.
+    A page that doesn't fit its host's wrapper is a host of its own: its slot is that of the wrapper of this page. Without any wrapper, all blocks of
+    the page are its text.
     """
-    slot = find(root, wrapper["path"]) if wrapper else None
+    if wrapper is None:
+        return blocks(root, beside=True)
+    slot = find(root, wrapper)
     if slot is None:
-        slot = find(root, content(skeleton(root))["path"])
-        return blocks(slot)
+        alone = content(skeleton(root))
+        return blocks(find(root, alone) or root)
     return blocks(slot, wrapper["template"]) or blocks(slot)
 
 
@@ -490,8 +541,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     A wrapper is induced for each host from all its pages: their trees of block elements are aligned by simple tree
     matching; nodes whose text is the same on all pages are template, those whose text varies are slots, and
-    the node around most slots is where the main text is, whatever its tag and names. Each page is then parsed again: the blocks of that node, without the
-    template's texts, are its text. Elements that are never text by HTML's rules, and those whose whole names mark boilerplate, don't take part. Character
+    the node around most of their weight is where the main text is. A code point in a link has no weight; one in an element for text (p, h1, li ...) has PROSE
+    times that of bare text, and one that a tag or whole names tell to stand beside the text has a PROSEth. Each page is then parsed again and aligned with the wrapper: the blocks of that node,
+    without the template's texts and what its tags and names tell to stand beside them, are its text. Elements that are never text by HTML's rules don't take part. Character
     references are decoded, white space inside a block is one blank, ends are trimmed; nothing else is dropped or shortened.
 
     Null and empty pages have the empty text. A null address, or one without a host, belongs to the host without name. Repeated rows
