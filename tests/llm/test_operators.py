@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -263,6 +264,31 @@ def test_next_text_in_descending_order(spark):
         assert sum(r.next_text == "text 7" for r in found) == 41
 
 
+def test_spans_are_ordered_by_blocks(spark, monkeypatch):
+    data = [(i * 3, f"text {i * 3}") for i in range(400)]
+    want = {i: f"text {i - 3 if i else 1197}" for i, _ in data}
+    for spans in (1, 2, 7):
+        monkeypatch.setattr(syncmers, "SPANS", spans)
+        found = syncmers.with_next(spark.createDataFrame(data, "doc_id long, text string").repartition(3), rows_each=10).collect()
+        assert {r.doc_id: r.next_text for r in found} == want
+
+
+def test_likeness_counts_repeated_anchors(spark):
+    """Beside brute force over multisets: a text of one word again and again keeps half of its anchors with half of it."""
+    rng = random.Random(8)
+    word = lambda n: " ".join(rng.choices("ash bay elm fir oak".split(), k=n))
+    pairs = [("dull " * 400, "dull " * 200 + word(200)), (word(300), word(300)), ("dull " * 30, ""), (word(40) * 5, word(40) * 2), ("", ""), ("one two three four", "one two three four")]
+    kinds = [F.lit(False), F.lit(True)]
+    for letters in kinds:
+        a, b = (syncmers.anchors(F.col(x), letters) for x in "ab")
+        rows = spark.createDataFrame(pairs, "a string, b string").select(a.alias("a"), b.alias("b"), syncmers.likeness(syncmers.hashes(a), syncmers.hashes(b)).alias("near")).collect()
+        for r in rows:
+            x, y = (Counter(p.hash for p in side) for side in (r.a, r.b))
+            assert r.near == (2 * (x & y).total() / (x.total() + y.total()) if x or y else 1.0)
+    half = spark.createDataFrame(pairs[:1], "a string, b string").select(syncmers.likeness(*[syncmers.hashes(syncmers.anchors(F.col(x), kinds[0])) for x in "ab"])).first()[0]
+    assert 0.4 < half < 0.6
+
+
 def test_fingerprints_of_edges(docs, clashing, empty):
     found = {repr(r.text)[:20]: r for r in syncmers.fingerprint(clashing).collect()}
     assert found["None"].anchors == [] and found["None"].fingerprint == found["''"].fingerprint

@@ -14,6 +14,8 @@ K, S = 4, 2
 #: The same in code points, for texts of fewer than FEW words or with more than LONG code points a word, white space included.
 LETTERS_K, LETTERS_S = 6, 4
 FEW, LONG = 12, 12
+#: Spans of rows whose order is found together.
+SPANS = 4096
 _ANCHOR = "struct<pos:int,hash:bigint>"
 
 
@@ -67,8 +69,16 @@ def anchors(text: Column, letters: Column | None = None) -> Column:
 
 
 def hashes(found: Column) -> Column:
-    """The anchors' hashes, each once."""
-    return F.array_distinct(F.transform(found, lambda a: a["hash"]))
+    """The anchors' hashes, each made one of its own with the number of those like it before: a passage that a text has a thousand times
+    counts a thousand times. Equal hashes are brought together by sorting; a run of n of them gives n numbers."""
+
+    def numbered(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda b: F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s)))
+        one = lambda a, z: F.transform(F.sequence(F.lit(0), z - a - 1), lambda k: F.xxhash64(F.get(s, a), k))
+        return F.flatten(_let(begins, lambda b: F.zip_with(b, ends(b), one)))
+
+    return F.when(F.size(found) == 0, F.array().cast("array<bigint>")).otherwise(_let(F.sort_array(F.transform(found, lambda a: a["hash"])), numbered))
 
 
 def digest(found: Column) -> Column:
@@ -77,7 +87,7 @@ def digest(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of two fingerprints' hashes (each once) that both have: 2 * common / all; 1 for two without any."""
+    """The share of two fingerprints' hashes() that both have: 2 * common / all; 1 for two without any."""
     total = F.size(a) + F.size(b)
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
@@ -121,7 +131,8 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", rows_each
     Rows that repeat an id are in order of their text's hash; null ids come last; ids are whole numbers. The order is cut into spans of about
     rows_each rows: at up to 255 quantiles of the ids, and evenly between these. An id that fills several quantiles is
     cut by the hash. Each text is moved once, to its span; besides, each span's first row goes to the span before it.
-    Spans are numbered in order, so a window within each span finds the next text.
+    Spans are numbered in order, so a window within each span finds the next text. Which span lies before a span is found within blocks of
+    SPANS of them; only one number a block, so one for SPANS * rows_each (eight million) rows, is put in order by one task.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("i"), text_of(F.col(f"`{text}`")).alias("t")).withColumn("h", F.xxhash64("t"))
     n, low, high = rows.agg(F.count("*"), F.min("i"), F.max("i")).first()
@@ -151,7 +162,11 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", rows_each
     order = F.struct(F.bitwise_not("i").alias("o"), "h")
     heads = stored(placed.groupBy("s").agg(F.min(F.when(F.col("i").isNotNull(), order)).alias("a"), F.min("h").alias("b")).select("s", F.bitwise_not("a.o").alias("i"), F.coalesce("a.h", "b").alias("h")), "heads")
     # the span before each span that has rows; before the first, the last
-    before = F.coalesce(F.lag("s").over(Window.orderBy("s")), F.max("s").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    block = F.expr(f"s div {SPANS}")
+    tops = heads.groupBy(block.alias("block")).agg(F.max("s").alias("top"))
+    above = F.coalesce(F.lag("top").over(Window.orderBy("block")), F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.withColumn("block", block).join(tops.select("block", above.alias("above")), "block")
+    before = F.coalesce(F.lag("s").over(Window.partitionBy("block").orderBy("s")), "above")
     heads = heads.select(F.col("s").alias("s0"), F.col("i").alias("i0"), F.col("h").alias("h0"), before.alias("to"))
     same = (F.col("s") == F.col("s0")) & F.col("i").eqNullSafe(F.col("i0")) & (F.col("h") == F.col("h0"))
     ghosts = placed.join(heads, same).groupBy("to", "i", "h").agg(F.min("t").alias("t")).select("i", "t", "h", F.col("to").alias("s"), F.lit(1).alias("g"))
