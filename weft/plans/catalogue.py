@@ -579,18 +579,24 @@ def group_split(embeddings):
     return neardup.group_split(found)
 
 
-@table_query("pages", sql="SELECT page_id AS id, CASE page_id % 7 WHEN 0 THEN 'unknown category' WHEN 1 THEN 'missing' WHEN 2 THEN 'undecodable' ELSE CASE WHEN page_id % 4 = 0 THEN 'duplicate' ELSE 'accepted' END END AS status FROM pages")
+_PATH = "regexp_extract({}, '//[^/?#]*/([^?#]*)', 1)"
+
+
+@table_query("pages", sql=f"""
+WITH p AS (SELECT page_id AS id, {_PATH.format('url')} AS path, url, html FROM pages), f AS (SELECT *, min(id) OVER (PARTITION BY path) < id AS near, regexp_extract(path, '^[^/]*') AS category FROM p)
+SELECT id, CASE WHEN category NOT IN ('en', 'fr', 'de') THEN 'unknown category' WHEN NOT contains(html, '<article') THEN 'missing' WHEN NOT starts_with(url, 'https:') THEN 'undecodable' WHEN near THEN 'duplicate' ELSE 'accepted' END AS status FROM f""")
 def ingest_statuses(pages):
-    i = F.col("page_id")
-    rows = pages.select(i.alias("id"), F.when(i % 7 == 0, "PAPER").otherwise("KENTE").alias("category"), (i % 7 != 1).alias("present"), (i % 7 != 2).alias("decoded"))
-    return curate.ingest(rows, S.CATEGORIES, rows.where("id % 4 = 0").select("id"))
+    """Pages as contributed files: the address has the category, an encrypted one stands for what can be decoded; near is a page whose path an earlier one has."""
+    rows = pages.select(F.col("page_id").alias("id"), F.expr(_PATH.format("url")).alias("path"), F.contains("html", F.lit("<article")).alias("present"), F.startswith("url", F.lit("https:")).alias("decoded"))
+    rows = rows.withColumn("category", F.regexp_extract("path", "^[^/]*", 0))
+    near = rows.join(rows.groupBy("path").agg(F.min("id").alias("first")), "path").where("id > first").select("id")
+    return curate.ingest(rows, ["en", "fr", "de"], near)
 
 
-@table_query("pages", sql="SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'src' || (page_id // 10) END AS key, 'lace_' || page_id || '_a.jpg' AS name FROM pages")
+@table_query("pages", sql=f"SELECT page_id, nullif(trim(string_split(url, '#')[1]), '') AS key, 'lace_' || regexp_replace(replace({_PATH.format('url')}, '/', '_'), '^[^_]*_', '') AS name FROM pages")
 def provenance_and_names(pages):
-    key = F.when(F.col("page_id") % 3 == 0, " #frame").otherwise(F.concat(F.lit("src"), F.expr("page_id div 10").cast("string"), F.lit(" #"), F.col("page_id").cast("string")))
-    name = curate.new_file_name(F.concat(F.lit("wax_"), F.col("page_id").cast("string"), F.lit("_a.jpg")), F.lit("LACE"))
-    return pages.select("page_id", curate.provenance(key).alias("key"), name.alias("name"))
+    name = curate.new_file_name(F.replace(F.expr(_PATH.format("url")), F.lit("/"), F.lit("_")), F.lit("LACE"))
+    return pages.select("page_id", curate.provenance(F.col("url")).alias("key"), name.alias("name"))
 
 
 @table_query("embeddings", sql="""

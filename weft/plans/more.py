@@ -767,18 +767,26 @@ def rename_rules(documents):
     return out.select("doc_id", "text", F.col("counts")[0].alias("first"), F.col("counts")[1].alias("second"))
 
 
-@table_query("pages", sql="SELECT page_id, 'github:o/r@' || CASE page_id % 3 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a' ELSE 'a/b/' || page_id || '.jpg' END AS key FROM pages")
-def repo_group_keys(pages):
-    path = F.concat(F.lit("a/b/"), F.col("page_id").cast("string"), F.lit(".jpg"))
-    by = F.when(F.col("page_id") % 3 == 0, "parent").when(F.col("page_id") % 3 == 1, "grandparent").otherwise("file")
-    return pages.select("page_id", curate.repo_key(F.lit("o/r"), path, by).alias("key"))
+_HOST, _PATH = "regexp_extract(url, '//([^/?#]*)', 1)", "regexp_extract(url, '//[^/?#]*/([^?#]*)', 1)"
 
 
-@table_query("pages", sql="SELECT page_id, (['mit license text', 'Redistribution and use in', 'apache license', 'nothing', 'This is unencumbered'])[CAST(page_id % 5 AS INTEGER) + 1] AS text, CASE page_id % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'BSD-3-Clause' WHEN 2 THEN 'Apache-2.0' WHEN 3 THEN 'MIT' ELSE 'Unlicense' END AS expected, page_id % 5 <> 3 AS ok FROM pages")
-def licence_files(pages):
-    i = F.col("page_id") % 5
-    rows = pages.select("page_id", _pick(["mit license text", "Redistribution and use in", "apache license", "nothing", "This is unencumbered"], i).alias("text"), _pick(["MIT", "BSD-3-Clause", "Apache-2.0", "MIT", "Unlicense"], i).alias("expected"))
-    return rows.withColumn("ok", curate.licence_file_ok(F.col("text"), F.col("expected")))
+@table_query("pages", sql=f"""
+WITH p AS (SELECT page_id, url, {_HOST} AS repo, {_PATH} AS path FROM pages)
+SELECT page_id, 'github:' || repo || '@' || CASE WHEN url LIKE 'https:%' THEN regexp_replace(path, '/[^/]*$', '') WHEN url LIKE '%/en/%' THEN regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', '') ELSE path END AS key FROM p""")
+def repo_group_keys(pages):
+    by = F.when(F.startswith("url", F.lit("https:")), "parent").when(F.contains("url", F.lit("/en/")), "grandparent").otherwise("file")
+    return pages.select("page_id", curate.repo_key(F.expr(_HOST), F.expr(_PATH), by).alias("key"))
+
+
+@table_query("documents", sql="""
+SELECT doc_id, e AS expected, CASE e WHEN 'MIT' THEN contains(low, 'permission is hereby granted') OR contains(low, 'mit license') WHEN 'BSD-3-Clause' THEN contains(low, 'redistribution and use') OR contains(low, 'bsd')
+ WHEN 'Apache-2.0' THEN contains(low, 'apache license') WHEN 'Unlicense' THEN contains(low, 'unencumbered') OR contains(low, 'unlicense') ELSE contains(low, 'cc') END AS ok
+FROM (SELECT doc_id, lower(text) AS low FROM documents), (SELECT unnest(['MIT', 'BSD-3-Clause', 'Apache-2.0', 'Unlicense', 'CC-BY-4.0']) AS e)""")
+def licence_files(documents):
+    """For every document and each of five licences, whether the text looks like that licence's."""
+    expected = F.explode(F.array(*map(F.lit, ["MIT", "BSD-3-Clause", "Apache-2.0", "Unlicense", "CC-BY-4.0"])))
+    rows = documents.select("doc_id", "text", expected.alias("expected"))
+    return rows.select("doc_id", "expected", curate.licence_file_ok(F.col("text"), F.col("expected")).alias("ok"))
 
 
 # live and time-bound
