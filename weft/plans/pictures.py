@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.once import let
 from weft.operators import picture, raster
 from weft.plans.catalogue import table_query
 
@@ -139,11 +140,6 @@ def _rounded(names: list[str]) -> str:
     return ", ".join(f"round(CAST(coalesce({n}, 0) AS DOUBLE) + 1e-9, 6) AS {n}" for n in names)  # sums that two engines add up in another order may lie on either side of a half
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use of a value that is computed once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def pictures(embeddings: DataFrame) -> DataFrame:
     """id, argb, mask (arrays of one length), v (the vector's numbers from 0 to 255), w: a picture about as wide as high of each vector with numbers; the last row is filled from the beginning."""
     n = F.size("embedding")
@@ -155,7 +151,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     at = lambda v, k, step: F.get(v, ((k + step) % n).cast("int"))
     argb = lambda v: F.transform(place, lambda k: F.lit(0xFF000000) + at(v, k, F.lit(0)) * 65536 + at(v, k, w) * 256 + at(v, k, F.lit(2)))
     made = lambda v: F.struct(argb(v).alias("argb"), F.transform(place, lambda k: at(v, k, F.lit(1))).alias("mask"), v.alias("v"))
-    p = _let(whole, lambda e: _let(span(e), lambda s: _let(value(s), made)))
+    p = let(whole, lambda e: let(span(e), lambda s: let(value(s), made)))
     return embeddings.where(n > 0).select(F.col("vec_id").alias("id"), p.alias("p"), w.alias("w")).select("id", "p.argb", "p.mask", "p.v", "w")
 
 
@@ -261,7 +257,7 @@ def garment_polygons(embeddings):
     value = lambda v, i: F.get(v, i.cast("int")) / F.lit(255.0)
     points = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda j: F.struct(value(v, 2 * j).alias("x"), value(v, 2 * j + 1).alias("y")))
     polygons = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.size(p) / 16).cast("int") - 1), lambda k: F.slice(p, k * 16 + 1, F.lit(16)))
-    made = lambda v: picture.customised(_let(points(v), polygons), pick(_NECKS, v, 0), pick(_SLEEVES, v, 1), pick(_LENGTHS, v, 2))
-    rows = pictures(embeddings).where(F.size("v") >= 3).select("id", _let(F.col("v"), made).alias("p"))
+    made = lambda v: picture.customised(let(points(v), polygons), pick(_NECKS, v, 0), pick(_SLEEVES, v, 1), pick(_LENGTHS, v, 2))
+    rows = pictures(embeddings).where(F.size("v") >= 3).select("id", let(F.col("v"), made).alias("p"))
     rows = rows.select("id", F.posexplode("p").alias("poly", "points")).select("id", "poly", F.posexplode("points").alias("vertex", "p"))
     return rows.select("id", F.col("poly").cast("long").alias("poly"), F.col("vertex").cast("long").alias("vertex"), F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
