@@ -1,7 +1,9 @@
 """What lets queries grow: no broadcast of multiplied rows, values computed once, pairs made by all cores."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from weft.functions import color
 from weft.operators import neardup
 
 
@@ -34,3 +36,8 @@ def test_rounds_of_groups_do_not_find_pairs_again(spark):
     pairs = ids.where("id < 5").select(counted("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in neardup.grouped(ids, pairs).collect()} == {(i, 0) for i in range(6)}
     assert seen.value <= 20
+
+
+@pytest.mark.parametrize("made", [color.companions, lambda c: color.skin_harmony(F.array(c), F.lit(0xFF8D5524)), color.to_hsl, lambda c: color.companions_for(c, F.lit(0xFF8D5524))])
+def test_colours_are_computed_once(spark, made):
+    assert str(made(F.col("marker"))).count("marker") <= 3
