@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import color
-from weft.operators import neardup
+from weft.operators import community, neardup
 
 
 def _plan(df):
@@ -41,3 +41,10 @@ def test_rounds_of_groups_do_not_find_pairs_again(spark):
 @pytest.mark.parametrize("made", [color.companions, lambda c: color.skin_harmony(F.array(c), F.lit(0xFF8D5524)), color.to_hsl, lambda c: color.companions_for(c, F.lit(0xFF8D5524))])
 def test_colours_are_computed_once(spark, made):
     assert str(made(F.col("marker"))).count("marker") <= 3
+
+
+def test_variation_texts(spark):
+    looks = spark.createDataFrame([(1, "g"), (12, "g"), (2, "g"), (3, "h"), (4, None), (-5, "g"), (21, "g")], "id long, variationGroup string")
+    want = {r.id: ",".join(map(str, r.others)) for r in community.variations(looks).collect()}
+    assert {r.id: r.others for r in community.variation_texts(looks).collect()} == want
+    assert want[1] == "-5,2,12,21" and want[3] == "" and want[4] == ""
