@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions import color
+from weft.functions import color, text
 from weft.operators import community, neardup
 
 
@@ -48,3 +48,10 @@ def test_variation_texts(spark):
     want = {r.id: ",".join(map(str, r.others)) for r in community.variations(looks).collect()}
     assert {r.id: r.others for r in community.variation_texts(looks).collect()} == want
     assert want[1] == "-5,2,12,21" and want[3] == "" and want[4] == ""
+
+
+def test_licence_searches_only_texts_with_a_part(spark):
+    said = {"CC<b>x</b>BY": None, "CC<b> BY-SA 4.0": "CC BY-SA 4.0", "c c0": None, "Public\tDomain": "Public domain", "pd": "Public domain", "PDM": "Public domain", "an Apache 2": "Apache-2.0", "BSD 3": "BSD-3-Clause", "the MIT": "MIT", "unlicense": "Unlicense", "submit": None, "": None, "cc by nc": None, "nothing of it": None}
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", text.license_name(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in got.collect()} == said
+    assert str(text.license_name(F.col("marker"))).count("marker") <= 3
