@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import color, text
-from weft.operators import community, neardup
+from weft.operators import advice, community, match, neardup
+from weft.sources.views import view
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -43,6 +46,25 @@ def test_colours_are_computed_once(spark, made):
     assert str(made(F.col("marker"))).count("marker") <= 3
 
 
+def test_all_pairs_are_made_by_all_cores(spark):
+    fabrics, styles = view(spark, SF, "fabrics"), view(spark, SF, "styles")
+    cores = spark.sparkContext.defaultParallelism
+    for pairs in (match.rank_styles(fabrics, styles, skin=0xFF8D5524), match.features(fabrics, styles), match.top_styles(fabrics, styles), advice.feature_vector(fabrics, styles)):
+        assert "CartesianProduct" not in _plan(pairs)
+        assert pairs.rdd.getNumPartitions() >= cores
+
+
+def test_top_styles_are_the_best_of_all_without_a_sort(spark):
+    fabrics, styles = view(spark, SF, "fabrics"), view(spark, SF, "styles")
+    wearer = {"skin": 0xFF8D5524, "measurements": (178, 68, 98), "anisotropy": 0.65, "favorites": ["kaba_gala"], "gender": "WOMEN"}
+    gone = styles.where("id = 'gown_evening'").select(F.col("id").alias("styleId"))
+    found = match.top_styles(fabrics, styles, 4, gone, **wearer)
+    assert "Window" not in _plan(found)
+    want = match.best_styles(match.rank_styles(fabrics, styles, gone, **wearer), 4)
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_variation_texts(spark):
     looks = spark.createDataFrame([(1, "g"), (12, "g"), (2, "g"), (3, "h"), (4, None), (-5, "g"), (21, "g")], "id long, variationGroup string")
     want = {r.id: ",".join(map(str, r.others)) for r in community.variations(looks).collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft import schema as S
 from weft.functions.color import skin_harmony
-from weft.operators.match import COLOR_PAIRS, STYLE_PAIRS, compatible, outfit_confidence, suits_gender
+from weft.operators.match import COLOR_PAIRS, STYLE_PAIRS, compatible, dealt, outfit_confidence, suits_gender
 
 # The server's own sets of silhouettes.
 SERVER_LARGE = ("KABA", "MODERN_KABA", "MAXI", "GOWN", "AGBADA", "KAFTAN", "SMOCK")
@@ -103,20 +103,23 @@ def feature_vector(fabrics: DataFrame, styles: DataFrame, skin: int | None = Non
     c = F.col
     silhouette, clamp = c("s.silhouette"), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     stiff = F.element_at(F.create_map(*[F.lit(x) for k, v in S.STRUCTURE.items() for x in (k, v)]), c("f.texture"))
+    known = dealt(fabrics)
+    known = known if skin is None else known.withColumn("_harmony", skin_harmony(F.col("colors.argb"), F.lit(skin)))
+    rows = known.alias("f").join(F.broadcast(styles.alias("s")))  # no product of partitions, which would make the styles again for each
     height, waist, hip = measurements or (None, None, None)
     waist_fit, height_fit = F.lit(0.0), F.lit(0.0)
     if waist is not None and hip:
         waist_fit = F.when(F.lit(waist / hip < 0.78) & silhouette.isin(S.WAIST_DEFINED), 1.0).when(F.lit(waist / hip >= 0.85) & silhouette.isin(S.LARGE_PANEL), 0.8).otherwise(0.3)
     if height is not None:
         height_fit = F.when(F.lit(height >= 175) & silhouette.isin(S.TALL) | F.lit(140 <= height <= 162) & silhouette.isin(S.ELONGATING), 1.0).otherwise(0.25)
-    vector = F.array(
+    vector = [
         stiff, clamp(c("s.structure")), clamp(c("f.motifScale")), _flag(silhouette.isin(S.LARGE_PANEL)), _flag(silhouette.isin(S.FITTED)), _flag(F.array_contains("s.affinity", c("f.category"))),
         clamp(F.size(F.array_intersect("f.suggestedUses", "s.occasions")) / F.greatest(F.size("s.occasions"), F.lit(1))), clamp(c("f.saturation")),
-        _flag(c("f.category").isin(S.TRADITIONAL_CLOTHS) & (c("s.category") == "TRADITIONAL")), F.lit(0.5) if skin is None else clamp(skin_harmony(c("f.colors.argb"), F.lit(skin))),
+        _flag(c("f.category").isin(S.TRADITIONAL_CLOTHS) & (c("s.category") == "TRADITIONAL")), F.lit(0.5) if skin is None else clamp(c("f._harmony")),
         F.lit(min(max(anisotropy or 0.0, 0.0), 1.0)), _flag(silhouette.isin(S.PANEL_ALIGNED)), waist_fit, height_fit,
         F.when(c("s.id").isin(list(favorites)), 1.0).when(c("s.category").isin(list(loved)), 0.5).otherwise(0.0), F.lit(0.0) if gender is None else _flag(suits_gender(c("s.gender"), gender)),
-    )
-    return fabrics.alias("f").join(styles.alias("s")).select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), F.transform(vector, lambda x: x.cast("double")).alias("features"))
+    ]
+    return rows.select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), F.array(*[x.cast("double") for x in vector]).alias("features"))
 
 
 def server_rank(fabrics: DataFrame, styles: DataFrame, anisotropy: float, undertone: str, waist: int, hip: int, height: int, gender: str = "ALL") -> DataFrame:
@@ -131,7 +134,7 @@ def server_rank(fabrics: DataFrame, styles: DataFrame, anisotropy: float, undert
     )
     whole = F.least(F.lit(98.0), F.greatest(F.lit(48.0), F.bround(F.round(score, 6), 0))).cast("int")
     title = F.initcap(F.replace(F.col("s.id"), F.lit("_"), F.lit(" ")))
-    return fabrics.alias("f").join(s.alias("s")).select(F.col("f.id").alias("fabricId"), F.col("s.id").alias("styleId"), title.alias("title"), whole.alias("score"))
+    return dealt(fabrics).alias("f").join(F.broadcast(s.alias("s"))).select(F.col("f.id").alias("fabricId"), F.col("s.id").alias("styleId"), title.alias("title"), whole.alias("score"))
 
 
 def ranked_for(ranked: DataFrame, styles: DataFrame, gender: str | None = None, occasions: list[str] = ()) -> DataFrame:

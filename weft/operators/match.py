@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,49 @@ def _lookup(c: Column, table: dict, otherwise) -> Column:
     return out
 
 
+def _fit(f: Callable[[str], Column], s: Callable[[str], Column], harmony: Column | None, loved: list[str], measurements: tuple | None, anisotropy: float | None, favorites: list[str], gender: str | None) -> Column:
+    """The score, 5 to 98, of a fabric with a style, whose fields f and s give; stiff is the fabric's texture as a number."""
+    silhouette = s("silhouette")
+    common = F.size(F.array_intersect(f("suggestedUses"), s("occasions")))
+    score = (
+        F.lit(30.0) + F.when(F.array_contains(s("affinity"), f("category")), 18.0).otherwise(0.0) + 10.0 * (1.0 - F.abs(f("stiff") - s("structure"))) + F.when(_of(f("pattern"), S.STRUCTURED), 6.0).otherwise(4.0)
+        + F.when((f("motifScale") > 0.55) & _of(silhouette, S.LARGE_PANEL), 8.0).when((f("motifScale") < 0.35) & _of(silhouette, S.FITTED), 8.0).otherwise(0.0)
+        + 12.0 * common / F.greatest(F.size(s("occasions")), F.lit(1)) + F.when((f("saturation") > 0.5) | (f("saturation") < 0.3), 6.0).otherwise(0.0)
+        + F.when(_of(f("category"), S.TRADITIONAL_CLOTHS) & (s("category") == "TRADITIONAL"), 8.0).otherwise(0.0)
+    )
+    if harmony is not None:
+        score += (harmony - 0.5) * 10.0
+    if anisotropy is not None and anisotropy >= 0.35:
+        score += F.when(_of(silhouette, S.PANEL_ALIGNED), 5.0 * min(anisotropy, 1.0)).otherwise(0.0)
+    if measurements:
+        score += measurement_bonus(silhouette, *measurements)
+    if favorites:
+        score += F.when(s("id").isin(list(favorites)), 5.0).when(s("category").isin(loved), 2.5).otherwise(0.0)
+    if gender:
+        score += F.when(suits_gender(s("gender"), gender), 3.0).otherwise(0.0)
+    return F.greatest(F.lit(5), F.least(F.lit(98), F.round(score, 4).cast("int")))
+
+
+def dealt(fabrics: DataFrame) -> DataFrame:
+    """Fabrics in a few parts for each core: their table is short, so one or two tasks would read it and make all pairs."""
+    return fabrics.repartition(4 * fabrics.sparkSession.sparkContext.defaultParallelism, "id")
+
+
+def _fabrics(fabrics: DataFrame, skin: int | None) -> DataFrame:
+    """Fabrics with what follows from each alone: stiff, and harmony with a skin tone if there is one."""
+    out = dealt(fabrics).withColumn("stiff", _lookup(F.col("texture"), S.STRUCTURE, None).cast("double"))
+    return out if skin is None else out.withColumn("harmony", skin_harmony(F.col("colors.argb"), F.lit(skin)))
+
+
+def _shown(styles: DataFrame, dismissed: DataFrame | None) -> DataFrame:
+    return styles if dismissed is None else styles.join(dismissed, styles.id == dismissed.styleId, "left_anti")
+
+
+def _loved(styles: DataFrame, favorites: list[str]) -> list[str]:
+    """The categories of the favourites."""
+    return [r[0] for r in styles.where(F.col("id").isin(list(favorites))).select("category").distinct().collect()] if favorites else []
+
+
 def measurement_bonus(silhouette: Column, height: int | None, waist: int | None, hip: int | None) -> Column:
     out = F.lit(0.0)
     if waist is not None and hip:
@@ -50,31 +95,10 @@ def rank_styles(fabrics: DataFrame, styles: DataFrame, dismissed: DataFrame | No
     The catalogue of styles has a few dozen rows, so each fabric is scored against all of them in place, without a shuffle. The sum is rounded to four places
     before it is cut to a whole number, so engines agree on scores that are whole.
     """
-    shown = styles.join(dismissed, styles.id == dismissed.styleId, "left_anti") if dismissed is not None else styles
-    f, s = fabrics.alias("f"), F.broadcast(shown.alias("s"))
-    loved = [r[0] for r in styles.where(F.col("id").isin(list(favorites))).select("category").distinct().collect()] if favorites else []
+    f, s = _fabrics(fabrics, skin).alias("f"), F.broadcast(_shown(styles, dismissed).alias("s"))
     c = F.col
-    silhouette = c("s.silhouette")
-    stiff = _lookup(c("f.texture"), S.STRUCTURE, None).cast("double")
-    common = F.size(F.array_intersect("f.suggestedUses", "s.occasions"))
-    score = (
-        F.lit(30.0) + F.when(F.array_contains("s.affinity", c("f.category")), 18.0).otherwise(0.0) + 10.0 * (1.0 - F.abs(stiff - c("s.structure"))) + F.when(_of(c("f.pattern"), S.STRUCTURED), 6.0).otherwise(4.0)
-        + F.when((c("f.motifScale") > 0.55) & _of(silhouette, S.LARGE_PANEL), 8.0).when((c("f.motifScale") < 0.35) & _of(silhouette, S.FITTED), 8.0).otherwise(0.0)
-        + 12.0 * common / F.greatest(F.size("s.occasions"), F.lit(1)) + F.when((c("f.saturation") > 0.5) | (c("f.saturation") < 0.3), 6.0).otherwise(0.0)
-        + F.when(_of(c("f.category"), S.TRADITIONAL_CLOTHS) & (c("s.category") == "TRADITIONAL"), 8.0).otherwise(0.0)
-    )
-    if skin is not None:
-        score += (skin_harmony(c("f.colors.argb"), F.lit(skin)) - 0.5) * 10.0
-    if anisotropy is not None and anisotropy >= 0.35:
-        score += F.when(_of(silhouette, S.PANEL_ALIGNED), 5.0 * min(anisotropy, 1.0)).otherwise(0.0)
-    if measurements:
-        score += measurement_bonus(silhouette, *measurements)
-    if favorites:
-        score += F.when(c("s.id").isin(list(favorites)), 5.0).when(c("s.category").isin(loved), 2.5).otherwise(0.0)
-    if gender:
-        score += F.when(suits_gender(c("s.gender"), gender), 3.0).otherwise(0.0)
-    whole = F.greatest(F.lit(5), F.least(F.lit(98), F.round(score, 4).cast("int")))
-    return f.join(s).select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), c("s.ordinal").alias("ordinal"), whole.alias("score"))
+    score = _fit(lambda k: c(f"f.{k}"), lambda k: c(f"s.{k}"), None if skin is None else c("f.harmony"), _loved(styles, favorites), measurements, anisotropy, favorites, gender)
+    return f.join(s).select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), c("s.ordinal").alias("ordinal"), score.alias("score"))
 
 
 def suits_gender(c: Column, gender: str | None) -> Column:
@@ -87,6 +111,20 @@ def best_styles(ranked: DataFrame, n: int = 3) -> DataFrame:
     return ranked.withColumn("place", place).where(F.col("place") <= n)
 
 
+def top_styles(fabrics: DataFrame, styles: DataFrame, n: int = 3, dismissed: DataFrame | None = None, skin: int | None = None, measurements: tuple | None = None, anisotropy: float | None = None, favorites: list[str] = (), gender: str | None = None) -> DataFrame:
+    """best_styles() of rank_styles(), for a row a fabric: each is scored against the whole catalogue, which is one broadcast row of a few dozen styles, and its best are
+    kept where it is, so that no pair is shuffled or sorted."""
+    fields = ["id", "ordinal", "category", "silhouette", "structure", "occasions", "affinity", "gender"]
+    whole = _shown(styles, dismissed).agg(F.collect_list(F.struct(*fields)).alias("_styles"))
+    loved = _loved(styles, favorites)
+    kept = ["id", "category", "pattern", "stiff", "motifScale", "saturation", "suggestedUses", *(["harmony"] if skin is not None else [])]
+    rows = _fabrics(fabrics, skin).select(F.struct(*kept).alias("f")).crossJoin(F.broadcast(whole))
+    score = lambda s: _fit(lambda k: F.col(f"f.{k}"), lambda k: s[k], None if skin is None else F.col("f.harmony"), loved, measurements, anisotropy, favorites, gender)
+    place = F.array_sort(F.transform("_styles", lambda s: F.struct((-score(s)).alias("less"), s["ordinal"].alias("ordinal"), s["id"].alias("styleId"))))
+    best = rows.select(F.col("f.id").alias("fabricId"), F.posexplode(F.slice(place, 1, n)).alias("at", "s"))
+    return best.select("fabricId", "s.styleId", "s.ordinal", (-F.col("s.less")).alias("score"), (F.col("at") + 1).alias("place"))
+
+
 def features(fabrics: DataFrame, styles: DataFrame) -> DataFrame:
     """fabricId, styleId and target: the closed form over a pair's features, 0.05 to 0.98, without a wearer."""
     c = F.col
@@ -98,7 +136,7 @@ def features(fabrics: DataFrame, styles: DataFrame) -> DataFrame:
         + 0.12 * (F.size(F.array_intersect("f.suggestedUses", "s.occasions")) / F.greatest(F.size("s.occasions"), F.lit(1))) + 0.06 * F.abs(c("f.saturation") - 0.4)
         + 0.08 * flag(_of(c("f.category"), S.TRADITIONAL_CLOTHS) & (c("s.category") == "TRADITIONAL"))
     )
-    return fabrics.alias("f").join(F.broadcast(styles.alias("s"))).select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw)), 4).alias("target"))
+    return dealt(fabrics).alias("f").join(F.broadcast(styles.alias("s"))).select(c("f.id").alias("fabricId"), c("s.id").alias("styleId"), F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw)), 4).alias("target"))
 
 
 def compatible(a: Column, b: Column, table: dict[str, str]) -> Column:
