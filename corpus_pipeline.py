@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, line_dedup, minhash, mixing, toxicity
-from weft.llm.common import stored
+from weft.llm.common import rest, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more. Null and empty texts are near nothing and stay."""
+    rest(spark)
     return minhash.one_of_each(docs).select(docs.columns)
 
 

@@ -1,9 +1,11 @@
 """Every labelled row takes part in the classifier: none of them is only in a sample's place."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from weft.llm import toxicity
+from weft.llm import common, toxicity
 
 
 def _labelled(spark, n=2000):
@@ -43,3 +45,23 @@ def test_parts_are_averaged(spark):
     again = toxicity.ConvNet()
     toxicity.refine(known.repartition(7), again, sums, "text", "doc_id", 2000, part=300)
     assert np.array_equal(net.emb, again.emb) and not np.array_equal(net.emb, start) and np.isfinite(net.emb).all()
+
+
+def test_driver_gives_garbage_of_its_jvm_back(spark, monkeypatch):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    ref = jvm.java.lang.ref.WeakReference(gateway.new_array(jvm.byte, 1 << 20))
+    common.rest(spark)
+    assert ref.get() is None
+    times = []
+    monkeypatch.setattr(toxicity, "rest", times.append)
+    toxicity.train(*_labelled(spark, 60))
+    assert len(times) == 3  # before the texts come, after the first fit, after the thresholds
+
+
+def test_buckets_of_many_words_take_little_memory():
+    words = [b"word%d" % i for i in range(100_000)]
+    tracemalloc.start()
+    rows = toxicity.bucket_rows(words, len(words), 1 << 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows[:50].tolist() == [toxicity.buckets_of(w, 1 << 17) for w in words[:50]] and peak < 2 * rows.nbytes + 100_000

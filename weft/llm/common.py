@@ -86,6 +86,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """give_back() for the driver as a whole: a full collection in its JVM returns the free heap to the system, and Spark then removes the broadcasts and
+    shuffles that nothing names any more. For moments when Python needs memory itself or much has just become garbage."""
+    give_back()  # first, for Python's objects hold some of the JVM's
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has the columns; an error that names the missing ones otherwise."""
     if missing := [n for n in names if n not in df.columns]:

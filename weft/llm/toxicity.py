@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import WORD, checked, give_back, stored, text_of, tidy
+from weft.llm.common import WORD, checked, rest, stored, text_of, tidy
 
 #: Bytes that are no part of a word become blanks: ASCII but for letters, digits and the underscore.
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
@@ -32,6 +32,12 @@ def buckets_of(word: bytes, size: int) -> list[int]:
     return [zlib.crc32(word) % size] + [zlib.crc32(word[:p], 7 + p) % size for p in PREFIXES]
 
 
+def bucket_rows(words: Iterable[bytes], n: int, size: int) -> np.ndarray:
+    """buckets_of() the n words, a row each, without a Python list for every word."""
+    wide = 1 + len(PREFIXES)
+    return np.fromiter((b for w in words for b in buckets_of(w, size)), np.int32, n * wide).reshape(-1, wide)
+
+
 @dataclass
 class ConvNet:
     """Filters of several widths over the words, their maxima over the whole text, and a logistic unit on these.
@@ -201,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).alias("__weft_y"))
     known = docs.select(id).distinct().join(marks, id)
     shares = {r[0]: r[1] for r in known.groupBy("__weft_y").count().collect()}
-    net = ConvNet()
+    net, spark = ConvNet(), docs.sparkSession
     if len(shares) < 2:
         net.top[:] = 0
         net.base[:] = 30.0 if shares.get(1) else -30.0
@@ -221,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     id_kind = docs.schema[id].dataType
     end = F.struct(F.lit(last[0]).cast("long").alias("h"), F.lit(last[1]).cast(id_kind).alias("i"), F.lit(last[2]).cast("long").alias("t"))
     sample = sample.where(F.col("__weft_key") <= end).dropDuplicates(["__weft_key"]).sort("__weft_key")
+    rest(spark)  # before the texts come and the weights start here
     vocab: dict[bytes, int] = {}
     own, said = [], []
     for batch in sample.select("__weft_text", "__weft_y").toArrow().to_batches(max_chunksize=200):
@@ -228,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             words = words_of(t.as_py())
             own.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
             said.append(y.as_py())
-    rows = np.array([buckets_of(w, net.size) for w in vocab], dtype=np.int32).reshape(-1, 1 + len(PREFIXES))
+    rows = bucket_rows(vocab, len(vocab), net.size)
     vocab.clear()
     y = np.array(said, dtype=np.float32)
     ones, odds = float(y.sum()), shares[1] / shares[0]
@@ -237,11 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     # the sample holds more toxic rows than there are among all
     net.base += np.float32(np.log(odds) - np.log(max(ones, 1) / max(len(y) - ones, 1)))
     del own, rows
-    give_back()
+    rest(spark)
     if not few:
         refine(docs.join(learnt, id), net, sums, text, id, total)
     net.thresholds = thresholds(docs.join(kept, id), net, text, id, lang)
-    give_back()
+    rest(spark)
     return net
 
 
@@ -264,7 +271,7 @@ def refine(docs: DataFrame, net: ConvNet, sums: list[np.ndarray], text: str, id:
         def learn() -> int:
             vocab: dict[bytes, int] = {}
             docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)) for words, _ in waiting]
-            rows = np.array([buckets_of(w, own.size) for w in vocab], dtype=np.int32).reshape(-1, 1 + len(PREFIXES))
+            rows = bucket_rows(vocab, len(vocab), own.size)
             own.fit(docs, rows, np.array([y for _, y in waiting], dtype=np.float32), 1, rate=rate, sums=sums)
             done = len(waiting)
             waiting.clear()
