@@ -244,3 +244,20 @@ def test_each_text_once_is_as_all_copies(spark, docs):
         assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 and abs(a[5] - b[5]) < 0.01 for a, b in zip(sorted(map(tuple, got), key=odd), sorted(map(tuple, want), key=odd), strict=True))
     none = lm_scoring.distinct_texts(copied.where("false"), learned=train)
     assert none.count() == 0 and lm_scoring.for_copies(copied.where("false"), lm_scoring.score(none.drop("learned"), m, counts, keep_text=False)).count() == 0
+
+
+def test_ids_stored_with_texts_are_those_found_anew(spark, docs, monkeypatch):
+    """One pass gives ids and counts; learning and scoring by them are as from the texts, and don't split words into subwords again."""
+    rows, counts = lm_scoring.with_ids(docs, lm_path())
+    sub = lm_scoring.Subwords(lm_path(), most=3, most_bytes=10)  # forgets again and again
+    for r in rows.collect():
+        assert np.frombuffer(r[lm_scoring.IDS], np.uint16).tolist() == sub.of(lm_scoring.words_of(r.text))
+    assert rows.count() == docs.count() and sorted(counts.select("word", "c").collect()) == sorted(lm_scoring.count_words(docs).collect())
+    assert all(r.sub == (sub.of([r.word])[0] if r.word else -1) for r in counts.collect())
+    m, c = lm_scoring.train(rows, lm_path(), steps=8, common=3, counts=counts)
+    again, _ = lm_scoring.train(docs, lm_path(), steps=8, common=3)
+    assert all(np.allclose(m.net.p[k], again.net.p[k], atol=1e-6) for k in m.net.p)
+    found, want = (sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lm_scoring.score(x, m, c).collect()) for x in (rows, docs))
+    assert found == want and lm_scoring.score(rows, m, c).columns[:2] == docs.columns
+    m.path = "nowhere"
+    assert lm_scoring.score(rows, m, c).count() == docs.count()  # with ids, no tokenizer is read

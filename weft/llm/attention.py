@@ -103,7 +103,7 @@ class Attention:
         np.minimum(s, 40, out=s)
         np.exp(s, out=s)
         s *= self.before[lo:]
-        s /= s.sum(axis=2, keepdims=True)
+        s /= (s @ np.ones(s.shape[2], s.dtype))[..., None]
         return s
 
     @staticmethod
@@ -135,7 +135,9 @@ class Attention:
         """Natural logarithms of the probabilities of the wanted units after hidden states."""
         p = self.p
         outer, at, runs = self._inner(wanted)
-        got = self._chosen(h, p["out"], p["bias"], outer)
+        got = np.empty(len(h))
+        for i in range(0, len(h), 4096):  # what the processor's cache holds
+            got[i : i + 4096] = self._chosen(h[i : i + 4096], p["out"], p["bias"], outer[i : i + 4096])
         hs, ws = h[at], (wanted[at] - self.heads) % self.wide
         for g, a, b in runs:
             got[at[a:b]] += self._chosen(hs[a:b], p["out2"][g], p["bias2"][g], ws[a:b])
@@ -144,7 +146,8 @@ class Attention:
     def hidden(self, units: np.ndarray) -> tuple[np.ndarray, ...]:
         """units: windows x width. All windows at once; a place sees itself and those before it."""
         p, d = self.p, self.dim
-        x = p["emb"][units] + p["pos"]
+        x = p["emb"].take(units, axis=0)
+        x += p["pos"]
         qkv = _rows(x, p["qkv"])
         q, k, v = qkv[..., :d] * np.float32(1 / math.sqrt(d)), qkv[..., d : 2 * d], qkv[..., 2 * d :]
         s = self._weights(q, k)
@@ -161,29 +164,39 @@ class Attention:
     def score(self, units: np.ndarray, wanted: np.ndarray, tables: tuple[np.ndarray, np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray]:
         """The windows of all places with wanted >= 0, in order, and the logarithms of their wanted units. Windows that count in
         their last step places only have queries there only; keys and values are of the whole window."""
-        d, late, rows, got = self.dim, self.width - step, [], []
+        d, late, rows, states, next_ones = self.dim, self.width - step, [], [], []
         early = (wanted[:, :late] >= 0).any(axis=1)
         for which, lo in ((np.flatnonzero(early), 0), (np.flatnonzero(~early), late)):
-            if not len(which):
-                continue
-            u, w = units[which], wanted[which, lo:]
-            both = tables[0][u] + tables[1]
-            s = self._weights(both[:, lo:, d : 2 * d], both[:, :, 2 * d : 3 * d], lo)
-            o = s @ both[:, :, 3 * d :]
-            r, c = np.nonzero(w >= 0)
-            rows.append(which[r])
-            got.append(self.choice(both[r, c + lo, :d] + o[r, c] @ self.p["o"], w[r, c]))
-        rows, got = np.concatenate(rows), np.concatenate(got)
+            for i in range(0, len(which), 128):  # what the processor's cache holds
+                some = which[i : i + 128]
+                u, w = units[some], wanted[some, lo:]
+                both = tables[0].take(u, axis=0)
+                both += tables[1]
+                s = self._weights(both[:, lo:, d : 2 * d], both[:, :, 2 * d : 3 * d], lo)
+                o = s @ both[:, :, 3 * d :]
+                r, c = np.nonzero(w >= 0)
+                rows.append(some[r])
+                next_ones.append(w[r, c])
+                states.append(both[r, c + lo, :d] + o[r, c] @ self.p["o"])
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0)
+        rows, got = np.concatenate(rows), self.choice(np.concatenate(states), np.concatenate(next_ones))
         order = np.argsort(rows, kind="stable")
         return rows[order], got[order]
 
     @staticmethod
     def _slope(z: np.ndarray, wanted: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """The gradient of the losses of places, each with its share, with regard to the outputs, in place of these."""
-        if not (z.max(initial=0) < 60 and z.min(initial=0) > -60):  # else no sum leaves the range of float32
+        """The gradient of the losses of places, each with its share, with regard to the outputs, which may be changed."""
+        ones = np.ones(z.shape[1], z.dtype)
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+            total = e @ ones
+        if not (total.min(initial=1.0) > 1e-30 and total.max(initial=1.0) < 1e30):  # out of the range of float32
             z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+            e = np.exp(z)
+            total = e @ ones
+        z = e
+        z *= (share / total)[:, None]
         z[np.arange(len(z)), wanted] -= share
         return z
 
@@ -198,14 +211,19 @@ class Attention:
         share = (share / share.sum()).astype(np.float32)
         hs = flat(h)[places]
         outer, at, runs = self._inner(w)
-        z = self._slope(hs @ p["out"] + p["bias"], outer, share)
-        g = {"out": hs.T @ z, "bias": z.sum(axis=0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
+        z = hs @ p["out"]
+        z += p["bias"]
+        z = self._slope(z, outer, share)
+        ones = np.ones(len(z), z.dtype)
+        g = {"out": hs.T @ z, "bias": ones @ z, "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
         back = z @ p["out"].T
         h2, share2, w2 = hs[at], share[at], (w[at] - self.heads) % self.wide
         back2 = np.empty_like(h2)
         for i, a, b in runs:
-            z = self._slope(h2[a:b] @ p["out2"][i] + p["bias2"][i], w2[a:b], share2[a:b])
-            g["out2"][i], g["bias2"][i] = h2[a:b].T @ z, z.sum(axis=0)
+            z = h2[a:b] @ p["out2"][i]
+            z += p["bias2"][i]
+            z = self._slope(z, w2[a:b], share2[a:b])
+            g["out2"][i], g["bias2"][i] = h2[a:b].T @ z, ones[: b - a] @ z
             back2[a:b] = z @ p["out2"][i].T
         back[at] += back2
         dh = np.zeros_like(h)
@@ -213,7 +231,7 @@ class Attention:
         g["o"] = flat(o).T @ flat(dh)
         do = _rows(dh, p["o"].T)
         ds = do @ v.transpose(0, 2, 1)
-        ds -= (ds * s).sum(axis=2, keepdims=True)
+        ds -= np.einsum("bij,bij->bi", ds, s)[..., None]
         ds *= s
         dqkv = np.concatenate([(ds @ k) * np.float32(1 / math.sqrt(d)), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do], axis=2)
         g["qkv"] = flat(x).T @ flat(dqkv)

@@ -25,6 +25,8 @@ from weft.llm.common import checked, row_hash, stored, text_of, tidy
 
 #: Fixed value: how a file says that it splits by the pattern of byte-level BPE.
 PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: The column of with_ids().
+IDS = "__weft_ids"
 #: The key of the end of a text among the words, none of which is empty.
 END_WORD = b""
 
@@ -50,7 +52,7 @@ class Subwords:
     stand in the order of its merges, so that the ids are the ranks. All other words are encoded by the library, each alone.
     """
 
-    def __init__(self, path: str, most: int = 200_000, most_bytes: int = 20_000_000, together: int = 100):
+    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 20_000_000, together: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,7 +73,15 @@ class Subwords:
 
             ranks = {bytes(back[c] for c in t): i for t, i in plain.items()}
             self.fast = tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {}  # of remembered words, in order
+        self.first = np.zeros(1024, np.int32)  # by number
+
+    def full(self) -> bool:
+        return len(self.number) > self.most or self.bytes > self.most_bytes
+
+    def forget(self) -> None:
+        self.number.clear()
+        self.bytes = 0
 
     def _together(self, texts: list[str]) -> list[int] | None:
         """The first ids of the words, if they can be found in one string."""
@@ -85,23 +95,31 @@ class Subwords:
     def _alone(self, texts: list[str]) -> list[int]:
         return [e.ids[0] for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    def of(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.words.get, words))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, which hold until forget()."""
+        found = list(map(self.number.get, words))
         if None in found:
-            if len(self.words) > self.most or self.bytes > self.most_bytes:
-                self.words.clear()
-                self.bytes = 0
-            new = [w for w in dict.fromkeys(words) if w not in self.words]
+            new = [w for w in dict.fromkeys(words) if w not in self.number]
+            at = len(self.number)
+            while len(self.first) < at + len(new):
+                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             for i in range(0, len(new), self.together):
                 some = new[i : i + self.together]
-                texts = [w.decode("utf-8", "replace") for w in some]
+                texts = b" ".join(some).decode("utf-8", "replace").split(" ")
                 first = self._together(texts)
                 if first is None:
                     first = [(self._together([t]) or self._alone([t]))[0] for t in texts]
-                self.words.update(zip(some, first, strict=True))
+                self.first[at + i : at + i + len(some)] = first
+            self.number.update(zip(new, range(at, at + len(new)), strict=True))
             self.bytes += sum(map(len, new))
-            found = list(map(self.words.__getitem__, words))
-        return found
+            found = list(map(self.number.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def of(self, words: list[bytes]) -> list[int]:
+        if self.full():
+            self.forget()
+        numbers = self.numbers(words)
+        return self.first[numbers].tolist()
 
 
 @functools.lru_cache(maxsize=1)
@@ -120,15 +138,15 @@ class Model:
         self.log_all = math.log10(tokens + 0.5 * (types + 1))
 
 
-def distinct_texts(docs: DataFrame, text: str = "text", **folds: Column) -> DataFrame:
-    """Each different text of docs (null as empty) once, with copies, its number of rows, and of those in each fold, in a written table.
+def distinct_texts(docs: DataFrame, text: str = "text", written: bool = True, **folds: Column) -> DataFrame:
+    """Each different text of docs (null as empty) once, with copies, its number of rows, and of those in each fold, in a written table (or not yet, for a next step that writes).
 
     The rows of a text are counted in each task first, so no group of copies comes together anywhere.
     """
     checked(docs, text)
     sums = [F.sum(F.when(fold, 1).otherwise(0)).cast("long").alias(name) for name, fold in folds.items()]
     found = docs.groupBy(text_of(text).alias(text)).agg(F.count("*").alias("copies"), *sums)
-    return stored(found, "texts")
+    return stored(found, "texts") if written else found
 
 
 def _key(text: str) -> list[Column]:
@@ -179,11 +197,77 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000, copie
     return docs.select(text, _times(copies)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def with_ids(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, batch_words: int = 30_000) -> tuple[DataFrame, DataFrame]:
+    """docs with the column IDS, the first subword ids of each text's words (id_kind(), one behind the other), and the counts (word, c, sub) of the words
+    of all docs as count_words() gives them, with each word's first id; both in one written table, so each text is split once for both.
+
+    A task's words are counted by the numbers they are remembered under; the counts go out when that memory is full, and at the end.
+    """
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields] + T.StructType.fromDDL(f"{IDS} binary, __weft_word binary, __weft_c long, __weft_sub int").fields)
+    at = docs.columns.index(text)
+    times = None if copies is None else docs.columns.index(copies)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, counts, ends = subwords(path), np.zeros(0), 0
+        as_ids = id_kind(sub.model.get_vocab_size())
+
+        def out(kinds: pa.Schema, rest: bool) -> Iterator[pa.RecordBatch]:
+            seen = np.flatnonzero(counts)
+            words, c, first = list(sub.number) if len(seen) else [], counts[seen].astype(np.int64), sub.first[seen]
+            words = [words[i] for i in seen.tolist()]
+            if rest and ends:
+                words, c, first = [*words, END_WORD], np.append(c, ends), np.append(first, -1)
+            for i in range(0, len(words), 100_000):
+                own = [pa.array(x[i : i + 100_000], k) for x, k in ((words, pa.binary()), (c, pa.int64()), (first, pa.int32()))]
+                n = len(own[0])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in kinds), pa.nulls(n, pa.binary()), *own], kind.names)
+
+        def some(rows: pa.RecordBatch, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+            nonlocal counts, ends
+            if sub.full():
+                yield from out(rows.schema, False)
+                sub.forget()
+                counts = np.zeros(0)
+            words = list(map(words_of, texts))
+            sizes = np.array(list(map(len, words)), np.int64)
+            found = sub.numbers([w for x in words for w in x])
+            n = np.ones(len(texts)) if times is None else rows.column(times).to_numpy(zero_copy_only=False).astype(np.float64)
+            new = np.bincount(found, np.repeat(n, sizes), len(sub.number))  # exact below 2 ** 53
+            new[: len(counts)] += counts
+            counts, ends = new, ends + int(n.sum())
+            offsets = np.concatenate([[0], np.cumsum(sizes * as_ids.itemsize)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(sub.first[found].astype(as_ids))])
+            none = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.nulls(len(texts), pa.binary()), none, none.cast(pa.int32())], kind.names)
+
+        kinds = None
+        for batch in batches:
+            kinds, texts, start, size = batch.schema, [], 0, 0
+            for i, t in enumerate(batch.column(at)):
+                texts.append(t.as_py())
+                size += 1 + len(texts[-1] or "") // 6  # about its words
+                if size >= batch_words or i == batch.num_rows - 1:
+                    yield from some(batch.slice(start, len(texts)), texts)
+                    texts, start, size = [], i + 1, 0
+        if kinds is not None:
+            yield from out(kinds, True)
+
+    both = stored(docs.mapInArrow(run, kind), "ids")
+    words = both.where("__weft_word is not null").groupBy(F.col("__weft_word").alias("word")).agg(F.sum("__weft_c").alias("c"), F.max("__weft_sub").alias("sub"))
+    return both.where(f"{IDS} is not null").select(*[F.col(f"`{c}`") for c in docs.columns], IDS), stored(words.where("c > 0"), "counts")
+
+
+def id_kind(ids: int) -> np.dtype:
+    """How first subword ids lie in IDS, by how many there may be."""
+    return np.dtype(np.uint16 if ids <= 1 << 16 else np.int32)
+
+
 def _times(copies: str | None) -> Column:
     return (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("__weft_n")
 
 
-def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, common: int = 100_000, fit_windows: int = 4096, steps: int = 384, dim: int = 16, width: int = 32) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, common: int = 100_000, fit_windows: int = 4096, steps: int = 384, dim: int = 16, width: int = 32, counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """The model and the counts (word, c) of all words of docs.
 
     path: a byte-level BPE file of the tokenizers library. A word's place in the sequence is its first subword id; every id of the
@@ -191,21 +275,16 @@ def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = N
     the masses of the ids, are over all docs. They stay a table; the driver gets one row for each id (a fixed number) and the common
     most frequent words.
 
+    counts: those of with_ids(), if docs are rows that it gave for the same path, text and copies; else it is called here.
     copies: a column with the number of rows that a row of docs stands for (distinct_texts); counts and losses have it as weight.
     The attention weights start from a fit of about so many steps on fit_windows windows (of the documents with the smallest hash of their
     row), the bound of what comes to the driver; then every word of every document of docs takes part in refine().
     """
-    counts = stored(count_words(docs, text, copies=copies), "counts")
-
-    @tidy
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sub.of(batch.column(0).to_pylist()), pa.int32()), batch.column(1)], ["sub", "c"])
-
+    if counts is None:
+        docs, counts = with_ids(docs, path, text, copies)
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (counts.where(F.length("word") == 0).first() or (b"", 0))[1]
-    by_sub = counts.where(F.length("word") > 0).mapInArrow(masses, "sub int, c long").groupBy("sub").agg((F.sum("c") + F.count("*") * 0.5).alias("mass"))
+    by_sub = counts.where(F.length("word") > 0).groupBy("sub").agg((F.sum("c") + F.count("*") * 0.5).alias("mass"))
     mass = np.full(Subwords(path).model.get_vocab_size(), 0.5)  # one unknown word for each id
     for r in by_sub.collect():  # at most the tokenizer's vocabulary
         mass[r[0]] += r[1]
@@ -213,10 +292,11 @@ def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = N
     top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(common).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     net = Attention(units, dim, width)
-    a, w = sample(docs, text, path, units, width, fit_windows)
+    counts = counts.select("word", "c")
+    a, w = sample(docs, units, width, fit_windows)
     if len(a):
         net.fit(a, w, -(-steps // -(-len(a) // 64)), 0.01, 64)
-        about = docs.agg(F.sum(1 + F.expr(f"coalesce(length(`{text}`), 0) div 6"))).first()[0]
+        about = docs.agg(F.sum(1 + F.expr(f"octet_length({IDS}) div {id_kind(len(units.unit)).itemsize}"))).first()[0]
         refine(docs, text, path, units, net, about, copies=copies)
     return Model(path, units, net, known, tokens, types), counts
 
@@ -227,9 +307,15 @@ def sequences(texts: list[str | None], sub: Subwords, units: Vocabulary) -> tupl
     return units.unit[np.array(sub.of([w for x in words for w in x]), np.int64)], np.array(list(map(len, words)), np.int64)
 
 
-def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """One window, named by the hash of its row, of each of the most documents with the smallest hashes."""
-    h = row_hash(docs, 9)
+def stored_sequences(ids: list[bytes], units: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The same from IDS."""
+    kind = id_kind(len(units.unit))
+    return units.unit[np.frombuffer(b"".join(ids), kind)], np.array(list(map(len, ids)), np.int64) // kind.itemsize
+
+
+def sample(docs: DataFrame, units: Vocabulary, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """One window, named by the hash of its row without IDS, of each of the most documents (with IDS) with the smallest hashes."""
+    h = row_hash(docs.drop(IDS), 9)
     last = docs.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
         return np.empty((0, width), np.int64), np.empty((0, width), np.int64)
@@ -237,17 +323,17 @@ def sample(docs: DataFrame, text: str, path: str, units: Vocabulary, width: int,
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, sub = shared.value, subwords(path)
+        units = shared.value
         for batch in batches:
             inputs, wanted = [], []
             for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                a, w, _ = windows(*sequences([t.as_py()], sub, units), units.start, width, width)
+                a, w, _ = windows(*stored_sequences([t.as_py()], units), units.start, width, width)
                 inputs.append(a[x % len(a)].tolist())
                 wanted.append(w[x % len(a)].tolist())
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(inputs, kind), pa.array(wanted, kind)], ["h", "a", "w"])
 
-    found = docs.select(text, h.alias("h")).where(F.col("h") <= last).mapInArrow(run, "h long, a array<int>, w array<int>").orderBy("h").limit(most).toArrow()
+    found = docs.select(IDS, h.alias("h")).where(F.col("h") <= last).mapInArrow(run, "h long, a array<int>, w array<int>").orderBy("h").limit(most).toArrow()
     return (np.array(found.column(k).to_pylist(), np.int64).reshape(-1, width) for k in ("a", "w"))
 
 
@@ -260,20 +346,21 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
     their numbers of windows (copies too), 64 at a time in three steps, so no task holds more than 64 sets of weights and the driver gets few.
     """
     shared = docs.sparkSession.sparkContext.broadcast((path, units, net))  # of fixed size
-    names = sorted(net.p)
+    names, known = sorted(net.p), IDS in docs.columns  # else the ids are found here
     parts = max(1, -(-tokens // part))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         path, units, own = shared.value
-        own, sub, total, k = copy.deepcopy(own), subwords(path), 0, None
+        own, total, k = copy.deepcopy(own), 0, None
+        wide = id_kind(len(units.unit)).itemsize
         memory = {"step": 0, "m": {x: np.zeros_like(v) for x, v in own.p.items()}, "u": {x: np.zeros_like(v) for x, v in own.p.items()}}
-        waiting: list[str | None] = []
+        waiting: list[bytes] | list[str | None] = []
         times: list[int] = []
 
         def learn() -> int:
-            a, w, who = windows(*sequences(waiting, sub, units), units.start, own.width, own.width)
+            a, w, who = windows(*(stored_sequences(waiting, units) if known else sequences(waiting, subwords(path), units)), units.start, own.width, own.width)
             n = np.array(times, np.int64)[who]
             waiting.clear()
             times.clear()
@@ -286,7 +373,7 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
             for t, k, n in zip(rows.column(0), rows.column(1), rows.column(2), strict=True):  # noqa: B007
                 waiting.append(t.as_py())
                 times.append(n.as_py())
-                size += 1 + len(waiting[-1] or "") // 6  # about its words
+                size += 1 + len(waiting[-1] or "") // (wide if known else 6)  # (about) its words
                 if size >= each * own.width:
                     total, size = total + learn(), 0
         if waiting:
@@ -300,8 +387,9 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
         sums = np.sum([np.frombuffer(w, np.float32) for w in table.w], axis=0, dtype=np.float64)
         return pd.DataFrame({"k": [int(table.k.iloc[0]) // 64], "n": [int(table.n.sum())], "w": [sums.astype(np.float32).tobytes()]})
 
-    dealt = docs.select(text, F.pmod(row_hash(docs, 5), F.lit(parts)).cast("int").alias("k"), row_hash(docs, 6).alias("h"), _times(copies))
-    found = dealt.repartitionById(parts, "k").sortWithinPartitions("h").select(text, "k", "__weft_n").mapInArrow(run, "k long, n long, w binary")
+    row, source = docs.drop(IDS), IDS if known else text
+    dealt = docs.select(F.col(f"`{source}`").alias("__weft_x"), F.pmod(row_hash(row, 5), F.lit(parts)).cast("int").alias("k"), row_hash(row, 6).alias("h"), _times(copies))
+    found = dealt.repartitionById(parts, "k").sortWithinPartitions("h").select("__weft_x", "k", "__weft_n").mapInArrow(run, "k long, n long, w binary")
     for _ in range(3):
         found = found.groupBy(F.expr("k div 64").alias("g")).applyInPandas(added, "k long, n long, w binary")
     rows = sorted((r["k"], r["n"], np.frombuffer(r["w"], np.float32).astype(np.float64)) for r in found.collect())
@@ -323,7 +411,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     window later each; within it a word has the share (c + 0.5) / (mass of all words there, with an unknown one for each id). Both are proper
     distributions over the known words and the unknown.
 
-    Without keep_text, the rows have the hashes that for_copies() joins by in place of the text. Counts of the common words are with the tasks; those of all others are joined, once for each document and
+    Rows of with_ids() bring their first subword ids. Without keep_text, the rows have the hashes that for_copies() joins by in place of the text. Counts of the common words are with the tasks; those of all others are joined, once for each document and
     word. Null and empty texts are one end. Repeated rows are rows of their own; an empty table gives an empty one; columns with the names
     of the new ones are replaced.
     """
@@ -331,7 +419,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     if not keep_text:
         docs = docs.select("*", *_key(text))
-    at, gone = docs.columns.index(text), set() if keep_text else {text}
+    at, gone = docs.columns.index(text), {IDS} if keep_text else {IDS, text}
+    ids_at = docs.columns.index(IDS) if IDS in docs.columns else None  # else they are found here
     names = [x for x in docs.columns if x not in gone]
     all_names = [*names, "n_tokens", "__weft_known", "__weft_log", "__weft_gain", "__weft_rare"]
     own = [i for i, x in enumerate(docs.columns) if x not in gone]
@@ -340,31 +429,31 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
-        m, sub = shared.value, subwords(shared.value.path)
+        m = shared.value
         log_c = {w: math.log10(c + 0.5) for w, c in m.common.items()}
         width, step, added = m.net.width, m.net.width * 3 // 4, m.net.tables()
-        rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("tf", pa.int32())]))
 
-        def some(texts: list[str | None]) -> list[pa.Array]:
+        def some(texts: list[str | None], ids: list[bytes] | None) -> list[pa.Array]:
             words = list(map(words_of, texts))
             every = [w for x in words for w in x]
             sizes = np.array(list(map(len, words)), np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             logs = np.array(list(map(log_c.get, every)), np.float64)  # None is NaN
             other = np.isnan(logs)
-            rare: list[Counter[bytes]] = [Counter() for _ in texts]
-            for i, k in zip(np.flatnonzero(other).tolist(), owner[other].tolist(), strict=True):
-                rare[k][every[i]] += 1
+            rare = Counter(zip(owner[other].tolist(), [every[i] for i in np.flatnonzero(other).tolist()], strict=True))  # in order of texts
+            of = np.fromiter((k for k, _ in rare), np.int64, len(rare))
+            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int32())], ["w", "tf"])
+            lists = pa.ListArray.from_arrays(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32), pairs)
             logs[other] = 0
             known = sizes - np.bincount(owner, other, len(sizes)).astype(np.int64) + (1 if m.tokens else 0)
-            units = m.units.unit[np.array(sub.of(every), np.int64)]
+            units = m.units.unit[np.array(subwords(m.path).of(every), np.int64)] if ids is None else stored_sequences(ids, m.units)[0]
             a, w, who = windows(units, sizes, m.units.start, width, step)
             gain = -np.bincount(owner, m.log_mass[units], len(sizes)) - m.log_mass[END]
-            for j in range(0, len(a), 512):
-                r, got = m.net.score(a[j : j + 512], w[j : j + 512], added, step)
-                gain += np.bincount(who[j : j + 512][r], got, len(sizes)) / math.log(10)
+            for j in range(0, len(a), 2048):
+                r, got = m.net.score(a[j : j + 2048], w[j : j + 2048], added, step)
+                gain += np.bincount(who[j : j + 2048][r], got, len(sizes)) / math.log(10)
             sums = np.bincount(owner, logs, len(sizes)) + m.log_mass[END]
-            return [pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(gain), pa.array([[{"w": w, "tf": n} for w, n in x.items()] for x in rare], rare_kind)]
+            return [pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(gain), lists]
 
         for batch in batches:
             texts, start, size = [], 0, 0
@@ -372,7 +461,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 texts.append(t.as_py())
                 size += 1 + len(texts[-1] or "") // 6  # about its words
                 if size >= batch_words or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).select(own).columns, *some(texts)], all_names)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).select(own).columns, *some(texts, None if ids_at is None else batch.column(ids_at).slice(start, len(texts)).to_pylist())], all_names)
                     texts, start, size = [], i + 1, 0
 
     kind = T.StructType([*(docs.schema.fields[i] for i in own), *T.StructType.fromDDL("n_tokens long, __weft_known long, __weft_log double, __weft_gain double, __weft_rare array<struct<w:binary,tf:int>>").fields])

@@ -100,8 +100,9 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.common import doc_remainder, stored
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    texts = lm_scoring.distinct_texts(docs, learned=doc_remainder("doc_id", 5) != 1)
-    model, counts = lm_scoring.train(texts.where("learned > 0"), public_tokenizers.path("byte_bpe_50k.json"), copies="learned")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts, counts = lm_scoring.with_ids(lm_scoring.distinct_texts(docs, written=False, learned=doc_remainder("doc_id", 5) != 1), path, copies="learned")
+    model, counts = lm_scoring.train(texts.where("learned > 0"), path, copies="learned", counts=counts)
     scored = stored(lm_scoring.score(texts.drop("learned"), model, counts, keep_text=False), "texts-scored")
     return lm_scoring.for_copies(docs, scored).select("doc_id", (doc_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
