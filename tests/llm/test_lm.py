@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,47 @@ def test_first_subwords_are_the_librarys():
     assert sub.of([b"\xff", b"\xed\xa0\x80"]) == [sub.model.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids[0] for w in (b"\xff", b"\xed\xa0\x80")]
 
 
+def test_words_split_together_are_those_of_each_text():
+    rng = random.Random(11)
+    texts = [None, "", " ", " \t\n\x0b\x0c\r ", "A b\x1cC\x1f\u00a0d \u00c9\u00e9\u0130 \u2003", "\0 \x85 a"]
+    texts += ["".join(rng.choices("aBc\u00c4 \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u4e2d", k=rng.randint(0, 30))) for _ in range(500)] + ["", None]
+    for some in (texts, texts[:3], []):
+        words, places, sizes = lm_scoring.split_words(pa.array(["cut off", *some], pa.string())[1:])
+        assert len(set(words)) == len(words) and sizes.tolist() == [len(lm_scoring.words_of(t)) for t in some]
+        assert [words[i] for i in places] == [w for t in some for w in lm_scoring.words_of(t)]
+        for n in (1, 7, 10**9):
+            found = list(lm_scoring.runs(pa.array(some, pa.string()), n))
+            assert [i for a, k in found for i in range(a, a + k)] == list(range(len(some))) and all(k > 0 for _, k in found)
+    assert list(lm_scoring.runs(pa.array(["a" * 60, "b", "c", "d" * 60, None]), 3)) == [(0, 1), (1, 3), (4, 1)]
+
+
+def test_each_different_word_of_texts_is_asked_for_once():
+    asked = []
+
+    class Asked(lm_scoring.Subwords):
+        def numbers(self, words):
+            asked.extend(words)
+            return super().numbers(words)
+
+    sub = Asked(lm_path())
+    voc = Vocabulary(np.ones(sub.model.get_vocab_size()), 1.5)
+    texts = ["The cat the CAT", None, "cat sat " * 50]
+    units, sizes = lm_scoring.sequences(texts, sub, voc)
+    assert sorted(asked) == [b"cat", b"sat", b"the"] and sizes.tolist() == [4, 0, 100]
+    assert units.tolist() == voc.unit[sub.of([w for t in texts for w in lm_scoring.words_of(t)])].tolist()
+
+
+def test_bytes_that_are_no_text(spark, docs):
+    """A file may hold a string column with bytes that are not UTF-8."""
+    odd = docs.unionByName(spark.sql("select 900L as doc_id, cast(unhex('74686520FF41C3207468C3') as string) as text"))
+    rows, counts = lm_scoring.with_ids(odd, lm_path())
+    found = {bytes(r.word): r.c for r in counts.collect()}
+    assert found[b"\xffa\xc3"] == found[b"th\xc3"] == 1
+    m, c = lm_scoring.train(rows, lm_path(), steps=8, common=3, counts=counts)
+    r = lm_scoring.score(rows.where("doc_id = 900"), m, c, keep_text=False).first()
+    assert r.n_tokens == 4 and r.n_known == 4
+
+
 def test_vocabulary_places_every_id():
     voc = small()
     assert len(voc.unit) == 40 and (voc.unit > END).all() and voc.unit.max() < voc.start

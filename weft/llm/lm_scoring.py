@@ -6,6 +6,7 @@ import contextlib
 import copy
 import ctypes
 import functools
+import itertools
 import json
 import math
 import os
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ from weft.llm.common import checked, row_hash, stored, text_of, tidy
 
 #: Fixed value: how a file says that it splits by the pattern of byte-level BPE.
 PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: The pieces where the only white space is one blank before each word: no other is looked for.
+WORD_PIECES = PIECES.removesuffix(r"|\s+(?!\S)|\s+")
 #: The column of with_ids().
 IDS = "__weft_ids"
 #: The key of the end of a text among the words, none of which is empty.
@@ -36,6 +40,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """words_of() for many texts at once: the different words, each word's place among these, one text behind the other, and each text's number of words."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    some = pc.greater(pc.binary_length(texts), 0)  # the others would have one empty word
+    lists = pc.ascii_split_whitespace(texts.filter(some))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes
+
+
+def runs(texts: pa.Array, words: int) -> Iterator[tuple[int, int]]:
+    """(from, number): texts that follow one another, with about so many words together; a longer text ends its run."""
+    size = np.cumsum(1 + pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64) // 6)
+    start = 0
+    while start < len(size):
+        stop = min(len(size), 1 + int(np.searchsorted(size, words + (size[start - 1] if start else 0))))
+        yield start, stop - start
+        start = stop
+
+
 def keep_heap() -> None:
     """Lets the C library keep numpy's freed temporaries for the next ones, instead of mapping pages anew."""
     with contextlib.suppress(OSError, AttributeError):  # another C library
@@ -62,8 +87,9 @@ class Subwords:
         self.added = [a["content"] for a in spec["added_tokens"]]
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
-        self.begins = np.zeros(self.model.get_vocab_size(), bool)
-        self.begins[[i for token, i in vocab.items() if token.startswith(letters[ord(" ")])]] = True
+        self.begins = [False] * self.model.get_vocab_size()
+        for token, i in vocab.items():
+            self.begins[i] = token.startswith(letters[ord(" ")])
         made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
         plain = {t: i for t, i in vocab.items() if t not in self.added}
         back = {c: b for b, c in enumerate(letters)}
@@ -72,7 +98,7 @@ class Subwords:
             import tiktoken
 
             ranks = {bytes(back[c] for c in t): i for t, i in plain.items()}
-            self.fast = tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("words", pat_str=WORD_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.number: dict[bytes, int] = {}  # of remembered words, in order
         self.first = np.zeros(1024, np.int32)  # by number
 
@@ -88,8 +114,7 @@ class Subwords:
         whole = " " + " ".join(texts)
         if not self.fast or whole.split() != texts or any(a in whole for a in self.added):
             return None
-        ids = np.array(self.fast(whole))
-        first = ids[self.begins[ids]].tolist()
+        first = [i for i in self.fast(whole) if self.begins[i]]
         return first if len(first) == len(texts) else None
 
     def _alone(self, texts: list[str]) -> list[int]:
@@ -97,9 +122,11 @@ class Subwords:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The words' numbers, which hold until forget()."""
-        found = list(map(self.number.get, words))
-        if None in found:
-            new = [w for w in dict.fromkeys(words) if w not in self.number]
+        found = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            asked = [words[i] for i in unknown.tolist()]
+            new = list(dict.fromkeys(asked))
             at = len(self.number)
             while len(self.first) < at + len(new):
                 self.first = np.concatenate([self.first, np.zeros_like(self.first)])
@@ -112,8 +139,8 @@ class Subwords:
                 self.first[at + i : at + i + len(some)] = first
             self.number.update(zip(new, range(at, at + len(new)), strict=True))
             self.bytes += sum(map(len, new))
-            found = list(map(self.number.__getitem__, words))
-        return np.array(found, np.int64)
+            found[unknown] = np.arange(at, at + len(new)) if len(new) == len(asked) else [self.number[w] for w in asked]
+        return found
 
     def of(self, words: list[bytes]) -> list[int]:
         if self.full():
@@ -197,7 +224,7 @@ def count_words(docs: DataFrame, text: str = "text", flush: int = 200_000, copie
     return docs.select(text, _times(copies)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def with_ids(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, batch_words: int = 30_000) -> tuple[DataFrame, DataFrame]:
+def with_ids(docs: DataFrame, path: str, text: str = "text", copies: str | None = None, batch_words: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """docs with the column IDS, the first subword ids of each text's words (id_kind(), one behind the other), and the counts (word, c, sub) of the words
     of all docs as count_words() gives them, with each word's first id; both in one written table, so each text is split once for both.
 
@@ -223,33 +250,28 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", copies: str | None
                 n = len(own[0])
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in kinds), pa.nulls(n, pa.binary()), *own], kind.names)
 
-        def some(rows: pa.RecordBatch, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        def some(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal counts, ends
             if sub.full():
                 yield from out(rows.schema, False)
                 sub.forget()
                 counts = np.zeros(0)
-            words = list(map(words_of, texts))
-            sizes = np.array(list(map(len, words)), np.int64)
-            found = sub.numbers([w for x in words for w in x])
-            n = np.ones(len(texts)) if times is None else rows.column(times).to_numpy(zero_copy_only=False).astype(np.float64)
-            new = np.bincount(found, np.repeat(n, sizes), len(sub.number))  # exact below 2 ** 53
-            new[: len(counts)] += counts
-            counts, ends = new, ends + int(n.sum())
+            words, places, sizes = split_words(rows.column(at))
+            found = sub.numbers(words)
+            n = np.ones(len(sizes)) if times is None else rows.column(times).to_numpy(zero_copy_only=False).astype(np.float64)
+            counts = np.concatenate([counts, np.zeros(len(sub.number) - len(counts))])
+            counts[found] += np.bincount(places, np.repeat(n, sizes), len(words))  # exact below 2 ** 53
+            ends += int(n.sum())
             offsets = np.concatenate([[0], np.cumsum(sizes * as_ids.itemsize)]).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(sub.first[found].astype(as_ids))])
-            none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.nulls(len(texts), pa.binary()), none, none.cast(pa.int32())], kind.names)
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(sub.first[found].astype(as_ids)[places])])
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.nulls(len(sizes), pa.binary()), none, none.cast(pa.int32())], kind.names)
 
         kinds = None
         for batch in batches:
-            kinds, texts, start, size = batch.schema, [], 0, 0
-            for i, t in enumerate(batch.column(at)):
-                texts.append(t.as_py())
-                size += 1 + len(texts[-1] or "") // 6  # about its words
-                if size >= batch_words or i == batch.num_rows - 1:
-                    yield from some(batch.slice(start, len(texts)), texts)
-                    texts, start, size = [], i + 1, 0
+            kinds = batch.schema
+            for start, n in runs(batch.column(at), batch_words):
+                yield from some(batch.slice(start, n))
         if kinds is not None:
             yield from out(kinds, True)
 
@@ -303,8 +325,8 @@ def train(docs: DataFrame, path: str, text: str = "text", copies: str | None = N
 
 def sequences(texts: list[str | None], sub: Subwords, units: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The units of the words of all texts, one text behind the other, and each text's number of words."""
-    words = list(map(words_of, texts))
-    return units.unit[np.array(sub.of([w for x in words for w in x]), np.int64)], np.array(list(map(len, words)), np.int64)
+    words, places, sizes = split_words(pa.array(texts, pa.string()))
+    return units.unit[np.array(sub.of(words), np.int64)][places], sizes
 
 
 def stored_sequences(ids: list[bytes], units: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +424,7 @@ def refine(docs: DataFrame, text: str, path: str, units: Vocabulary, net: Attent
             at += size
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", batch_words: int = 30_000, keep_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", batch_words: int = 200_000, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens (long), base_score and score (double), base-10 logarithms.
 
     A text is its words (lower-cased A-Z, between ASCII white space) and one end. base_score takes each for itself: (c + 0.5) / (N +
@@ -433,20 +455,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
         log_c = {w: math.log10(c + 0.5) for w, c in m.common.items()}
         width, step, added = m.net.width, m.net.width * 3 // 4, m.net.tables()
 
-        def some(texts: list[str | None], ids: list[bytes] | None) -> list[pa.Array]:
-            words = list(map(words_of, texts))
-            every = [w for x in words for w in x]
-            sizes = np.array(list(map(len, words)), np.int64)
+        def some(texts: pa.Array, ids: list[bytes] | None) -> list[pa.Array]:
+            words, places, sizes = split_words(texts)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            logs = np.array(list(map(log_c.get, every)), np.float64)  # None is NaN
+            logs = np.array(list(map(log_c.get, words)), np.float64)[places]  # None is NaN
             other = np.isnan(logs)
-            rare = Counter(zip(owner[other].tolist(), [every[i] for i in np.flatnonzero(other).tolist()], strict=True))  # in order of texts
-            of = np.fromiter((k for k, _ in rare), np.int64, len(rare))
-            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int32())], ["w", "tf"])
-            lists = pa.ListArray.from_arrays(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32), pairs)
+            rare, tf = np.unique(owner[other] * len(words) + places[other], return_counts=True)  # in order of texts
+            pairs = pa.StructArray.from_arrays([pa.array([words[i] for i in (rare % max(1, len(words))).tolist()], pa.binary()), pa.array(tf, pa.int32())], ["w", "tf"])
+            lists = pa.ListArray.from_arrays(np.searchsorted(rare, np.arange(len(sizes) + 1) * len(words)).astype(np.int32), pairs)
             logs[other] = 0
             known = sizes - np.bincount(owner, other, len(sizes)).astype(np.int64) + (1 if m.tokens else 0)
-            units = m.units.unit[np.array(subwords(m.path).of(every), np.int64)] if ids is None else stored_sequences(ids, m.units)[0]
+            units = m.units.unit[np.array(subwords(m.path).of(words), np.int64)][places] if ids is None else stored_sequences(ids, m.units)[0]
             a, w, who = windows(units, sizes, m.units.start, width, step)
             gain = -np.bincount(owner, m.log_mass[units], len(sizes)) - m.log_mass[END]
             for j in range(0, len(a), 2048):
@@ -456,13 +475,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
             return [pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(gain), lists]
 
         for batch in batches:
-            texts, start, size = [], 0, 0
-            for i, t in enumerate(batch.column(at)):
-                texts.append(t.as_py())
-                size += 1 + len(texts[-1] or "") // 6  # about its words
-                if size >= batch_words or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).select(own).columns, *some(texts, None if ids_at is None else batch.column(ids_at).slice(start, len(texts)).to_pylist())], all_names)
-                    texts, start, size = [], i + 1, 0
+            for start, n in runs(batch.column(at), batch_words):
+                part = batch.slice(start, n)
+                yield pa.RecordBatch.from_arrays([*part.select(own).columns, *some(part.column(at), None if ids_at is None else part.column(ids_at).to_pylist())], all_names)
 
     kind = T.StructType([*(docs.schema.fields[i] for i in own), *T.StructType.fromDDL("n_tokens long, __weft_known long, __weft_log double, __weft_gain double, __weft_rare array<struct<w:binary,tf:int>>").fields])
     scored = stored(docs.mapInArrow(run, kind).withColumn("__weft_row", F.monotonically_increasing_id()), "scored")
