@@ -72,6 +72,24 @@ def test_variation_texts(spark):
     assert want[1] == "-5,2,12,21" and want[3] == "" and want[4] == ""
 
 
+def test_variation_texts_come_longest_first(spark):
+    sizes = {"a": 2, "b": 40, "c": 300, "d": 5, None: 30}  # a Parquet writer gathers thousands of long rows behind short ones
+    looks = spark.createDataFrame([(k * 1000 + i, g) for k, (g, n) in enumerate(sizes.items()) for i in range(n)], "id long, variationGroup string")
+    parts = community.variation_texts(looks).rdd.glom().collect()
+    seen = [[len(r.others.split(",")) if r.others else 0 for r in part] for part in parts]
+    assert sorted(n for part in seen for n in part) == sorted(max(0, n - 1) if g else 0 for g, n in sizes.items() for _ in range(n))
+    assert all(part == sorted(part, reverse=True) for part in seen)
+    assert not any(0 in part and max(part) for part in seen)
+
+
+@pytest.mark.parametrize("shares", [1, 3, 32])
+def test_variation_texts_in_shares(spark, shares):
+    looks = spark.createDataFrame([(i * 37 % 101 - 50, "gh"[i % 7 == 0]) for i in range(90)] + [(7, "g"), (7, "g"), (7, "h"), (7, None), (None, "g"), (None, None), (900, "i")], "id long, variationGroup string")
+    text = lambda rows: sorted((str(r.id), r.others if isinstance(r.others, str) else ",".join(map(str, r.others))) for r in rows)
+    want = text(community.variations(looks.where("id IS NOT NULL")).collect()) + [("None", ""), ("None", "")]
+    assert text(community.variation_texts(looks, shares).collect()) == sorted(want)
+
+
 def test_licence_searches_only_texts_with_a_part(spark):
     said = {"CC<b>x</b>BY": None, "CC<b> BY-SA 4.0": "CC BY-SA 4.0", "c c0": None, "Public\tDomain": "Public domain", "pd": "Public domain", "PDM": "Public domain", "an Apache 2": "Apache-2.0", "BSD 3": "BSD-3-Clause", "the MIT": "MIT", "unlicense": "Unlicense", "submit": None, "": None, "cc by nc": None, "nothing of it": None}
     got = spark.createDataFrame([(k,) for k in said], "t string").select("t", text.license_name(F.col("t")).alias("n"))
